@@ -50,7 +50,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
     })
     s = s.withColumn("_level", (F.col("_total") - F.col("_used")) / F.col("_w"))
     free = F.col("_level") * F.col("weight") <= F.col("_cap")  # this one and all after it are under their caps
-    s = s.withColumn("_at", F.min(F.when(free, F.col("_level"))).over(all_rows))
+    s = s.withColumn("_at", F.max(F.when(free, F.col("_level"))).over(all_rows))
     s = s.withColumn("target", F.least(F.col("_cap").cast("double"), F.coalesce(F.col("_at") * F.col("weight"), F.col("_cap").cast("double"))))
     named = by_name.rowsBetween(W.unboundedPreceding, 0)
     s = s.withColumns({"quota": F.floor(F.col("target") + F.lit(1e-6)).cast("long")})

@@ -42,9 +42,8 @@ def interleave(keys: DataFrame, n_shards: int = N_SHARDS, seed: str = "shards",
     df = df.withColumn("_f", (2 * F.col("rank") + 1) / (2 * F.col("stratum_rows")))
     df = df.withColumns({"_b": F.least(F.floor(F.col("_f") * nb), F.lit(nb - 1)).cast("long"), "_all": F.lit(0)})
     df = running(df, ["_all"], "_b", ["_f", *tie, "stratum"], "_one", "_at")
-    shard = F.floor(F.col("_at") * n_shards / F.lit(max(n, 1))).cast("long")
     # shard s begins at the first position p with p * n_shards >= s * n
-    df = df.withColumn("shard", F.expr(f"(_at * {n_shards}L) div {max(n, 1)}L").cast("int")) if n else df.withColumn("shard", shard.cast("int"))
+    df = df.withColumn("shard", F.expr(f"(_at * {n_shards}L) div {max(n, 1)}L").cast("int"))
     begin = F.expr(f"(shard * {max(n, 1)}L + {n_shards - 1}L) div {n_shards}L")
     return df.withColumn("slot", (F.col("_at") - begin).cast("long")).drop("_h", "_b", "_f", "_at", "_all", "_one")
 
