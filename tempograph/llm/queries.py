@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding
+from . import mixing, pii, quality, sharding
 
-QUERIES = {f.__name__: f for f in (quality.op2_robust_outliers, sharding.op5_stratified_shards, mixing.op10_source_schedule)}
+QUERIES = {f.__name__: f for f in (quality.op2_robust_outliers, sharding.op5_stratified_shards, pii.op6_feistel_pseudonyms, mixing.op10_source_schedule)}
 
 ORACLES: dict[str, str] = {}
