@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..workers import importable
 from .common import table
 from .textbytes import column_bytes, parts, word_bounds
 
@@ -152,6 +153,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         if held:
             yield flush()
 
+    importable(docs.sparkSession)
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import licences, mixing, packing, pii, quality, sharding
+from . import ctw, licences, mixing, packing, pii, quality, sharding
 
-QUERIES = {f.__name__: f for f in (quality.op2_robust_outliers, sharding.op5_stratified_shards, packing.op3_cost_balanced_packing, pii.op6_feistel_pseudonyms, licences.op7_licence_paragraphs, mixing.op10_source_schedule)}
+QUERIES = {f.__name__: f for f in (quality.op2_robust_outliers, sharding.op5_stratified_shards, packing.op3_cost_balanced_packing, pii.op6_feistel_pseudonyms, licences.op7_licence_paragraphs, ctw.op9_context_tree_weighting, mixing.op10_source_schedule)}
 
 ORACLES: dict[str, str] = {}
