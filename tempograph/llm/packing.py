@@ -11,8 +11,9 @@ Windows are consecutive documents of one input split, so no document moves betwe
 window (or by one very long document), and a lost task is simply done again.  Sequence ids are the split's number
 times 2^33 and a counter.
 
-Tokenising: ids of the words between ASCII white space (this tokenizer never joins across it) come from a bounded
-cache in each worker, so each distinct word is encoded about once per worker; tests hold this against whole texts.
+Tokenising: this tokenizer lower-cases, and never joins across ASCII white space nor between ASCII letters and punctuation.
+So texts are cut there, and the ids of each part come from a bounded cache in each worker, by a 64-bit hash of the part:
+each distinct one is encoded about once per worker.  Tests hold this against whole texts.
 
 Nulls: a null or empty text is the end id alone; a null id stays null; equal rows are packed separately.  Empty tables
 give empty results; other columns are ignored.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,51 +33,85 @@ from pyspark.sql import types as T
 
 from ..workers import importable
 from .common import table
-from .textbytes import column_bytes, parts, word_bounds
+from .textbytes import LOWER, SPACE, column_bytes, parts, word_hashes
 
-SEQUENCE, END_ID, WINDOW_TOKENS, CACHE_WORDS = 2048, 1, 2_000_000, 300_000
+SEQUENCE, END_ID, WINDOW_TOKENS, CACHE_WORDS = 2048, 1, 2_000_000, 2_000_000
 LINEAR, QUADRATIC = 1.0, 1 / 1024
 
 _encoders: dict[str, WordEncoder] = {}
 
 
+#: ASCII punctuation but the apostrophe and "<": between it and an ASCII letter or digit the tokenizer always cuts
+_MARK, _ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[[ord(c) for c in '!"#$%&()*+,-./:;=?@[\\]^_`{|}~>']] = True
+_ALNUM[[ord(c) for c in "abcdefghijklmnopqrstuvwxyz0123456789"]] = True
+
+
+def word_parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, cut at ASCII punctuation, and their number before each row."""
+    letter = ~SPACE[data]
+    first, last = letter.copy(), letter.copy()
+    first[1:] &= ~letter[:-1]
+    mark, alnum = _MARK[data], _ALNUM[data]
+    first[1:] |= mark[1:] & alnum[:-1] | alnum[1:] & mark[:-1]
+    edges = offsets[1:-1]
+    edges = edges[(edges > 0) & (edges < len(data))]
+    first[edges] = letter[edges]
+    last[:-1] &= ~letter[1:] | first[1:]
+    starts = np.flatnonzero(first)
+    return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
+
+
 class WordEncoder:
-    """Token ids of texts by a tokenizer file, through a cache of words."""
+    """Token ids of texts by a tokenizer file, through a cache of words by their 64-bit hashes."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, list[int]] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.begin, self.count, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def word_ids(self, words: list[str]) -> list[list[int]]:
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        new = [w for w in words if w not in self.cache]
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.cache[w] = e.ids
-        return [self.cache[w] for w in words]
+    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(count.sum()))
+        begin = np.cumsum(count) - count + len(self.flat)
+        hashes = np.concatenate([self.hashes, hashes])
+        order = np.argsort(hashes)
+        self.hashes, self.flat = hashes[order], np.concatenate([self.flat, flat])
+        self.begin, self.count = np.concatenate([self.begin, begin])[order], np.concatenate([self.count, count])[order]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the offsets of the texts in them."""
         data, offsets = column_bytes(texts)
-        starts, _, before = word_bounds(data, offsets)
-        if not len(starts):
+        if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        # each word with the white space after it, so that words are adjacent slices of the text
-        edges = np.append(starts, len(data)).astype(np.int64)
-        spans = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(edges), pa.py_buffer(data))
-        found = spans.dictionary_encode()
-        ids = self.word_ids([w.strip(" \t\n\x0b\x0c\r") for w in found.dictionary.to_pylist()])
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for w in ids for i in w), np.uint32, int(lengths.sum()))
-        begins = np.cumsum(lengths) - lengths
-        at = found.indices.to_numpy()
-        n = lengths[at]
-        ends = np.cumsum(n)
-        out = flat[np.repeat(begins[at] - (ends - n), n) + np.arange(int(n.sum()))]
-        return out, np.append(0, ends)[before]
+        if b"<|" in data.tobytes():  # maybe a special token, whose letters' case matters
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts.fill_null("").to_pylist(), add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(ids), np.uint32), np.append(0, np.cumsum([len(i) for i in ids]))
+        data = LOWER[data]
+        starts, ends, before = word_parts(data, offsets)
+        found = pa.array(word_hashes(data, starts, ends)).dictionary_encode()
+        at, hashes = found.indices.to_numpy(), found.dictionary.to_numpy()
+        if len(self.hashes) + len(hashes) > CACHE_WORDS:
+            self.clear()
+        place = np.searchsorted(self.hashes, hashes)
+        known = np.append(self.hashes, np.uint64(0))[place] == hashes
+        known[place == len(self.hashes)] = False
+        if not known.all():
+            example = np.zeros(len(hashes), np.int64)
+            example[at[::-1]] = np.arange(len(at))[::-1]
+            raw, new = data.tobytes(), np.flatnonzero(~known)
+            self.learn(hashes[new], [raw[starts[i] : ends[i]].decode() for i in example[new]])
+        place = np.searchsorted(self.hashes, hashes)[at]
+        n = self.count[place]
+        last = np.cumsum(n)
+        out = self.flat[np.repeat(self.begin[place] - (last - n), n) + np.arange(int(n.sum()))]
+        return out, np.append(0, last)[before]
 
 
 def encoder(path: str) -> WordEncoder:
