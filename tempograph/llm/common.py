@@ -82,3 +82,13 @@ def running(df: DataFrame, group: list[str], bucket: str, order: list[str], valu
     rows = df.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     on = [rows[k].eqNullSafe(sums[f"_k{i}"]) for i, k in enumerate(keys)]
     return rows.join(sums, on).withColumn(out, (F.col("_ahead") + F.col("_in")).cast("long")).drop("_ahead", "_in", *[f"_k{i}" for i in range(len(keys))])
+
+
+#: rows of a side that may be broadcast, after counting them; some hundred bytes each
+BROADCAST_ROWS = 50_000
+
+
+def attach(df: DataFrame, small: DataFrame, on: Column, how: str = "inner") -> DataFrame:
+    """df joined with a stored table of one row per group: broadcast if its counted rows are few, else by an ordinary join,
+    whose large side adaptive execution splits where a group is hot."""
+    return df.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
