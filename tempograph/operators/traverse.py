@@ -35,7 +35,7 @@ def reach(edges: DataFrame, anchors: DataFrame, depth: int, reverse: bool = True
     """
     here, there = ("to_id", "from_id") if reverse else ("from_id", "to_id")
     steps = edges.select(F.col(here).alias("src"), F.col(there).alias("dst")).distinct()
-    start = anchors.select(F.col(anchors.columns[0]).alias("node_id")).distinct()
+    start = anchors.select(F.col(anchors.columns[0]).cast(steps.schema["dst"].dataType).alias("node_id")).distinct()
     strategy = ("cte" if depth <= CTE_DEPTH else "frontier") if strategy == "auto" else strategy
     found = {"cte": _cte, "frontier": _frontier, "unrolled": _unrolled}[strategy](steps, start, depth)
     found = found.groupBy("node_id").agg(F.min("hop").cast("int").alias("hop"))

@@ -1,0 +1,57 @@
+"""A built-in commit log, so that the code operators can be tried without a repository."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..functions.patch import replace_function
+
+STORE = '''class Base:
+    pass
+
+
+class Store(Base):
+    def put(self, key, value):
+        """Keep a value.
+
+        The last one wins.
+        """
+        if not key:
+            raise KeyError(key)
+        self.rows[key] = clean(value)
+
+    def get(self, key):
+        return self.rows.get(key)
+
+
+def clean(value):
+    return value.strip()
+'''
+APP = '''import json
+from lib.store import Store, clean
+
+
+def load(path):
+    with open(path) as f:
+        return json.loads(clean(f.read()))
+
+
+def main(path):
+    rows = load(path)
+    for key in rows:
+        Store().put(key, rows[key])
+    return len(rows)
+'''
+LATER = STORE.replace("value.strip()", "value.strip().lower()")
+LOG = [
+    (0, "a1b2c3d" + "0" * 33, "ann", "feat: store", "2024-01-01T00:00:00+00:00", 0, "lib/store.py", STORE),
+    (0, "a1b2c3d" + "0" * 33, "ann", "feat: store", "2024-01-01T00:00:00+00:00", 1, "app.py", APP),
+    (1, "b2c3d4e" + "0" * 33, "bob", "fix: lower case", "2024-02-01T00:00:00+00:00", 0, "lib/store.py", LATER),
+    (2, "c3d4e5f" + "0" * 33, "bob", "docs", "2024-03-01T00:00:00+00:00", None, None, None),
+]
+
+
+def edited(spark: SparkSession) -> DataFrame:
+    """file, lines_replaced, text after replacing a function."""
+    text, lines = replace_function(STORE, "get", "def get(self, key):\n    return self.rows[key]\n")
+    return spark.createDataFrame([("lib/store.py", lines, text)], "file string, lines_replaced string, text string")
