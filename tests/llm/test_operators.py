@@ -1,0 +1,516 @@
+"""Each operator against a plain version, a round trip, or held-out data."""
+
+from __future__ import annotations
+
+import random
+import re
+import sys
+import zlib
+from collections import Counter, defaultdict
+from pathlib import Path
+
+import numpy as np
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+pytest.importorskip("tempograph.llm")
+sys.path.insert(0, str(Path(__file__).parent))
+import plain  # noqa: E402
+from helpers import duck, multiset  # noqa: E402
+
+from tempograph.llm import ctw, jaccard, langid, licences, mixing, packing, pii, quality, queries, sharding, textbytes, topk  # noqa: E402
+
+P = pytest.importorskip("public_tokenizers")
+FEW = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+TEXT = st.lists(st.sampled_from(["a", "b", "c", "dé", "E,", "f.g", "x-1"]), max_size=40).flatmap(lambda w: st.sampled_from([" ", "\n", "\t ", "  "]).map(lambda s: s.join(w)))
+
+
+def same_name(name: str) -> str:
+    return name.split("_")[0]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf_dir):
+    return {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+
+
+def run(spark, sf_dir, prefix):
+    name = next(n for n in queries.QUERIES if n.startswith(prefix))
+    return queries.QUERIES[name](spark, sf_dir).collect()
+
+
+def test_ten_queries():
+    assert sorted(same_name(n) for n in queries.QUERIES) == sorted(f"op{k}" for k in range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_sql(spark, sf_dir, name):
+    df = queries.QUERIES[name](spark, sf_dir)
+    want = duck(sf_dir).sql(queries.ORACLES[name])
+    assert multiset(df.collect(), df.columns) == multiset(want.fetchall(), want.columns)
+
+
+# ---- bytes ---------------------------------------------------------------------------------------------------------
+
+
+@FEW
+@given(st.lists(st.text(alphabet="ab é\n\t\x0b中 ", max_size=12) | st.none(), max_size=6))
+def test_word_bounds(texts):
+    import pyarrow as pa
+
+    data, offsets = textbytes.column_bytes(pa.array(texts, pa.string()))
+    starts, ends, before = textbytes.word_bounds(data, offsets)
+    found = [bytes(data[a:b]).decode() for a, b in zip(starts, ends)]
+    assert found == [w for t in texts for w in plain.words(t)]
+    assert list(np.diff(before)) == [len(plain.words(t)) for t in texts]
+    h = textbytes.word_hashes(data, starts, ends)
+    assert len(set(h.tolist())) == len(set(found))
+
+
+# ---- 1 -------------------------------------------------------------------------------------------------------------
+
+
+def test_language_on_held_out_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.train(docs.where("doc_id % 4 <> 0").select("lang", "text"))
+    pages = docs.where("doc_id % 4 = 0").select(F.col("doc_id").alias("page_id"), F.lit(None).cast("string").alias("url"), F.col("text").alias("html"))
+    got = langid.identify(pages, model).join(docs, F.col("id") == F.col("doc_id"))
+    right, n = got.agg(F.count_if(F.col("language") == F.col("lang")), F.count("*")).first()
+    assert right >= 0.97 * n
+
+
+def test_evidence_beyond_the_text(spark, sf_dir):
+    model = langid.train(spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "text"))
+    german = "<html lang='de'><p>nicht und der die das mit einer schung heit keit</p></html>"
+    pages = [(i, f"https://www.host.de/{i}", german) for i in range(12)] + [(20, "https://www.host.de/x", "<p>1 2 3</p>"), (21, "https://other.org/x", "<script>nicht und die</script><p>1</p>"), (22, None, None)]
+    got = {r.id: r for r in langid.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), model).collect()}
+    assert got[20].language == "de" and got[20].probability > 0.8, "by its host's other pages"
+    assert got[20].probability > got[22].probability and got[0].host == "www.host.de" and got[21].declared is None
+
+
+# ---- 2 -------------------------------------------------------------------------------------------------------------
+
+
+def test_quality_counts_and_labels(spark, sf_dir, docs):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    for r in run(spark, sf_dir, "op2_"):
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain.counts(docs[r.doc_id].text)
+        assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and not (r.base_failed and r.kept)
+        if r.doc_id in labels and not r.base_failed:
+            assert r.kept == bool(labels[r.doc_id]), r
+
+
+def test_covariance_determinant_ignores_outliers(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (400, 5)) * [0.3, 0.1, 0.2, 0.2, 0.1]
+    x[:80] += [3, 2, 2, 0, 0]  # a fifth of them
+    rows = [("g", False, *map(float, v)) for v in x]
+    df = spark.createDataFrame(rows, "group string, base_failed boolean, x0 double, x1 double, x2 double, x3 double, x4 double")
+    out = quality.outliers(df).orderBy("x0").collect()
+    far = {tuple(np.round(v, 9)) for v in x[:80]}
+    assert {tuple(round(r[c], 9) for c in quality.VECTOR) for r in out if not r.kept} == far
+    # distances against the estimate from the clean rows alone
+    clean = x[80:]
+    s = np.linalg.inv(np.cov(clean.T) + np.diag(np.square(quality.FLOOR)))
+    want = {tuple(np.round(v, 9)): (v - clean.mean(0)) @ s @ (v - clean.mean(0)) for v in clean}
+    ratio = [r.d2 / want[k] for r in out if (k := tuple(round(r[c], 9) for c in quality.VECTOR)) in want and want[k] > 1]
+    assert 0.7 < np.median(ratio) < 1.4
+
+
+def test_sweep_inverts(spark):
+    a = np.cov(np.random.default_rng(1).normal(size=(5, 40)))
+    g = spark.createDataFrame([tuple(float(a[p]) for p in quality.PAIRS)], ", ".join("a%d%d double" % p for p in quality.PAIRS))
+    r = quality.swept(g).first()
+    assert np.allclose([r["a%d%d" % p] for p in quality.PAIRS], [np.linalg.inv(a)[p] for p in quality.PAIRS])
+
+
+def test_chi_square():
+    assert abs(quality.chi2_point(0.95, 1) - 3.8415) < 1e-3 and abs(quality.chi2_point(0.975, 5) - 12.8325) < 1e-3
+
+
+# ---- 3 -------------------------------------------------------------------------------------------------------------
+
+
+def check_packing(rows, ids: dict):
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+        by_sequence[r.sequence_id].append(r)
+    assert set(by_doc) == set(ids)
+    for k, pieces in by_doc.items():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids[k]) and r.ids_crc32 == zlib.crc32(ids[k][at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids[k])
+    for pieces in by_sequence.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.offset):
+            assert r.offset == at and r.length > 0
+            at += r.length
+        assert at == 2048 or at & (at - 1) == 0, "nothing is padded"
+
+
+def test_packing(spark, sf_dir, docs):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    ids = {k: np.array([*t.encode(d.text or "", add_special_tokens=False).ids, 1], np.uint32) for k, d in docs.items()}
+    check_packing(run(spark, sf_dir, "op3_"), ids)
+
+
+STRANGE = ["", " ", "Don't we'll I'M 'S x'", "a,b.c;d!e?f", "naïve É,È. ß", "<|startoftext|> A <|ENDOFTEXT|>", "1,234.5 $%& ***x***", "\U0001f600,\U0001f600 a b c", "can't,won't", "é,a ́x", "...' 's,'t", "a<|b", "ſ K"]
+
+
+def test_words_are_encoded_as_in_whole_texts():
+    import pyarrow as pa
+
+    e = packing.WordEncoder(P.path("word_bpe_49k.json"))
+    for texts in (STRANGE, [t for t in STRANGE if "<|" not in t], ["".join(random.Random(k).choices("aB é.,'!-<|>\n1", k=60)) for k in range(200)]):
+        for _ in range(2):  # new words, then cached ones
+            ids, at = e.encode(pa.array(texts))
+            want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want
+
+
+@FEW
+@given(st.lists(st.integers(1, 70), max_size=40))
+def test_packed_is_balanced_and_full(lengths):
+    rows = packed = packing.packed(lengths, sequence=16)
+    used = defaultdict(int)
+    for d, start, n, s, at in rows:
+        assert used[s] == at
+        used[s] += n
+    assert sum(n for _, _, n, _, _ in packed) == sum(lengths) and all(n == 16 or n & (n - 1) == 0 for n in used.values())
+
+
+def test_pieces_go_to_the_lowest_cost():
+    rows = packing.packed([9, 7, 6, 5, 3, 2], sequence=16)  # two sequences of 16
+    home = {d: s for d, _, _, s, _ in rows}
+    assert home[0] != home[1] and home[2] == home[1], "the third goes where the cost is lower"
+
+
+# ---- 4 -------------------------------------------------------------------------------------------------------------
+
+
+@FEW
+@given(st.lists(st.tuples(st.integers(0, 120), st.lists(st.sampled_from([-1.0, -0.5, 0.0, 0.25, 1.0]), min_size=5, max_size=5)), max_size=25, unique_by=lambda r: r[0]))
+def test_top_k(spark, rows):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [(r.query_id, r["rank"], r.id, r.score) for r in topk.search(df, df.where("vec_id % 3 = 0"), k=3, lists=2).collect()]
+    want = []
+    for q, x in rows:
+        if q % 3 == 0:
+            best = sorted((-sum(int(a * 256) * int(b * 256) for a, b in zip(x, y)), v) for v, y in rows if v != q)[:3]
+            want += [(q, k, v, -s) for k, (s, v) in enumerate(best, 1)]
+    assert sorted(got) == sorted(want)
+
+
+def test_top_k_over_many_blocks(spark, sf_dir, monkeypatch):
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    want = {tuple(r) for r in topk.search(df, df.where("vec_id % 50 = 0")).collect()}
+    for name, n in (("ROW_BLOCK", 60), ("QUERY_BLOCK", 3), ("ROW_TILE", 17), ("QUERY_TILE", 2)):
+        monkeypatch.setattr(topk, name, n)
+    assert {tuple(r) for r in topk.search(df, df.where("vec_id % 50 = 0")).collect()} == want
+
+
+# ---- 5 -------------------------------------------------------------------------------------------------------------
+
+
+def test_shards_match_the_mixture(spark, sf_dir, docs):
+    rows = run(spark, sf_dir, "op5_")
+    n, sources = Counter(r.shard for r in rows), Counter(r.source for r in rows)
+    assert set(n) == set(range(40)) and max(n.values()) - min(n.values()) <= 1
+    for s in range(40):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(n[s]))
+    for (shard, source), k in Counter((r.shard, r.source) for r in rows).items():
+        assert abs(k - sources[source] / 40) < 2
+    for r in rows:
+        data = (docs[r.doc_id].text or "").encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(data) + 16, zlib.crc32(data), "rows", None)
+
+
+def test_shards_equal_a_plain_sort(spark):
+    keys = spark.range(500).select(F.col("id"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 7 == 0, None).otherwise("b").alias("stratum"), F.lit(1).cast("long").alias("size"), F.lit(2).cast("long").alias("crc"))
+    got = {r.id: (r.shard, r.slot) for r in sharding.interleave(keys, 7, "seed", rows_per_bucket=20).collect()}
+    hashed = {r.id: (r.h, r.stratum) for r in keys.withColumn("h", sharding.hash_order("seed", "id")).collect()}
+    order = []
+    for source in {s for _, s in hashed.values()}:
+        own = sorted((h, k) for k, (h, s) in hashed.items() if s == source)
+        order += [((2 * i + 1) / (2 * len(own)), h, k) for i, (h, k) in enumerate(own)]
+    at = {k: i for i, (_, _, k) in enumerate(sorted(order))}
+    begin = [-(-s * 500 // 7) for s in range(7)]
+    assert got == {k: (p * 7 // 500, p - begin[p * 7 // 500]) for k, p in at.items()}
+
+
+# ---- 6 -------------------------------------------------------------------------------------------------------------
+
+
+def test_pseudonyms_of_documents(spark, sf_dir, docs):
+    pattern = re.compile(pii.FOUND)
+    linked = {}
+    for r in run(spark, sf_dir, "op6_"):
+        old = docs[r.doc_id].text
+        found = pattern.findall(old)
+        assert pattern.split(old)[0] == r.text[: len(pattern.split(old)[0])]
+        assert r.n_found <= len(found) and (found or r.text == old)
+        for m in re.findall(r"[a-z]+\.[0-9]+@[a-z0-9.]+", old):
+            assert m not in r.text
+        digits = lambda t: [x for x in re.findall(r"(?<!\d)\d{16}(?!\d)", t)]
+        for a, b in zip(digits(old), digits(r.text)):
+            assert luhn(b) == luhn(a) and (a != b) == luhn(a)
+            assert linked.setdefault(a, b) == b
+
+
+def luhn(d: str) -> bool:
+    return sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def test_pseudonyms_are_one_to_one(spark):
+    n = 20_000
+    df = spark.range(n).select(
+        pii.new_date(F.date_format(F.date_add(F.lit(pii.CYCLE).cast("date"), (F.col("id") * 7).cast("int")), "dd.MM.yyyy"), "k").alias("date"),
+        pii.new_ipv4(F.concat_ws(".", F.lit("10"), F.lit("0"), (F.col("id") / 256).cast("int"), F.col("id") % 256), "k").alias("ip"),
+        pii.feistel_text(F.lpad(F.col("id").cast("string"), 5, "0"), "k", "x").alias("digits"), pii.new_phone(F.concat(F.lit("+1 (555) 01"), F.lpad(F.col("id").cast("string"), 5, "0")), "k").alias("phone"),
+    )
+    assert list(df.agg(*[F.count_distinct(c) for c in df.columns]).first()) == [n] * 4
+    r = df.first()
+    assert re.fullmatch(r"\d\d\.\d\d\.\d{4}", r.date) and re.fullmatch(r"\+1 \(\d{3}\) \d{7}", r.phone) and all(int(x) < 256 for x in r.ip.split("."))
+
+
+def test_what_is_not_valid_stays(spark):
+    text = "4111111111111112 999.1.1.1 2024-02-30 31/12/2020 000-12-3456 1.2.3 12345 2024"
+    df = spark.createDataFrame([(text,), ("4111-1111-1111-1111 2024-02-29 123-45-6789",)], "text string")
+    a, b = pii.pseudonymise(df, "k").collect()
+    assert a.text == text and a.pii_kinds == []
+    assert b.pii_kinds == ["card", "date", "ssn"] and luhn(b.text[:19].replace("-", "")) and re.fullmatch(r"(\d{4}-){3}\d{4} \d{4}-\d\d-\d\d \d{3}-\d\d-\d{4}", b.text)
+    assert pii.pseudonymise(df, "other").collect()[1].text != b.text
+
+
+# ---- 7 -------------------------------------------------------------------------------------------------------------
+
+
+def test_licences(spark):
+    lines = {
+        "Released under the MIT license": "MIT", "this file is Licensed under the Apache License, Version 2.0 (see below)": "Apache-2.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC", "All Rights Reserved": "proprietary",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published": "GPL-3.0",
+    }
+    others = ["My driving licence expired.", "The copyright debate goes on.", "Licensed under the Zebra License.", "Nothing to see."]
+    df = spark.createDataFrame([(1, "\n".join(["x", *lines, *others]))], "doc_id long, text string")
+    got = {r.text: r for r in licences.scan(df).collect()}
+    assert {t: got[t].family for t in lines} == lines and all(got[t].confirmed for t in lines)
+    assert not any(got[t].confirmed for t in others if t in got) and "Nothing to see." not in got
+    text = df.first().text
+    assert all(text[r.start : r.start + len(r.text)] == r.text for r in got.values())
+
+
+def test_licences_of_documents(spark, sf_dir, docs):
+    want = Counter()
+    known = {"Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "All rights reserved.": "proprietary", "Licensed under CC BY-NC 4.0.": "CC-BY-NC", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0"}
+    for d in docs.values():
+        for k, line in enumerate((d.text or "").split("\n")):
+            if line in known:
+                want[d.doc_id, k, known[line]] += 1
+    assert Counter((r.doc_id, r.paragraph, r.family) for r in run(spark, sf_dir, "op7_") if r.confirmed) == want
+
+
+# ---- 8 -------------------------------------------------------------------------------------------------------------
+
+
+def test_components_of_documents(spark, sf_dir, docs):
+    sets = {k: plain.shingles(d.text) for k, d in docs.items()}
+    want = plain.components(sets)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in run(spark, sf_dir, "op8_")} == {k: (len(s), want[k]) for k, s in sets.items()}
+
+
+@pytest.mark.parametrize("edits", [1, 4, 9])
+def test_components_of_near_copies(spark, edits, monkeypatch):
+    """A large group of near copies, many of them a little too far apart, and texts that share a passage only."""
+    monkeypatch.setattr(jaccard, "TILE", 64)
+    rng = random.Random(edits)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    first, passage = [word() for _ in range(150)], [word() for _ in range(60)]
+    texts = {}
+    for k in range(150):
+        w = list(first)
+        for _ in range(rng.randint(0, edits)):
+            w[rng.randrange(len(w))] = word()
+        texts[k] = " ".join(w)
+    for k in range(150, 230):
+        w = [word() for _ in range(rng.randint(20, 120))]
+        at = rng.randrange(len(w))
+        texts[k] = " ".join(w[:at] + passage + w[at:]).upper()
+    for k in range(230, 250):
+        texts[k] = " ".join(first[: rng.randint(1, 12)])
+    want = plain.components({k: plain.shingles(t) for k, t in texts.items()})
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.id: r.component_id for r in jaccard.near_duplicates(df).collect()} == want
+
+
+@FEW
+@given(st.lists(TEXT, max_size=12))
+def test_components_of_any_texts(spark, texts):
+    docs = dict(enumerate(texts))
+    want = plain.components({k: plain.shingles(t) for k, t in docs.items()})
+    df = spark.createDataFrame(list(docs.items()) or [], "doc_id long, text string")
+    assert {r.id: r.component_id for r in jaccard.near_duplicates(df).collect()} == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(5, 600), st.integers(0, 10_000))
+def test_similar_sets_share_a_signature(size, seed):
+    rng = np.random.default_rng(seed)
+    x = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+    small = int(rng.integers(-(-3 * len(x) // 4), len(x) + 1))
+    drop = len(x) - small
+    a, b = x, np.sort(x[drop:])
+    assert jaccard.falls_short(a) or np.intersect1d(jaccard.signatures(a), jaccard.signatures(b)).size
+    fresh = rng.integers(0, 1 << 63, len(x) // 7, dtype=np.uint64)  # as many replaced: 6/7 of both shared
+    c = np.unique(np.concatenate([x[len(fresh) :], fresh]))
+    if 100 * (len(x) - len(fresh)) >= 75 * (len(x) + len(fresh)):
+        assert jaccard.falls_short(a) or np.intersect1d(jaccard.signatures(a), jaccard.signatures(c)).size
+
+
+def test_sets_that_fall_short_are_joined_by_elements(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "signatures", lambda x, percent=75: np.array([jaccard.set_key(x)]).view(np.uint64) >> np.uint64(8))
+    base = [f"w{i}" for i in range(40)]
+    df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join([*base, "z"])), (3, "other words " * 9)], "doc_id long, text string")
+    sets = jaccard.set_table(df, "doc_id", "text", 5, 75).groupBy("key").agg(F.min("id").alias("rep")).withColumn("short", F.lit(True))
+    assert jaccard.by_elements(df, sets, "text", 5).count() == 1
+
+
+# ---- 9 -------------------------------------------------------------------------------------------------------------
+
+
+def test_context_tree_weighting_equals_a_plain_one(spark):
+    rng = random.Random(5)
+    texts = {k: " ".join("".join(rng.choices("abcé", k=rng.randint(1, 4))) for _ in range(rng.randint(0, 12))) for k in range(30)}
+    train = {k for k in texts if k % 4}
+    df = spark.createDataFrame([(k, t, k in train) for k, t in texts.items()], "doc_id long, text string, train boolean")
+    tree = plain.ContextTree([texts[k] for k in sorted(train)], 3)
+    base, tokens = plain.base_scores(texts, train)
+    for size in (1, 10_000):  # many blocks, one block
+        for r in ctw.score(df, depth=3, block_bytes=size).collect():
+            assert r.score == pytest.approx(tree.log10(texts[r.id]), rel=1e-5) and r.base_score == pytest.approx(base[r.id]) and r.train_tokens == tokens
+            assert r.held_out == (r.id not in train)
+
+
+def test_ranks_by_sorting_are_the_same(monkeypatch):
+    text = np.frombuffer(b"\n\n\nthe cat the hat\n\n\n\nabc\n", np.uint8)
+    first, size = np.array([3, 22]), np.array([16, 4])
+    a = ctw.grams(text, first, size, 3)
+    monkeypatch.setattr(ctw, "MOST_CELLS", 10)
+    b = ctw.grams(text, first, size, 3)
+    assert all((x == y).all() for x, y in zip(a, b))
+
+
+def test_next_byte_probabilities_sum_to_one():
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 1 << 24, 4000).astype(np.uint64) & np.uint64(0x0303FF))
+    n = rng.integers(0, 5, len(keys))
+    context = keys >> np.uint64(8)
+    whole = np.unique((np.unique(context)[:, None] << np.uint64(8) | np.arange(256, dtype=np.uint64)).reshape(-1))
+    count = np.zeros(len(whole), np.int64)
+    count[np.searchsorted(whole, keys)] = n
+    rows = [(b, int(k), float(x), float(y), float(z)) for b, *cols in ctw.summaries(whole, count, 2) for k, x, y, z in zip(*cols)]
+    p = 10 ** ctw.log_probabilities(whole, count, 2, ctw.crown(rows))
+    assert np.allclose(np.add.reduceat(p, np.arange(0, len(whole), 256)), 1)
+
+
+def test_held_out_text_is_shorter_than_by_words(spark, sf_dir):
+    rows = run(spark, sf_dir.replace("sf0.001", "sf0.01"), "op9_")
+    for held in (False, True):
+        own = [r for r in rows if r.held_out == held]
+        assert own and sum(r.score for r in own) > 1.05 * sum(r.base_score for r in own)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2) for r in rows)
+
+
+# ---- 10 ------------------------------------------------------------------------------------------------------------
+
+
+def test_mixture_of_documents(spark, sf_dir, docs):
+    rows = run(spark, sf_dir, "op10_")
+    size = {k: len(plain.words(d.text)) for k, d in docs.items()}
+    own = defaultdict(list)
+    for r in rows:
+        own[r.source].append(r)
+        assert r.size == size[r.doc_id] and 0 <= r.taken <= 3 * r.size
+    names = sorted(own)
+    sizes = [sum(r.size for r in own[s]) for s in names]
+    want = plain.water_levels(sizes, [(5, 2, 1)[i % 3] for i in range(len(names))])
+    for s, n, t in zip(names, sizes, want):
+        assert own[s][0].source_size == n and own[s][0].target == pytest.approx(t) and abs(sum(r.taken for r in own[s]) - t) <= 1
+
+
+@FEW
+@given(st.lists(st.integers(0, 200), min_size=1, max_size=9))
+def test_targets(spark, sizes):
+    rows = [(f"s{i}", n) for i, n in enumerate(sizes[:-1])] + [(None, sizes[-1])]
+    got = [r.target for r in mixing.targets(spark.createDataFrame(rows, "source string, words long")).orderBy(F.col("source").asc_nulls_last()).collect()]
+    assert got == pytest.approx(plain.water_levels(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))]), abs=1e-6)
+
+
+def test_schedule_is_even(spark):
+    sizes = spark.createDataFrame([("a", 6000), ("b", 6000), ("c", 6000)], "source string, words long")
+    slots = [r.source for r in mixing.schedule(mixing.targets(sizes), 18_000, 18).orderBy("slot").collect()]
+    assert len(slots) == 1000
+    for n in (50, 200, 1000):  # every beginning holds each source in proportion
+        part = Counter(slots[:n])
+        assert all(abs(part[s] - n * w / 8) <= 4 for s, w in (("a", 5), ("b", 2), ("c", 1)))
+
+
+def test_pieces_cover_what_is_taken(spark):
+    docs = spark.range(60).select("id", F.when(F.col("id") % 5 == 0, "x").otherwise("y").alias("source"), (F.col("id") % 13).alias("size"))
+    documents, parts = mixing.pieces(docs, block_words=7)
+    rows = parts.orderBy("source", "rank", "epoch", "at", "from_word").collect()
+    line = defaultdict(int)
+    for r in rows:
+        line[r.source, r.rank] += r.to_word - r.from_word
+    quota = {r.source: int(r.target + 1e-6) for r in documents.collect()}
+    for s, q in quota.items():
+        blocks = [n for (source, _), n in line.items() if source == s]
+        assert sum(blocks) == q and max(blocks) - min(blocks) <= 1, "equal blocks"
+    assert len({r.slot for r in rows}) == len(line), "a slot holds one source's block"
+
+
+# ---- pipeline ------------------------------------------------------------------------------------------------------
+
+
+def test_pipeline(spark, sf_dir, docs):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from tempograph.llm.common import stored, table
+
+    kept = {}
+    df = table(spark, sf_dir, "documents")
+    for name, stage in pipeline.STAGES:
+        df = stored(stage(spark, df, sf_dir), f"test_{name}")
+        kept[name] = df.collect()
+    good = {r.doc_id for r in run(spark, sf_dir, "op2_") if r.kept}
+    assert {r.doc_id for r in kept["quality"]} == good
+    component = plain.components({k: plain.shingles(docs[k].text) for k in good})
+    assert sorted(r.doc_id for r in kept["near_duplicates"]) == sorted(set(component.values()))
+    text = {r.doc_id: r.text for r in kept["pseudonyms"]}
+    renamed = {r.doc_id: r.text for r in run(spark, sf_dir, "op6_")}
+    assert text == {k: renamed[k] for k in set(component.values())}
+    n = {k: len(plain.words(t)) for k, t in text.items()}
+    source = {k: docs[k].source for k in text}
+    names = sorted(set(source.values()))
+    want = plain.water_levels([sum(n[k] for k in text if source[k] == s) for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))])
+    for s, t in zip(names, want):
+        assert abs(sum(len(plain.words(r.text)) for r in kept["mixture"] if r.source == s) - t) <= 1
+    for r in kept["mixture"]:
+        w, whole = plain.words(r.text), plain.words(text[r.doc_id])
+        assert w == whole or any(whole[i : i + len(w)] == w for i in range(len(whole)))
+        assert r.n_chars == len(r.text)
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    want = Counter()
+    for r in kept["mixture"]:
+        want.update([*t.encode(r.text, add_special_tokens=False).ids, 1])
+    got = Counter()
+    for r in kept["packing"]:
+        got.update(np.frombuffer(bytes(r.ids), np.uint32).tolist())
+    assert got == want
