@@ -13,6 +13,7 @@ from ..functions import text as X
 from ..functions import viz as V
 from ..operators import enrich, export, fold, traverse, vector
 from ..operators.ordered import asof_last, first_per_key, following, latest_per_key
+from ..sources import graphstore
 from ..sources.gitlog import SKIPPED, base_name, python_files
 from . import adapters as A
 from . import samples
@@ -286,6 +287,21 @@ def commit_rationale(spark, d):
     return g.select("conv_id", enrich.rationale("msg", "s").alias("rationale"))
 
 
+@query("""SELECT p_name AS node_id, arg_min(p_brand, p_partkey) AS file, min(p_partkey) AS ord FROM part
+    WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_size < 2) GROUP BY p_name""")
+def insert_if_absent(spark, d):
+    p = A.table(spark, d, "part").select(F.col("p_name").alias("node_id"), F.col("p_brand").alias("file"), F.col("p_partkey").alias("ord"), "p_size")
+    return graphstore.new_nodes(p.where("p_size < 2").select("node_id").distinct(), p.drop("p_size"))
+
+
+@query("""SELECT l_orderkey AS from_id, l_returnflag AS label, l_partkey AS to_id, min(l_linenumber) AS ord FROM lineitem
+    WHERE l_orderkey % 3 = 0 AND l_partkey % 3 = 0 AND (l_orderkey, l_returnflag, l_partkey) NOT IN (SELECT (l_orderkey, l_returnflag, l_partkey) FROM lineitem WHERE l_quantity < 10) GROUP BY 1, 2, 3""")
+def insert_edges(spark, d):
+    li = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("from_id"), F.col("l_returnflag").alias("label"), F.col("l_partkey").alias("to_id"), F.col("l_linenumber").alias("ord"), "l_quantity")
+    nodes = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("node_id")).union(A.table(spark, d, "part").select("p_partkey")).where("node_id % 3 = 0")
+    return graphstore.new_edges(li.where("l_quantity < 10"), li.drop("l_quantity"), nodes)
+
+
 # ---- vectors -----------------------------------------------------------------------------------------------------
 
 SIM = """WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0),
@@ -321,6 +337,11 @@ def vector_distances(spark, d):
     return e.select("vec_id", F.round(vector.dot("embedding", q), 6).alias("dot"), F.round(vector.l2("embedding", q), 6).alias("l2"))
 
 
+@query("SELECT vec_id, label FROM embeddings ORDER BY label = 7 DESC, vec_id LIMIT 1")
+def preferred_row(spark, d):
+    return vector.preferred(A.table(spark, d, "embeddings").select("vec_id", "label"), F.col("label") == 7, [F.col("vec_id")])
+
+
 # ---- scalar expressions ------------------------------------------------------------------------------------------
 
 

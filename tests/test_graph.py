@@ -282,3 +282,51 @@ def test_export_round_trip(spark, two, tmp_path):
     assert rn.count() == vn.count() == 39 and re.count() == 81
     assert rn.where("status <> 'active'").count() == 0
     assert {r.m for r in rn.where("kind = 'FunctionState'").select(F.col("metadata")["status"].alias("m")).collect()} == {"active", "superseded"}
+
+
+def test_saved_graph(spark, two, tmp_path):
+    from helpers import plan
+
+    from tempograph.sources import graphstore
+
+    graphstore.save(two, str(tmp_path / "g"))
+    back = graphstore.load(spark, str(tmp_path / "g"))
+    assert edge_set(back.edges) == edge_set(two.edges) and back.nodes[M.STATE].count() == 20
+    assert "PartitionFilters: [isnotnull(label" in plan(back.edge(M.CALLS)), "one label is one folder"
+    assert Tools(back).trace_blast_radius("func_auth_models_get_user").count() == 2
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tempograph.__main__ import main
+
+    repo = tmp_path / "repo"
+    repo.mkdir()
+    run = lambda *a: subprocess.run(["git", "-C", str(repo), "-c", "user.name=n", "-c", "user.email=e@x", *a], check=True, capture_output=True)
+    run("init", "-b", "master")
+    (repo / "a.py").write_text("def f(): pass\n\ndef g(): f()\n")
+    run("add", "-A"), run("commit", "-m", "one")
+    out = str(tmp_path / "graph")
+    assert main(["ingest", str(repo), out]) == 0 and main(["enrich", out]) == 0
+    assert main(["export", f"{out}-enriched", str(tmp_path / "viz.json")]) == 0
+    capsys.readouterr()
+    assert main(["call", out, "trace_blast_radius", '{"function_identity_id": "func_a_f"}']) == 0
+    assert json.loads(capsys.readouterr().out) == [{"node_id": "func_a_g", "name": "g", "file": "a.py"}]
+    doc = json.loads((tmp_path / "viz.json").read_text("utf-8"))
+    assert any(n["kind"] == "Commit" and n["summary"].startswith("Commit: one") for n in doc["nodes"])
+    assert main([]) == 2
+
+
+def test_settings_and_services(spark, tmp_path):
+    from tempograph.sources.config import first_value
+
+    (tmp_path / ".env").write_text("# note\nKEY='a=b'\nX=2\n")
+    assert first_value(str(tmp_path / ".env")) == "a=b" and first_value(str(tmp_path / "none")) == ""
+
+    def call(text):
+        if text == "bad":
+            raise OSError
+        return [float(len(text)), 1.0]
+
+    embed = vector.service_embedding(call, 2)
+    df = spark.createDataFrame([("abc",), ("bad",), ("",), (None,)], "t string")
+    assert [list(r.v) for r in df.select(embed(F.col("t")).alias("v")).collect()] == [[3.0, 1.0], [0.0, 0.0], [0.0, 0.0], [0.0, 0.0]]
