@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import buckets, hash_bucket, hash_order, running, stored, table
 
 N_SHARDS = 40
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 2_000
 
 
 def keys_of(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
