@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import model as M
 from ..functions import text as X
 from ..functions import viz as V
-from ..operators import enrich, export, fold, traverse, vector
+from ..operators import enrich, export, fold, keyed, traverse, vector
 from ..operators.ordered import asof_last, first_per_key, following, latest_per_key
 from ..sources import graphstore
 from ..sources.gitlog import SKIPPED, base_name, python_files
@@ -302,6 +302,29 @@ def insert_edges(spark, d):
     return graphstore.new_edges(li.where("l_quantity < 10"), li.drop("l_quantity"), nodes)
 
 
+@query("""WITH w AS (SELECT o_custkey AS k, o_orderkey AS v, o_orderstatus AS s FROM orders WHERE o_orderkey % 2 = 0), n AS (SELECT k, max(v) AS v, arg_max(s, v) AS s FROM w GROUP BY k)
+    SELECT c_custkey AS k, coalesce(n.v, -1) AS v, coalesce(n.s, c_mktsegment) AS s FROM customer LEFT JOIN n ON n.k = c_custkey""")
+def keyed_upsert(spark, d):
+    c = A.table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.lit(-1).cast("long").alias("v"), F.col("c_mktsegment").alias("s"))
+    w = A.table(spark, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v"), F.col("o_orderstatus").alias("s"))
+    return keyed.upserted(c, w, "k", "v")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def keyed_delete(spark, d):
+    gone = A.table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return keyed.deleted(A.table(spark, d, "customer").select("c_custkey", "c_name"), gone, "c_custkey")
+
+
+@query("""SELECT e.user_id AS k, any_value(c_name) AS name, bool_or(c_custkey IS NOT NULL) AS "exists", count(*) AS n, regexp_matches('user' || e.user_id, '^[A-Za-z0-9]{6,}$') AS valid
+    FROM events e LEFT JOIN customer ON c_custkey = e.user_id * 7 GROUP BY e.user_id""")
+def keyed_lookup(spark, d):
+    keys = A.table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n")).withColumn("k", F.col("user_id") * 7)
+    names = A.table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
+    got = keyed.found(keys, names, "k")
+    return got.select(F.col("user_id").alias("k"), "name", "exists", "n", keyed.valid_name(F.concat(F.lit("user"), F.col("user_id")), 6).alias("valid"))
+
+
 # ---- vectors -----------------------------------------------------------------------------------------------------
 
 SIM = """WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0),
