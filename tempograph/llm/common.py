@@ -25,12 +25,18 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[0]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: rows of a file of a table whose size is known
+ROWS_PER_FILE = 100_000
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """df written as Parquet into the shared folder and read again: lineage ends here, and a lost executor costs no recomputation.
 
-    The files stay until `drop_stored`, as later plans may still read them.
+    rows: about how many at most, if known, so that a small table isn't written as many files.  The files stay until
+    `drop_stored`, as later plans may still read them.
     """
     spark = df.sparkSession
+    df = df if rows is None else df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
     path = f"{shared_folder(spark)}/tempograph/{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -13,10 +13,12 @@ that this holds by six standard deviations, and the sets for which it does not h
 joined with all others by their single elements.
 
 Candidates.  Signatures travel as compressed files of one partition of signatures each; sets, not documents, are
-joined, so copies collapse at once.  A shared signature gives a list of sets; equal lists are merged.  No pairs of a list
-are made at first: its smallest set is held against each other one (a star), and connected components are
-taken.  Lists whose sets then lie in several components are looked through again, in tiles of bounded size: pairs of different
-components pass if the bit parities of their sets (a sketch that gives a lower bound of the difference) allow similarity.
+joined, so copies collapse at once.  A shared signature gives a list of sets; equal lists are merged, and looked through in
+tiles of bounded size.  A pair passes if sizes and the bit parities of both sets (a sketch that gives a lower bound of their
+difference) allow similarity.  Where too many do, as in a large group of near copies, whose sets share hundreds of lists, some of
+the lists send the pairs of their smallest key; after verification and connected components, all such lists that lie in several
+components are looked through again with finer sketches, first for pairs that connect what all allowed pairs of different
+components connect (a forest), then, with the components that these give, for all allowed pairs that are left.
 Every candidate is verified on the sets themselves, so no link between components is missed, and none is wrong.
 (Two different sets or n-grams of equal 64-bit hash would be taken for equal.)
 
@@ -42,9 +44,13 @@ from .textbytes import LOWER, column_bytes, mixed, parts, word_bounds, word_hash
 
 N, PERCENT = 5, 75
 SIGMAS = 6
-TILE = 2048
+TILE, MANY, FINE, STAR = 2048, 4, 8, 8
+#: times the width of a row of a few numbers, of one with a whole set
+WIDE = 20
 #: of a signature's 64 bits so many are kept; chance collisions only cost a comparison
 SIGNATURE_BITS = 56
+#: at most about so many signatures meet in one task (a set has fewer signatures than elements)
+SIGNATURES_PER_PART = 4_000_000
 _STEP = [np.uint64(pow(0xD1342543DE82EF95, i + 1, 1 << 64)) for i in range(64)]
 
 
@@ -71,9 +77,9 @@ def set_key(x: np.ndarray) -> np.int64:
     return mixed(mixed(x).sum(keepdims=True) + np.uint64(len(x))).view(np.int64)[0]
 
 
-def sketch(x: np.ndarray) -> bytes:
-    """Parities of the elements dealt into at least twice as many bits, a power of two."""
-    bits = 1 << max(6, (2 * len(x) - 1).bit_length())
+def sketch(x: np.ndarray, times: int = 1) -> bytes:
+    """Parities of the elements dealt into at least times as many bits, a power of two."""
+    bits = 1 << max(6, (times * len(x) - 1).bit_length())
     return np.packbits((np.bincount((x & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
@@ -222,98 +228,221 @@ def signature_lists(docs: DataFrame, text_col: str, n: int, percent: int, n_part
     return lists.groupBy("list").agg(F.first("members").alias("members"))
 
 
-def similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, name: str) -> DataFrame:
-    """The pairs (a, b) of set keys that are similar, found on the sets themselves."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    reps = sets.join(need, "key", "left_semi").select(F.col("rep").alias("_rep")).distinct()
+def again_from_text(keys: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, column: str, kind: str, make) -> DataFrame:
+    """key, size and a column made of the elements, for each of keys: its first document is read again."""
+    reps = sets.join(keys, "key", "left_semi").select(F.col("rep").alias("_rep")).distinct()
     texts = docs.join(reps, docs[id_col] == F.col("_rep"), "left_semi").select(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in parts(whole, text_col):
                 found = [x for x in shingles(batch.column(text_col), n) if len(x)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in found], pa.int64()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=["key", "elements"])
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([make(x) for x in found])], names=["key", "size", column])
+
+    return texts.mapInArrow(run, f"key long, size long, {column} {kind}").dropDuplicates(["key"])
 
-    elements = stored(texts.mapInArrow(run, "key long, elements array<long>").dropDuplicates(["key"]), f"{name}_elements")
+
+def similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, name: str) -> DataFrame:
+    """The pairs (a, b) of set keys that are similar, found on the sets themselves."""
+    need = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    elements = again_from_text(need, sets, docs, id_col, text_col, n, "elements", "array<long>", lambda x: x.view(np.int64))
+    elements = stored(elements, f"{name}_elements", 2 * pairs.count() * WIDE)
     side = lambda c: elements.select(F.col("key").alias(c), F.col("elements").alias(f"_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("_i", F.size(F.array_intersect("_a", "_b")))
     return both.where(100 * F.col("_i") >= percent * (F.size("_a") + F.size("_b") - F.col("_i"))).select("a", "b")
 
 
-def close(pairs_of: np.ndarray, sketches: list[bytes], sizes: np.ndarray, percent: int) -> np.ndarray:
-    """Whether the sketches allow each pair (two columns of places) to be similar."""
-    out = np.zeros(len(pairs_of), bool)
-    length = np.array([len(s) for s in sketches])
-    least = np.minimum(length[pairs_of[:, 0]], length[pairs_of[:, 1]])
-    for width in np.unique(least):
-        at = np.flatnonzero(least == width)
-        used, index = np.unique(pairs_of[at], return_inverse=True)
-        index = index.reshape(-1, 2)
-        rows = np.stack([np.bitwise_xor.reduce(np.frombuffer(sketches[i], np.uint64).reshape(-1, int(width) // 8), axis=0) for i in used])
-        for i in range(0, len(at), 1 << 14):
-            a, b = index[i : i + (1 << 14)].T
-            apart = np.bitwise_count(rows[a] ^ rows[b]).sum(1, dtype=np.int64)
-            two = sizes[pairs_of[at[i : i + (1 << 14)]]].sum(1)
-            out[at[i : i + (1 << 14)]] = apart * (100 + percent) <= two * (100 - percent)
-    return out
-
-
-def tiled_pairs(tiles: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components in each tile (list, i, j) that sizes and sketches allow."""
-
-    def of_tile(t: pa.Table, i: int, j: int) -> np.ndarray:
-        key, comp, chunk, size = (t.column(c).to_numpy() for c in ("key", "component", "chunk", "size"))
-        sketches = t.column("sketch").to_pylist()
-        order = np.argsort(size, kind="stable")
+class Candidates:
+    """Rows of many tiles (key, component, chunk, size, sketch), and which pairs of rows of different components may be similar."""
+
+    def __init__(self, t: pa.Table, percent: int):
+        self.percent = percent
+        self.key, self.comp, self.chunk, self.size = (t.column(c).to_numpy() for c in ("key", "component", "chunk", "size"))
+        raw = t.column("sketch").to_pylist()
+        self.width = np.fromiter(map(len, raw), np.int64, len(raw))
+        self.rows = {}  # by width: sketches folded to it
+        self.place = {}
+        for w in np.unique(self.width):
+            at = np.flatnonzero(self.width >= w)
+            m = np.empty((len(at), w // 8), np.uint64)
+            for v in np.unique(self.width[at]):
+                own = np.flatnonzero(self.width[at] == v)
+                m[own] = np.bitwise_xor.reduce(np.frombuffer(b"".join([raw[i] for i in at[own]]), np.uint64).reshape(len(own), -1, w // 8), axis=1)
+            place = np.full(len(raw), -1, np.int64)
+            place[at] = np.arange(len(at))
+            self.rows[w], self.place[w] = m, place
+
+    def allowed(self, x, ys: np.ndarray, across: bool) -> np.ndarray:
+        """For each of ys whether it may be similar to x (one row, or as many as ys); across: only rows of different chunks."""
+        low, high = np.minimum(self.size[x], self.size[ys]), np.maximum(self.size[x], self.size[ys])
+        ok = (self.comp[x] != self.comp[ys]) & (100 * low >= self.percent * high)
+        if across:
+            ok &= self.chunk[x] != self.chunk[ys]
+        left = np.flatnonzero(ok)
+        least = np.minimum(self.width[x], self.width[ys])[left]
+        for w in np.unique(least):
+            at = left[least == w]
+            place, m = self.place[w], self.rows[w]
+            one = m[place[x]] if np.ndim(x) == 0 else m[place[x[at]]]
+            apart = np.bitwise_count(one ^ m[place[ys[at]]]).sum(1, dtype=np.int64)
+            ok[at] = apart * (100 + self.percent) <= (low[at] + high[at]) * (100 - self.percent)
+        return ok
+
+    def pairs(self, rows: np.ndarray, across: bool, most: float) -> np.ndarray | None:
+        """All allowed pairs of rows; None as soon as there are more than most."""
+        rows = rows[np.argsort(self.size[rows], kind="stable")]
+        size = self.size[rows]
+        last = np.searchsorted(size, size * 100 // self.percent, "right")
+        found, n = [], 0
+        for i, x in enumerate(rows):
+            ys = rows[i + 1 : last[i]]
+            if len(ys):
+                ys = ys[self.allowed(x, ys, across)]
+                found.append(np.column_stack([np.full(len(ys), x), ys]))
+                n += len(ys)
+                if n > most:
+                    return None
+        return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+    def cross(self, rows: np.ndarray, across: bool) -> np.ndarray:
+        """All allowed pairs of rows, where one component has most of them."""
+        names, comp, n = np.unique(self.comp[rows], return_inverse=True, return_counts=True)
+        large, small = rows[comp == n.argmax()], rows[comp != n.argmax()]
+        found = [np.zeros((0, 2), np.int64)]
+        for i, x in enumerate(small):
+            ys = np.concatenate([large, small[i + 1 :]])
+            ys = ys[self.allowed(x, ys, across)]
+            found.append(np.column_stack([np.full(len(ys), x), ys]))
+        return np.concatenate(found)
+
+    def star(self, rows: np.ndarray, across: bool) -> np.ndarray:
+        """Allowed pairs of the smallest key."""
+        hub = rows[self.key[rows].argmin()]
+        ys = rows[self.allowed(hub, rows, across)]
+        return np.column_stack([np.full(len(ys), hub), ys])
+
+    def forest(self, rows: np.ndarray, across: bool) -> np.ndarray:
+        """Allowed pairs that connect the components that all allowed pairs connect; small keys go first, so that lists choose alike."""
+        rows = rows[np.argsort(self.key[rows])]
+        names, comp = np.unique(self.comp[rows], return_inverse=True)
+        member = np.split(np.argsort(comp, kind="stable"), np.cumsum(np.bincount(comp))[:-1])
+        left = np.ones(len(names), bool)
         found = []
-        for at, x in enumerate(order):  # partners are larger, by sizes that similarity allows
-            last = np.searchsorted(size[order], size[x] * 100 // percent, "right")
-            y = order[at + 1 : last]
-            y = y[comp[y] != comp[x]]
-            if i != j:
-                y = y[chunk[y] != chunk[x]]
-            if len(y):
-                pairs = np.column_stack([np.full(len(y), x), y])
-                found.append(pairs[close(pairs, sketches, size, percent)])
-        return key[np.concatenate(found)] if found else np.zeros((0, 2), np.int64)
+        for root in range(len(rows)):
+            if not left[comp[root]]:
+                continue
+            left[comp[root]] = False
+            front = member[comp[root]]
+            while len(front) and left.any():  # a level of the search: the smaller side asks the larger
+                out, new = np.flatnonzero(left[comp]), []
+                if len(front) <= len(out):
+                    for x in front:
+                        ys = out[left[comp[out]]]
+                        ys = ys[self.allowed(rows[x], rows[ys], across)]
+                        for y in ys[np.unique(comp[ys], return_index=True)[1]]:
+                            new.append((x, y))
+                            left[comp[y]] = False
+                else:
+                    for y in out:
+                        if left[comp[y]]:
+                            ok = self.allowed(rows[y], rows[front], across)
+                            if ok.any():
+                                new.append((front[ok.argmax()], y))
+                                left[comp[y]] = False
+                found += [(rows[x], rows[y]) for x, y in new]
+                front = np.sort(np.concatenate([member[comp[y]] for _, y in new])) if new else front[:0]
+        return np.array(found, np.int64).reshape(-1, 2)
+
+
+def tiled_pairs(tiles: DataFrame, percent: int, how: str) -> DataFrame:
+    """Candidates (a, b) in each tile (list, i, j).
+
+    how: `few` (all allowed pairs; where they are more than MANY times the tile's sets a row (again = list) says so, and one list in
+    STAR sends those of its smallest key), `forest` (pairs that connect what the allowed ones connect), `all`.
+    """
+    small = 2 * MANY + 1  # so many sets have no more than MANY pairs each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        seen = np.zeros(0, np.uint64)  # pairs already sent by this task; forgotten when too many
 
         def emit(t: pa.Table) -> pa.RecordBatch:
+            nonlocal seen
             name = np.column_stack([t.column(c).to_numpy() for c in ("list", "i", "j")])
-            cut = np.flatnonzero(np.append(True, (name[1:] != name[:-1]).any(1)))
-            got = [of_tile(t.slice(a, b - a), name[a, 1], name[a, 2]) for a, b in zip(cut, np.append(cut[1:], len(name)))]
-            got = np.sort(np.concatenate(got), axis=1)
-            got = np.unique(got, axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(got[:, 0], pa.int64()), pa.array(got[:, 1], pa.int64())], names=["a", "b"])
+            rows = Candidates(t, percent)
+            begin = np.flatnonzero(np.append(True, (name[1:] != name[:-1]).any(1)))
+            n = np.diff(np.append(begin, len(name)))
+            got, again = [np.zeros((0, 2), np.int64)], []
+            for size in range(2, small + 1):  # the many small tiles at once
+                first = begin[n == size]
+                if len(first):
+                    x, y = np.triu_indices(size, 1)
+                    x, y = (first[:, None] + x).ravel(), (first[:, None] + y).ravel()
+                    across = name[x, 1] != name[x, 2]
+                    for some in (False, True):
+                        at = np.flatnonzero(across == some)
+                        ok = at[rows.allowed(x[at], y[at], some)]
+                        got.append(np.column_stack([x[ok], y[ok]]))
+            for b, k in zip(begin[n > small], n[n > small]):
+                own, across = np.arange(b, b + k), bool(name[b, 1] != name[b, 2])
+                pairs = rows.pairs(own, across, MANY * k) if how == "few" else rows.forest(own, across) if how == "forest" else rows.cross(own, across)
+                if pairs is None:
+                    again.append(int(name[b, 0]))
+                    pairs = rows.star(own, across) if name[b, 0] % STAR == 0 else got[0]
+                got.append(pairs)
+            got = np.sort(rows.key[np.concatenate(got)], axis=1)
+            mark, first = np.unique(mixed(got[:, 0].astype(np.uint64)) + got[:, 1].astype(np.uint64) * _STEP[0], return_index=True)
+            new = ~np.isin(mark, seen)
+            got, mark = got[first[new]], mark[new]
+            seen = np.concatenate([seen, mark]) if len(seen) < 1 << 20 else mark
+            none = [None] * len(again)
+            return pa.RecordBatch.from_arrays([pa.array([*got[:, 0].tolist(), *none], pa.int64()), pa.array([*got[:, 1].tolist(), *none], pa.int64()), pa.array([None] * len(got) + again, pa.int64())], names=["a", "b", "again"])
 
         for batch in batches:
             held.append(batch)
-            t = pa.Table.from_batches(held)
-            name = np.column_stack([t.column(c).to_numpy() for c in ("list", "i", "j")])
-            same = np.flatnonzero((name != name[-1]).any(1))
-            if len(same):  # all but the last tile, which may go on
-                whole = int(same[-1]) + 1
+            name = np.column_stack([batch.column(c).to_numpy() for c in ("list", "i", "j")])
+            same = np.flatnonzero((name != name[-1]).any(1)) if len(name) else []
+            first = pa.Table.from_batches(held).slice(0, 1) if len(held) > 1 and len(name) else None
+            changed = len(same) or first is not None and any(first.column(c)[0].as_py() != v for c, v in zip(("list", "i", "j"), name[-1].tolist()))
+            if changed:  # all but the last tile, which may go on
+                t = pa.Table.from_batches(held)
+                whole = len(t) - len(name) + (int(same[-1]) + 1 if len(same) else 0)
                 yield emit(t.slice(0, whole))
                 held = t.slice(whole).to_batches()
-        if held:
+        if held and sum(map(len, held)):
             yield emit(pa.Table.from_batches(held))
 
-    return tiles.select("list", "i", "j", "key", "component", "chunk", "size", "sketch").mapInArrow(run, "a long, b long")
+    return tiles.select("list", "i", "j", "key", "component", "chunk", "size", "sketch").mapInArrow(run, "a long, b long, again long")
+
+
+def tiles_of(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """members (list, n, key, component) with sizes and sketches, each in the tiles of its list: pairs of chunks of some TILE sets."""
+    rows = members.join(sets.select("key", "size", "sketch"), "key")
+    rows = rows.withColumn("_c", F.expr(f"(n + {TILE - 1}) div {TILE}")).withColumn("chunk", F.expr("pmod(xxhash64(key), _c)"))
+    rows = rows.withColumn("_o", F.explode(F.expr("sequence(0L, _c - 1)"))).withColumns({"i": F.least("chunk", "_o"), "j": F.greatest("chunk", "_o")})
+    return rows.drop("_c", "_o").repartition("list", "i", "j").sortWithinPartitions("list", "i", "j")
+
+
+def in_several(members: DataFrame, label: DataFrame, name: str) -> DataFrame:
+    """members (list, n, key) with their components, of the lists that lie in several."""
+    rows = members.join(label, F.col("key") == label["node"], "left").select("list", "n", "key", F.coalesce("component", "key").alias("component"))
+    several = rows.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("list")
+    return stored(rows.join(several, "list", "left_semi"), f"{name}_members")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
     """node, component (its smallest node) of undirected edges (a, b): neighbours' minimum, then pointer jumping."""
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{name}_edges")
-    label = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), f"{name}_0")
+    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
+    n = 2 * edges.count()
+    both = stored(both, f"{name}_edges", n)
+    label = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), f"{name}_0", n)
     step = 0
     while True:
         step += 1
         near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("component").alias("m"))
         low = label.join(near, label["node"] == near["a"]).select("node", F.least("component", "m").alias("component"), F.col("component").alias("old"))
         up = low.select(F.col("node").alias("_n"), F.col("component").alias("_up"))
-        new = stored(low.join(up, low["component"] == up["_n"]).select("node", "_up", "old").withColumnRenamed("_up", "component"), f"{name}_{step}")
+        new = stored(low.join(up, low["component"] == up["_n"]).select("node", "_up", "old").withColumnRenamed("_up", "component"), f"{name}_{step}", n)
         changed = new.where("component <> old").limit(1).count()
         label = new.select("node", "component")
         if not changed:
@@ -325,26 +454,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = importable(docs.sparkSession)
     base = stored(set_table(docs, id_col, text_col, n, percent), "jaccard_sets")
     sets = stored(base.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.max("short").alias("short")), "jaccard_keys")
-    lists = stored(signature_lists(docs, text_col, n, percent, int(spark.conf.get("spark.sql.shuffle.partitions"))), "jaccard_lists")
-    check = lambda pairs, name: stored(similar(stored(pairs, f"{name}_pairs"), sets, docs, id_col, text_col, n, percent, name), f"{name}_links")
-
-    star = lists.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", F.lit(2), F.size("members"))).alias("b")).distinct()
-    side = lambda c: sets.select(F.col("key").alias(c), F.col("size").alias(f"size_{c}"))
-    sized = star.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")).select("a", "b")
-    links = check(sized, "star")
+    total = sets.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // SIGNATURES_PER_PART)
+    lists = stored(signature_lists(docs, text_col, n, percent, n_parts), "jaccard_lists")
+    check = lambda pairs, name: stored(similar(pairs, sets, docs, id_col, text_col, n, percent, name), f"{name}_links", pairs.count() * WIDE)
+    pairs = lambda found, name: stored(found.where("a IS NOT NULL").select("a", "b").distinct(), name, found.count())
+
+    members = lists.select("list", F.size("members").cast("long").alias("n"), F.explode("members").alias("key"))
+    found = stored(tiled_pairs(tiles_of(members.withColumn("component", F.col("key")), sets), percent, "few"), "jaccard_few")
+    links = check(pairs(found, "few_pairs"), "few")
     if sets.where("short").limit(1).count():
-        links = links.unionByName(check(by_elements(docs, sets, text_col, n), "short"))
-    label = components(links, "first")
-
-    members = lists.select("list", F.size("members").alias("n"), F.explode("members").alias("key")).join(label, F.col("key") == label["node"], "left")
-    members = members.select("list", "n", "key", F.coalesce("component", "key").alias("component"))
-    mixed_lists = members.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("list")
-    rest = members.join(mixed_lists, "list", "left_semi").join(sets.select("key", "size", "sketch"), "key")
-    rest = rest.withColumn("_c", F.expr(f"(n + {TILE - 1}) div {TILE}")).withColumn("chunk", F.expr("pmod(xxhash64(key), _c)"))
-    tiles = rest.withColumn("_o", F.explode(F.expr("sequence(0L, _c - 1)"))).withColumns({"i": F.least("chunk", "_o"), "j": F.greatest("chunk", "_o")})
-    tiles = tiles.repartition("list", "i", "j").sortWithinPartitions("list", "i", "j")
-    links = links.unionByName(check(tiled_pairs(tiles, percent).distinct(), "tile"))
-    label = components(links, "all")
+        links = links.unionByName(check(stored(by_elements(docs, sets, text_col, n), "short_pairs"), "short"))
+    again = stored(found.where("again IS NOT NULL").select(F.col("again").alias("list")).distinct(), "jaccard_again", found.count())
+    label = components(links, "few")
+    rest = members.join(again, "list", "left_semi")
+    for how in ("forest", "all"):
+        rest = in_several(rest.select("list", "n", "key"), label, how)
+        if not rest.limit(1).count():
+            break
+        if how == "forest":
+            fine = again_from_text(rest.select("key").distinct(), sets, docs, id_col, text_col, n, "sketch", "binary", lambda x: sketch(x, FINE))
+            fine = stored(fine, "jaccard_fine")
+        found = stored(tiled_pairs(tiles_of(rest, fine), percent, how), f"jaccard_{how}")
+        links = links.unionByName(check(pairs(found, f"{how}_pairs"), how))
+        label = components(links, how)
 
     docs_of = base.join(label, base["key"] == label["node"], "left").select("id", "size", F.coalesce("component", "key").alias("component"))
     docs_of = stored(docs_of, "jaccard_documents")
