@@ -18,7 +18,8 @@ from tempograph.llm.common import stored, table, words
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules fail, or that are outliers of their language and source, go."""
-    return quality.quality_rules(docs, keep_text=True).where("kept").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text", "lang", "source")
+    return quality.quality_rules(rows, keep=("_row",)).where("kept").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,21 +32,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return with_length(pii.pseudonymise(docs)).select(*docs.columns)
+    return with_length(pii.pseudonymise(docs, kinds_col="_pii_kinds")).select(*docs.columns)
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time that the mix takes a document or, where a block ends inside it, a run of its words."""
-    key = F.xxhash64("text")
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
     sizes = docs.select(F.col("doc_id").alias("id"), "source", F.size(words(F.col("text"))).cast("long").alias("size"), key.alias("text_key"))
-    documents, parts = mixing.pieces(stored(sizes, "mix_sizes"))
+    documents, parts = mixing.pieces(stored(sizes, "mix_sizes"), others=("text_key",))
     runs = parts.groupBy("source", "at", "size", "epoch").agg(F.min("from_word").alias("from_word"), F.max("to_word").alias("to_word"))
     runs = runs.select(F.col("source").alias("_s"), F.col("at").alias("_a"), F.col("size").alias("_z"), F.struct("from_word", "to_word").alias("run"))
     on = documents["source"].eqNullSafe(F.col("_s")) & (documents["at"] == F.col("_a")) & (documents["size"] == F.col("_z"))
-    taken = documents.join(runs, on).groupBy(F.col("id").alias("_id"), F.col("source").alias("_src"), "text_key").agg(F.collect_list("run").alias("runs"), F.first("size").alias("_size"))
+    taken = documents.join(runs, on).groupBy(F.col("id").alias("_id"), F.col("source").alias("_src"), F.col("text_key").alias("_text_key")).agg(F.collect_list("run").alias("_runs"), F.first("size").alias("_size"))
     rows = docs.withColumn("_key", key).dropDuplicates(["doc_id", "source", "_key"])
-    rows = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("_key") == F.col("text_key")))
-    rows = rows.withColumn("_run", F.explode("runs"))
+    rows = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("_key") == F.col("_text_key")))
+    rows = rows.withColumn("_run", F.explode("_runs"))
     part = F.array_join(F.slice(words(F.col("text")), (F.col("_run.from_word") + 1).cast("int"), (F.col("_run.to_word") - F.col("_run.from_word")).cast("int")), " ")
     whole = F.col("_run.to_word") - F.col("_run.from_word") == F.col("_size")
     return with_length(rows.withColumn("text", F.when(whole, F.col("text")).otherwise(part))).select(*docs.columns)
