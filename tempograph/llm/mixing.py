@@ -80,20 +80,19 @@ def schedule(target: DataFrame, total: int, block_words: int = BLOCK_WORDS) -> D
     return hit.select("slot", "source", "rank", "blocks", "quota", "begin", "length")
 
 
-def pieces(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: str = "mix", weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> tuple[DataFrame, DataFrame]:
-    """docs (id, source, size, and any others that identify a row) as (documents, pieces).
+def pieces(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: str = "mix", weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, others: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """docs (id, source, size, and others that tell rows apart; the rest is left out) as (documents, pieces).
 
-    documents: docs with at (place on the source's line), words, target.  pieces: a row for each part of a document
+    documents: with at (place on the source's line), words, target.  pieces: a row for each part of a document
     in a block: source, at, epoch, slot, rank, from_word, to_word (words of the document).
     """
-    others = [c for c in docs.columns if c not in ("id", "source", "size")]
-    docs = docs.withColumn("_h", hash_order(seed, "id", "size"))
+    docs = docs.select("id", "source", "size", *others).withColumn("_h", hash_order(seed, "id", "size"))
     n, total = docs.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    target = stored(targets(docs.groupBy("source").agg(F.sum("size").alias("words")), weights, max_epochs), "mix_targets")
+    target = stored(targets(docs.groupBy("source").agg(F.sum("size").alias("words")), weights, max_epochs), "mix_targets", n)
     df = docs.withColumn("_b", hash_bucket(F.col("_h"), buckets(n, ROWS_PER_BUCKET)))
     df = running(df, ["source"], "_b", ["_h", "id", "size", *others], "size", "at").drop("_b", "_h")
     t = target.select(F.col("source").alias("_s"), "words", "target", "quota")
-    slots = stored(schedule(target, total, block_words), "mix_slots")
+    slots = stored(schedule(target, total, block_words), "mix_slots", total // block_words + n)
     counts = slots.groupBy("source").agg(F.max("blocks").alias("blocks")).withColumnRenamed("source", "_c")
     t = t.join(counts, F.col("_s").eqNullSafe(F.col("_c")), "left").drop("_c")
     df = stored(df.join(t, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), "mix_documents")

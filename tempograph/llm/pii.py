@@ -179,12 +179,12 @@ def pseudonymise(docs: DataFrame, key: str = "test key", text_col: str = "text",
     text = F.col(text_col)
     has = F.coalesce(text.rlike(HINT), F.lit(False))
     found = F.when(has, F.regexp_extract_all(text, F.lit(FOUND), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    df = docs.withColumn("_found", F.transform(found, lambda m: F.struct(kind_of(m).alias("kind"), m.alias("m"))))
-    df = df.withColumn("_new", F.transform("_found", lambda x: pseudonym(x["kind"], x["m"], key)))
+    df = docs.withColumn("_pii_found", F.transform(found, lambda m: F.struct(kind_of(m).alias("kind"), m.alias("m"))))
+    df = df.withColumn("_pii_new", F.transform("_pii_found", lambda x: pseudonym(x["kind"], x["m"], key)))
     between = F.split(text, FOUND, -1)
-    joined = F.array_join(F.zip_with(between, F.col("_new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    df = df.withColumn(kinds_col, F.filter(F.transform("_found", lambda x: x["kind"]), lambda k: k.isNotNull()))
-    return df.withColumn(out_col or text_col, F.when(F.size("_new") > 0, joined).otherwise(text)).drop("_found", "_new")
+    joined = F.array_join(F.zip_with(between, F.col("_pii_new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    df = df.withColumn(kinds_col, F.filter(F.transform("_pii_found", lambda x: x["kind"]), lambda k: k.isNotNull()))
+    return df.withColumn(out_col or text_col, F.when(F.size("_pii_new") > 0, joined).otherwise(text)).drop("_pii_found", "_pii_new")
 
 
 def op6_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,10 +66,9 @@ def consistency(share: float, k: int) -> float:
     return share / chi2_cdf(chi2_point(share, k), k + 2)
 
 
-def statistics(docs: DataFrame, text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """docs, without the text or with it, and n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_adjacent (long)."""
+def statistics(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
+    """The columns of keep, and n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_adjacent (long)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keep = [c for c in docs.columns if keep_text or c != text_col]
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = docs.select(
         *keep, words(text).alias("_w"), lines.alias("_l"), F.length(F.regexp_replace(text, SPACES, "")).alias("word_chars"),
@@ -108,9 +107,10 @@ def grouped(df: DataFrame, lang_col: str, source_col: str, min_rows: int) -> Dat
     small = F.when(F.col("n") < min_rows, F.col("n"))
     of_lang = n.groupBy("_lang").agg(F.coalesce(F.sum(small), F.lit(0)).alias("nl")).withColumnRenamed("_lang", "_l")
     rest = of_lang.agg(F.sum(F.when(F.col("nl") < min_rows, F.col("nl")))).first()[0] or 0
+    n = stored(n, "mcd_counts", n.count())
     names = n.join(of_lang, F.col("_lang") == F.col("_l"))
     pool = F.when(F.col("n") >= min_rows, F.col("_full")).when(F.col("nl") >= min_rows, F.concat(F.lit("lang "), F.col("_lang"))).when(F.lit(rest >= min_rows), F.lit("all"))
-    names = stored(names.select(F.col("_full").alias("_f"), pool.alias("group")), "mcd_groups")
+    names = stored(names.select(F.col("_full").alias("_f"), pool.alias("group")), "mcd_groups", n.count())
     return attach(df, names, F.col("_full") == F.col("_f"), "left").drop("_lang", "_full", "_f")
 
 
@@ -145,26 +145,27 @@ def distance(df: DataFrame, g: DataFrame) -> DataFrame:
 def outliers(df: DataFrame, subset: float = SUBSET, steps: int = STEPS, reject: float = REJECT) -> DataFrame:
     """df (group, base_failed, x0 to x4) with d2 and kept."""
     core = df.where("NOT base_failed AND group IS NOT NULL").select("group", *VECTOR)
+    groups = core.select("group").distinct().count()
     middle = core.groupBy("group").agg(*[F.percentile_approx(x, 0.5, 10000).alias(f"m{i}") for i, x in enumerate(VECTOR)])
-    off = attach(core, stored(middle.withColumnRenamed("group", "_g"), "mcd_middle"), F.col("group") == F.col("_g"))
+    off = attach(core, stored(middle.withColumnRenamed("group", "_g"), "mcd_middle", groups), F.col("group") == F.col("_g"))
     spread = off.groupBy("group").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(len(VECTOR))], *[(F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 10000) * 1.4826).alias(f"d{i}") for i, x in enumerate(VECTOR)])
     g = spread.select("group", *[f"m{i}" for i in range(len(VECTOR))], *[(1 / (F.col(f"d{i}") ** 2 + FLOOR[i] ** 2) if i == j else F.lit(0.0)).alias(f"a{i}{j}") for i, j in PAIRS])
-    g = stored(g, "mcd_start")
+    g = stored(g, "mcd_start", groups)
     for k in range(steps):
         near = distance(core, g)
         cut = near.groupBy("group").agg(F.percentile_approx("d2", subset, 10000).alias("_cut")).withColumnRenamed("group", "_g")
-        inner = attach(near, stored(cut, f"mcd_cut{k}"), F.col("group") == F.col("_g")).where("d2 <= _cut").select("group", *VECTOR)
-        g = stored(moments(inner, subset), f"mcd_step{k}")
+        inner = attach(near, stored(cut, f"mcd_cut{k}", groups), F.col("group") == F.col("_g")).where("d2 <= _cut").select("group", *VECTOR)
+        g = stored(moments(inner, subset), f"mcd_step{k}", groups)
     near = distance(core, g).where(F.col("d2") <= chi2_point(0.975, len(VECTOR)))
-    g = stored(moments(near, 0.975), "mcd_final")
+    g = stored(moments(near, 0.975), "mcd_final", groups)
     out = distance(df, g)
     inside = F.coalesce(F.col("d2") <= chi2_point(reject, len(VECTOR)), F.lit(True))
     return out.withColumn("kept", ~F.col("base_failed") & inside)
 
 
-def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_rows: int = MIN_ROWS, keep_text: bool = False) -> DataFrame:
-    """docs, without the text or with it, and its statistics, base_failed, group, d2 and kept."""
-    df = vectors(statistics(docs, text_col, keep_text)).withColumn("base_failed", base_failed())
+def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_rows: int = MIN_ROWS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns of keep, language and source of each row, its statistics, base_failed, group, d2 and kept; other columns are left out."""
+    df = vectors(statistics(docs, text_col, (*keep, lang_col, source_col))).withColumn("base_failed", base_failed())
     return outliers(grouped(stored(df, "quality_vectors"), lang_col, source_col, min_rows))
 
 

@@ -34,12 +34,12 @@ def score(docs):
 
 
 def mixture(docs):
-    sizes = docs.select(F.col("doc_id").alias("id"), "source", F.size(F.split(F.coalesce("text", F.lit("")), " ")).cast("long").alias("size"))
+    sizes = docs.withColumns({"id": F.col("doc_id"), "size": F.size(F.split(F.coalesce("text", F.lit("")), " ")).cast("long")})
     return mixing.taken(*mixing.pieces(sizes, block_words=16))
 
 
 OPERATORS = {
-    "quality": lambda d: quality.quality_rules(d.select("doc_id", "text", "lang", "source")), "packing": lambda d: packing.pack(d, P.path("word_bpe_49k.json")),
+    "quality": lambda d: quality.quality_rules(d), "packing": lambda d: packing.pack(d, P.path("word_bpe_49k.json")),
     "sharding": lambda d: sharding.interleave(sharding.keys_of(d), 3), "pii": lambda d: pii.pseudonymise(d), "licences": lambda d: licences.scan(d),
     "jaccard": lambda d: jaccard.near_duplicates(d), "ctw": score, "mixing": mixture,
 }
@@ -92,7 +92,7 @@ def test_packing_of_odd_rows(odd):
 
 def test_stages(spark, odd, none, sf_dir):
     pipeline = pytest.importorskip("corpus_pipeline")
-    for docs in (spark.createDataFrame(ODD, SCHEMA), none):
+    for docs in (spark.createDataFrame(ODD, SCHEMA), odd.withColumns({c: F.lit(1) for c in ("n_words", "pii_kinds", "text_key", "runs", "_copy", "rep")}), none):
         for name, stage in pipeline.STAGES:
             out = stored(stage(spark, docs, sf_dir), f"test_{name}")
             assert name == "packing" or out.columns == docs.columns
