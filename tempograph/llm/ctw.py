@@ -44,9 +44,9 @@ from ..workers import importable
 from .common import stored, table
 from .textbytes import LOWER, column_bytes, parts, word_bounds, word_hashes
 
-DEPTH, BLOCK_BYTES = 5, 24_000_000
+DEPTH, BLOCK_BYTES = 5, 16_000_000
 END = 0x0A
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: the largest counting table of ranks; beyond it they are sorted
 MOST_CELLS = 1 << 25
 
@@ -72,41 +72,51 @@ def canonical(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np
     inside = np.zeros(len(data) + 1, np.int8)
     np.add.at(inside, starts, 1)
     np.add.at(inside, ends, -1)
-    out[letters] = data[np.cumsum(inside[:-1]).astype(bool)]
+    out[letters] = data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
     return out, first, size
 
 
-def grams(text: np.ndarray, first: np.ndarray, size: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct grams (nearest context byte highest, the byte itself lowest), sorted; each place's rank among them; the places.
+def grams(text: np.ndarray, first: np.ndarray, size: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams (nearest context byte highest, the byte itself lowest), sorted, and the rank among them of each of the rows' bytes.
 
     Ranks are made dense byte by byte, through counting tables, so nothing is sorted.
     """
     used = np.flatnonzero(np.bincount(text, minlength=256))
     code = np.zeros(256, np.int32)
     code[used] = np.arange(len(used))
-    places = np.ones(len(text), bool)
+    inside = np.ones(len(text), bool)
     for k in range(depth):
-        places[first - 1 - k] = False
-    places = np.flatnonzero(places).astype(np.int32)
-    rank = np.zeros(len(places), np.int32)
+        inside[first - 1 - k] = False
+
+    def places() -> Iterator[tuple[slice, np.ndarray]]:
+        """The places of the rows' bytes, and where their ranks are, part by part."""
+        done = 0
+        for i in range(0, len(text), CHUNK):
+            at = np.flatnonzero(inside[i : i + CHUNK]) + i
+            yield slice(done, done + len(at)), at
+            done += len(at)
+
+    rank = np.zeros(int(size.sum()), np.int32)
     keys = np.zeros(1, np.uint64)
     for back in [*range(1, depth + 1), 0]:
         if len(keys) * len(used) > MOST_CELLS:
-            found, rank = np.unique(rank * np.int64(len(used)) + code[text[places - back]], return_inverse=True)
+            wide = np.empty(len(rank), np.int64)
+            for own, at in places():
+                wide[own] = rank[own] * np.int64(len(used)) + code[text[at - back]]
+            found, rank = np.unique(wide, return_inverse=True)
             rank = rank.astype(np.int32)
-            keys = keys[found // len(used)] << np.uint64(8) | used[found % len(used)].astype(np.uint64)
-            continue
-        seen = np.zeros(len(keys) * len(used), bool)
-        for i in range(0, len(places), CHUNK):
-            rank[i : i + CHUNK] = rank[i : i + CHUNK] * np.int32(len(used)) + code[text[places[i : i + CHUNK] - back]]
-            seen[rank[i : i + CHUNK]] = True
-        found = np.flatnonzero(seen)
-        dense = np.zeros(len(seen), np.int32)
-        dense[found] = np.arange(len(found), dtype=np.int32)
-        for i in range(0, len(places), CHUNK):
-            rank[i : i + CHUNK] = dense[rank[i : i + CHUNK]]
+        else:
+            seen = np.zeros(len(keys) * len(used), bool)
+            for own, at in places():
+                rank[own] = rank[own] * np.int32(len(used)) + code[text[at - back]]
+                seen[rank[own]] = True
+            found = np.flatnonzero(seen)
+            dense = np.zeros(len(seen), np.int32)
+            dense[found] = np.arange(len(found), dtype=np.int32)
+            for own, _ in places():
+                rank[own] = dense[rank[own]]
         keys = keys[found // len(used)] << np.uint64(8) | used[found % len(used)].astype(np.uint64)
-    return keys, rank, places
+    return keys, rank
 
 
 def counted(rank: np.ndarray, n: int, use: np.ndarray) -> np.ndarray:
@@ -235,8 +245,10 @@ def block_keys(texts: pa.Array, depth: int) -> dict:
     starts, ends, before = word_bounds(data, offsets)
     hashes = word_hashes_in_parts(data, starts, ends)
     words, token = np.unique(hashes, return_inverse=True)
+    token = token.astype(np.int32)
     text, first, size = canonical(data, starts, ends, before, depth)
-    keys, rank, places = grams(text, first, size, depth)
+    del data, starts, ends, hashes
+    keys, rank = grams(text, first, size, depth)
     return {"grams": keys, "rank": rank, "words": words, "token": token, "before": before, "size": size}
 
 
