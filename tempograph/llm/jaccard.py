@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from ..workers import importable
 from .common import stored, table
 from .ctw import expanded, squeezed
-from .textbytes import LOWER, column_bytes, mixed, parts, word_bounds, word_hashes
+from .textbytes import LOWER, column_bytes, mixed, parts, tidy, word_bounds, word_hashes
 
 N, PERCENT = 5, 75
 SIGMAS = 6
@@ -166,7 +166,7 @@ def set_table(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
                 ]
                 yield pa.RecordBatch.from_arrays([batch.column(id_col), *cols], names=["id", "size", "key", "sketch", "short"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, size long, key long, sketch binary, short boolean")
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"id {kind}, size long, key long, sketch binary, short boolean")
 
 
 def signature_lists(docs: DataFrame, text_col: str, n: int, percent: int, n_parts: int) -> DataFrame:
@@ -174,7 +174,7 @@ def signature_lists(docs: DataFrame, text_col: str, n: int, percent: int, n_part
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in parts(whole, text_col, 16_000_000):
+            for batch in parts(whole, text_col, 8_000_000):
                 sets = {}
                 for part in parts(batch, text_col):
                     for x in shingles(part.column(text_col), n):
@@ -223,7 +223,7 @@ def signature_lists(docs: DataFrame, text_col: str, n: int, percent: int, n_part
             rows = []
         return pa.table({"list": pa.array([r[0] for r in rows], pa.int64()), "members": pa.array([r[1] for r in rows], pa.list_(pa.int64()))})
 
-    files = docs.select(text_col).mapInArrow(deal, "part long, keys binary, signatures binary, own binary")
+    files = docs.select(text_col).mapInArrow(tidy(deal), "part long, keys binary, signatures binary, own binary")
     lists = files.groupBy("part").applyInArrow(meet, "list long, members array<long>")
     return lists.groupBy("list").agg(F.first("members").alias("members"))
 
@@ -239,7 +239,7 @@ def again_from_text(keys: DataFrame, sets: DataFrame, docs: DataFrame, id_col: s
                 found = [x for x in shingles(batch.column(text_col), n) if len(x)]
                 yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([make(x) for x in found])], names=["key", "size", column])
 
-    return texts.mapInArrow(run, f"key long, size long, {column} {kind}").dropDuplicates(["key"])
+    return texts.mapInArrow(tidy(run), f"key long, size long, {column} {kind}").dropDuplicates(["key"])
 
 
 def similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, name: str) -> DataFrame:
@@ -412,7 +412,7 @@ def tiled_pairs(tiles: DataFrame, percent: int, how: str) -> DataFrame:
         if held and sum(map(len, held)):
             yield emit(pa.Table.from_batches(held))
 
-    return tiles.select("list", "i", "j", "key", "component", "chunk", "size", "sketch").mapInArrow(run, "a long, b long, again long")
+    return tiles.select("list", "i", "j", "key", "component", "chunk", "size", "sketch").mapInArrow(tidy(run), "a long, b long, again long")
 
 
 def tiles_of(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -496,7 +496,7 @@ def by_elements(docs: DataFrame, sets: DataFrame, text_col: str, n: int) -> Data
                     if len(x):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), set_key(x))), pa.array(x.view(np.int64))], names=["key", "element"])
 
-    every = stored(docs.select(text_col).mapInArrow(run, "key long, element long"), "jaccard_every").distinct()
+    every = stored(docs.select(text_col).mapInArrow(tidy(run), "key long, element long"), "jaccard_every").distinct()
     short = every.join(sets.where("short").select("key"), "key", "left_semi").withColumnRenamed("key", "_s")
     return every.join(short, "element").where("key <> _s").select(F.least("key", "_s").alias("a"), F.greatest("key", "_s").alias("b")).distinct()
 
