@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from ..workers import importable
 from .common import stored, table
-from .textbytes import LOWER, column_bytes, parts, word_bounds, word_hashes
+from .textbytes import LOWER, column_bytes, parts, tidy, word_bounds, word_hashes
 
 DEPTH, BLOCK_BYTES = 5, 16_000_000
 END = 0x0A
@@ -310,7 +310,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
             yield from emit()
 
     base = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias(text_col), train_col)
-    made = stored(base.mapInArrow(cut, f"block long, id {id_type}, text string, train boolean, part long, kind int, keys binary, counts binary"), "ctw_blocks")
+    made = stored(base.mapInArrow(tidy(cut), f"block long, id {id_type}, text string, train boolean, part long, kind int, keys binary, counts binary"), "ctw_blocks")
     keyed, texts = made.where("part IS NOT NULL").select("block", "part", "kind", "keys", "counts"), made.where("part IS NULL").select("block", "id", "text", "train")
 
     def gathered(t: pa.Table, kind: int) -> tuple:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..workers import importable
 from .common import stored, table
-from .textbytes import LOWER, column_bytes, parts
+from .textbytes import LOWER, column_bytes, parts, tidy
 
 LANGUAGES = ("de", "en", "es", "fr")
 BUCKETS, TEMPER, STRENGTH, SMOOTH, UNIT = 1 << 16, 0.25, 5.0, 0.5, 1_000_000
@@ -67,7 +67,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", langu
 
     rows = docs.where(F.col(lang_col).isin(*languages) & F.col(text_col).isNotNull()).select(lang_col, text_col)
     n = np.ones((len(languages), BUCKETS))
-    for lang, bucket, k in rows.mapInArrow(run, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n")).toLocalIterator():
+    for lang, bucket, k in rows.mapInArrow(tidy(run), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n")).toLocalIterator():
         n[lang, bucket] += k
     return np.log(n / n.sum(1, keepdims=True))
 
@@ -99,7 +99,7 @@ def text_scores(df: DataFrame, model: np.ndarray, temper: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in keep], pa.FixedSizeListArray.from_arrays(pa.array(out.reshape(-1)), out.shape[1]).cast(pa.list_(pa.float64()))], names=[*[f.name for f in keep], "loglik"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + ", loglik array<double>"
-    return df.select(*[f.name for f in keep], "text").mapInArrow(run, schema)
+    return df.select(*[f.name for f in keep], "text").mapInArrow(tidy(run), schema)
 
 
 def identify(pages: DataFrame, model: np.ndarray, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", languages=LANGUAGES, temper: float = TEMPER, strength: float = STRENGTH) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from ..workers import importable
 from .common import table
-from .textbytes import LOWER, SPACE, column_bytes, parts, word_hashes
+from .textbytes import LOWER, SPACE, column_bytes, parts, tidy, word_hashes
 
 SEQUENCE, END_ID, WINDOW_TOKENS, CACHE_WORDS = 2048, 1, 2_000_000, 2_000_000
 LINEAR, QUADRATIC = 1.0, 1 / 1024
@@ -190,7 +190,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             yield flush()
 
     importable(docs.sparkSession)
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def op3_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
