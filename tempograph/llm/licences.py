@@ -5,11 +5,16 @@ logistic regression over the words, word pairs and word triples of a paragraph,
 and one for `unknown`, whose examples mention licences without granting one.  Copies of the notices with words left
 out stand for variants; every third copy is held out and gives the temperature that calibrates the probabilities.
 
-Scoring: a paragraph is a line.  Lines with none of the ANCHORS have no class by definition.  Others are cut into
-their distinct n-grams, these meet the sparse weights by a broadcast join (the weights have a row for each n-gram of
-the notices, a number that doesn't depend on the data), and sums per paragraph give calibrated probabilities.  The best
-family stands if it has at least MIN_PROBABILITY; otherwise the paragraph is `unknown`.  Template comparison then
-confirms: at least MIN_TEMPLATE of the word pairs of one of the family's notices are in the paragraph.
+Scoring: a paragraph is a line, or a run of lines over which a notice is wrapped.  Which texts are scored follows from
+the notices' own word pairs: a notice can only be confirmed where one of its `telling_pairs` is, over line ends too.
+Paragraphs are cut into their distinct n-grams, these meet the sparse weights by a broadcast join (the weights have a
+row for each n-gram of the notices, a number that doesn't depend on the data), and sums per paragraph give calibrated
+probabilities.  The best family stands if it has at least MIN_PROBABILITY; otherwise the paragraph is `unknown`.
+Template comparison then confirms: at least MIN_TEMPLATE of the word pairs of one of the family's notices are in the
+paragraph.  Rows are: each line with one of the ANCHORS, confirmed or not; each other line that is confirmed; of runs,
+those confirmed for a family of which no line of the run has a notice, the shortest with the largest share.  A run ends at a line without
+words, and the lines between its first and last have fewer words than the longest notice; of the first and last line
+as many words count, those next to the line end.
 
 Nulls: null and empty texts have no paragraphs.  A null id is a value like others: rows are told apart by a key
 made of id and text, so equal rows give equal results once each.  Empty tables give empty results.  Very long
@@ -18,15 +23,17 @@ paragraphs are read whole.
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 MIN_PROBABILITY, MIN_TEMPLATE, MAX_N = 0.6, 0.7, 3
 UNKNOWN = "unknown"
@@ -35,8 +42,8 @@ NOTICES = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT"],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the License. You may obtain a copy of the License at", "SPDX-License-Identifier: Apache-2.0"],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "SPDX-License-Identifier: GPL-3.0-or-later"],
-    "LGPL": ["This library is licensed under the GNU Lesser General Public License.", "SPDX-License-Identifier: LGPL-3.0-only"],
-    "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only"],
+    "LGPL": ["This library is licensed under the GNU Lesser General Public License.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "SPDX-License-Identifier: LGPL-3.0-only"],
+    "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License", "SPDX-License-Identifier: AGPL-3.0-only"],
     "BSD": ["Released under the BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "SPDX-License-Identifier: BSD-3-Clause"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
     "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"],
@@ -52,9 +59,19 @@ OTHERS = [
     "The general public was not admitted.", "Creative work is common here.", "The version of the story was licensed to a studio.", "Released under a new title.", "Licensed under the Foo License.", "This work is licensed under terms to be agreed.", "Attribution of the painting is not certain.",
 ]
 ANCHORS = r"(?i)licen[cs]|copyright|rights reserved|public domain|permission|redistribution|\bcc0\b|\bcc by|creative commons"
+#: words that telling pairs avoid, as they are in most texts; the choice changes the work, not the result
+COMMON = frozenset("a all any are as at be by can file for free has in is it law may modify no not obtain of only or part person provided software source subject terms that the this to under use version with without work you".split())
 TOKEN = r"[\p{L}\p{N}]+(?:\.[0-9]+)*"
 
 
+#: names in statements without more, such as "Distributed under the GPL v3"
+NAMES = {
+    "MIT": ["MIT License"], "Apache-2.0": ["Apache License 2.0", "Apache 2.0"], "GPL-3.0": ["GPL v3", "GPLv3", "GPL 3.0", "GNU GPL v3", "GNU GPLv3", "GPL version 3"], "LGPL": ["LGPL", "GNU LGPL"],
+    "AGPL-3.0": ["AGPL v3", "AGPLv3", "AGPL 3.0", "GNU AGPL v3", "GNU AGPLv3"], "BSD": ["BSD License", "BSD 3 Clause", "BSD 2 Clause"], "MPL-2.0": ["MPL 2.0", "Mozilla Public License 2.0"],
+}
+NOTICES = {k: [*v, *(f"under {the}{n}" for n in NAMES.get(k, []) for the in ("", "the "))] for k, v in NOTICES.items()}
+
+
 def tokens(text: str) -> list[str]:
     return re.findall(r"[^\W_]+(?:\.[0-9]+)*", text.lower())
 
@@ -127,13 +144,67 @@ def n_grams(words: Column) -> Column:
     return F.array_distinct(F.concat(*[F.when(F.size(words) >= n, part(n)).otherwise(F.array().cast("array<string>")) for n in range(1, MAX_N + 1)]))
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, paragraph (line number from 0), start (code points before it), text of the lines with an anchor."""
-    lines = F.split(F.col(text_col), "\n")
-    df = docs.where(F.col(text_col).rlike(ANCHORS)).select(F.col(id_col).alias("id"), lines.alias("_l"), F.xxhash64(text_col).alias("text_key"))
-    df = df.dropDuplicates(["id", "text_key"]).select("id", "text_key", "_l", F.posexplode("_l").alias("paragraph", "text")).where(F.col("text").rlike(ANCHORS))
-    ahead = F.aggregate(F.slice("_l", F.lit(1), F.col("paragraph")), F.lit(0).cast("long"), lambda a, x: a + F.length(x) + 1)
-    return df.withColumn("start", ahead).drop("_l")
+def telling_pairs(min_template: float) -> list[str]:
+    """Word pairs of which a text has at least one if it has a share of min_template of any notice's pairs."""
+    notices, out = [tokens(t) for texts in NOTICES.values() for t in texts], set()
+    for words in notices:
+        pairs = grams(words, [2])
+        missing = len(pairs) - max(1, math.ceil(round(min_template * len(pairs), 6)))
+        out |= set(sorted(pairs, key=lambda g: (sum(w in COMMON for w in g.split()), -len(g), g))[: missing + 1])
+    return sorted(out)
+
+
+def telling(min_template: float) -> str:
+    """A pattern for lower-case texts that have a telling pair (and some others, as words may go on)."""
+    first: dict[str, list[str]] = {}
+    for a, b in (g.split() for g in telling_pairs(min_template)):
+        first.setdefault(a, []).append(b)
+    gap = r"[^\p{L}\p{N}]+"
+    return r"(?<![\p{L}\p{N}])(?:" + "|".join(f"{re.escape(a)}{gap}(?:{'|'.join(map(re.escape, b))})" for a, b in sorted(first.items())) + ")"
+
+
+def reach() -> int:
+    """Words of the longest notice."""
+    return max(len(tokens(t)) for texts in NOTICES.values() for t in texts)
+
+
+def runs(words: Column, pattern: str) -> Column:
+    """(first line, last line, words) of the runs of two lines or more with a telling pair; words: an array for each line."""
+    longest = reach()
+    line = lambda k: F.get(words, k)
+
+    def of(k: Column, m: Column) -> Column:
+        head, last = line(k), line(k + m)
+        head = F.slice(head, F.greatest(F.lit(1), F.size(head) - (longest - 1)), F.lit(longest))
+        return F.struct(k.alias("paragraph"), (k + m).alias("last"), F.concat(head, F.flatten(F.slice(words, k + 2, m - 1)), F.slice(last, 1, longest)).alias("_w"))
+
+    def ends(k: Column, m: Column) -> Column:
+        inner = F.slice(words, k + 2, m - 1)
+        return (F.size(line(k + m)) > 0) & F.forall(inner, lambda w: F.size(w) > 0) & (F.aggregate(inner, F.lit(0), lambda a, w: a + F.size(w)) < longest)
+
+    def starting(k: Column) -> Column:
+        after = F.least(F.lit(longest), F.size(words) - 1 - k)
+        steps = F.when((after > 0) & (F.size(line(k)) > 0), F.sequence(F.lit(1), after)).otherwise(F.array().cast("array<int>"))
+        return F.filter(F.transform(F.filter(steps, lambda m: ends(k, m)), lambda m: of(k, m)), lambda r: F.array_join(r["_w"], " ").rlike(pattern))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(words) - 1), starting))
+
+
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_template: float = MIN_TEMPLATE) -> DataFrame:
+    """id, paragraph (number of its first line from 0), last (line), start (code points before it), text, _w (its words): lines with an anchor or a
+    telling pair, and runs of lines with a telling pair."""
+    pattern = telling(min_template)
+    text, cut = F.col(text_col), lambda t: F.regexp_extract_all(F.lower(t), F.lit(f"({TOKEN})"))
+    tells = F.lower(text).rlike(pattern)
+    df = docs.where(text.rlike(ANCHORS) | tells).select(F.col(id_col).alias("id"), text.alias("_t"), F.xxhash64(text_col).alias("text_key"), tells.alias("_tells")).dropDuplicates(["id", "text_key"])
+    lines = F.split("_t", "\n")
+    single = F.filter(F.transform(lines, lambda t, k: F.struct(k.alias("paragraph"), k.alias("last"), F.when(t.rlike(ANCHORS) | F.lower(t).rlike(pattern), cut(t)).alias("_w"))), lambda r: r["_w"].isNotNull())
+    several = F.when(F.col("_tells"), runs(F.col("_words"), pattern)).otherwise(F.filter(single, lambda r: F.lit(False)))
+    df = df.withColumn("_words", F.when(F.col("_tells"), F.transform(lines, cut)))
+    df = df.select("id", "text_key", "_t", F.inline(F.concat(single, several)))
+    own = F.slice(lines, F.col("paragraph") + 1, F.col("last") - F.col("paragraph") + 1)
+    ahead = F.aggregate(F.slice(lines, F.lit(1), F.col("paragraph")), F.lit(0).cast("long"), lambda a, x: a + F.length(x) + 1)
+    return df.select("id", "text_key", "paragraph", "last", ahead.alias("start"), F.array_join(own, "\n").alias("text"), "_w")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_probability: float = MIN_PROBABILITY, min_template: float = MIN_TEMPLATE) -> DataFrame:
@@ -142,8 +213,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_pr
     classes, weights, constants = model()
     table_ = F.broadcast(spark.createDataFrame([(g, *row) for g, row in weights.items()], "gram string, " + ", ".join(f"w{i} double" for i in range(len(classes)))))
     notice = F.broadcast(spark.createDataFrame(templates(), "t_family string, notice int, gram string, pairs int"))
-    paragraphs = candidates(docs, id_col, text_col).withColumn("_w", F.regexp_extract_all(F.lower("text"), F.lit(f"({TOKEN})")))
-    key = ["id", "text_key", "paragraph"]
+    paragraphs = stored(candidates(docs, id_col, text_col, min_template), "licence_paragraphs")
+    key = ["id", "text_key", "paragraph", "last"]
     cut = paragraphs.select(*key, "start", "text", F.explode_outer(n_grams(F.col("_w"))).alias("gram"))
     sums = cut.join(table_, "gram", "left").groupBy(*key).agg(F.first("start").alias("start"), F.first("text").alias("text"), *[F.round(F.coalesce(F.sum(f"w{i}"), F.lit(0.0)) + F.lit(c), 9).alias(f"z{i}") for i, c in enumerate(constants)])
     top = F.greatest(*[F.col(f"z{i}") for i in range(len(classes))])
@@ -151,12 +222,32 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_pr
     best = F.coalesce(*[F.when(F.col(f"z{i}") == top, F.lit(c)) for i, c in enumerate(classes)])
     judged = sums.select(*key, "start", "text", best.alias("best"), F.round(1 / total, 6).alias("probability"))
     shares = cut.join(notice, "gram").groupBy(*key, "t_family", "notice").agg((F.count("*") / F.first("pairs")).alias("_s")).groupBy(*key, "t_family").agg(F.round(F.max("_s"), 6).alias("template_share"))
-    shares = shares.toDF(*[f"_{k}" for k in key], "t_family", "template_share")
+    before = W.partitionBy("id", "text_key", "t_family").orderBy("last", F.desc("paragraph")).rowsBetween(W.unboundedPreceding, -1)
+    alone = (F.col("paragraph") == F.col("last")) & (F.col("template_share") >= min_template)
+    shares = shares.withColumn("_line", F.coalesce(F.max(F.when(alone, F.col("paragraph"))).over(before) >= F.col("paragraph"), F.lit(False)))
+    shares = shares.toDF(*[f"_{k}" for k in key], "t_family", "template_share", "_line")
     on = [judged[k].eqNullSafe(shares[f"_{k}"]) for k in key] + [judged["best"] == shares["t_family"]]
     out = judged.join(shares, on, "left").withColumn("template_share", F.coalesce("template_share", F.lit(0.0)))
     known = (F.col("best") != UNKNOWN) & (F.col("probability") >= min_probability)
     out = out.withColumn("family", F.when(known, F.col("best")).otherwise(UNKNOWN))
-    return out.withColumn("confirmed", known & (F.col("template_share") >= min_template)).select("id", "paragraph", "start", "text", "family", "probability", "template_share", "confirmed")
+    out = out.withColumn("confirmed", known & (F.col("template_share") >= min_template))
+    single = F.col("paragraph") == F.col("last")
+    columns = ["id", "paragraph", "start", "text", "family", "probability", "template_share", "confirmed"]
+    out = out.where(F.when(single, F.col("confirmed") | F.col("text").rlike(ANCHORS)).otherwise(F.col("confirmed") & ~F.col("_line")))
+    return best_runs(out.withColumn("_run", ~single)).select(*columns)
+
+
+def best_runs(found: DataFrame) -> DataFrame:
+    """found without the runs that have a part of no lower share, and then without those that are part of one with a higher."""
+    near = W.partitionBy("id", "text_key", "family", "_run").orderBy("paragraph").rangeBetween(-reach(), reach())  # a run has reach() + 1 lines at most
+    own = F.struct("paragraph", "last", "template_share")
+    for drops in (
+        lambda o, r: (o["paragraph"] >= r["paragraph"]) & (o["last"] <= r["last"]) & (o["last"] - o["paragraph"] < r["last"] - r["paragraph"]) & (o["template_share"] >= r["template_share"]),
+        lambda o, r: (o["paragraph"] <= r["paragraph"]) & (o["last"] >= r["last"]) & (o["template_share"] > r["template_share"]),
+    ):
+        others = F.collect_list(F.when(F.col("_run"), own)).over(near)
+        found = found.withColumn("_near", others).withColumn("_own", own).where(~F.exists("_near", lambda o: drops(o, F.col("_own"))))
+    return found
 
 
 def op7_licence_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

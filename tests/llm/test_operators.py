@@ -316,6 +316,21 @@ def test_licences_of_documents(spark, sf_dir, docs):
     assert Counter((r.doc_id, r.paragraph, r.family) for r in run(spark, sf_dir, "op7_") if r.confirmed) == want
 
 
+def test_wrapped_and_short_licences(spark):
+    notices = {
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal": "MIT",
+        " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:": "BSD",
+        "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by": "GPL-3.0",
+        "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation": "LGPL",
+        "\n".join("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files".split()): "MIT",
+        "Distributed under the GPL v3.": "GPL-3.0", "Released under GPLv3": "GPL-3.0", "Available under CC-BY-SA 4.0": "CC-BY-SA", "Distributed under the Apache 2.0 license": "Apache-2.0",
+    }
+    texts = [f"All rights reserved.\n\nsome words\n{t}\nmore words of the text" for t in notices]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.id, r.paragraph, r.start, r.text): r.family for r in licences.scan(df).collect() if r.confirmed}
+    assert got == {(k, 0, 0, "All rights reserved."): "proprietary" for k in range(len(texts))} | {(k, 3, 33, t): f for k, (t, f) in enumerate(notices.items())}
+
+
 # ---- 8 -------------------------------------------------------------------------------------------------------------
 
 
