@@ -1,7 +1,10 @@
 """Format-preserving Feistel pseudonyms for personal data, with DataFrame functions only.
 
-One pattern finds candidates; each is validated for its kind and replaced, inside its row, by a keyed permutation
-of its own format, so the same value gets the same pseudonym in every document and no join or shuffle is needed.
+Cards are found first, the other kinds in the text between them.  Candidates are validated for their kind and replaced,
+inside their row, by a keyed permutation of their own format, so the same value gets the same pseudonym in every document
+and no join or shuffle is needed.  A card may stand beside other numbers (an expiry date, an item's number): in a run of
+digits, single spaces and hyphens each part from one group to another of 13 to 19 digits is tried, those grouped as
+cards are (FIXED) first, then the longest from the left that don't have another kind's number in them.
 
 kind     valid if                                   permuted
 card     13 to 19 digits with a right Luhn digit    all digits but the last, which is made right again
@@ -38,12 +41,19 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9])",
     "ipv4": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "card": r"(?<![0-9])[0-9][0-9 -]{11,}[0-9]",
     "secret": r"(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])|(?<=password=)[^\s\"']{4,200}|(?<=token = \")[^\s\"]{4,200}(?=\")",
 }
 FOUND = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: the same but for cards
+REST = "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k != "card")
+#: numbers that a card of an unusual grouping can't have in it
+NUMBERS = "|".join(f"(?:{PATTERNS[k]})" for k in ("phone", "ssn", "date"))
+#: the groups in which cards are written, and the first digits of payment cards
+FIXED = r"^(?=[2-6])(?:[0-9]{16}|[0-9]{15}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})$"
 #: what every candidate has
 HINT = r"[0-9@]|password=|token = \""
+MARK = "\x01"
 CYCLE = "1800-01-01"
 DAY_RADIX = (27, 5411)
 
@@ -114,15 +124,60 @@ def kind_of(m: Column) -> Column:
     """The kind of a candidate, null if it isn't valid."""
     whole = lambda kind: m.rlike(f"^(?:{PATTERNS[kind]})$")
     octets = F.forall(F.split(m, r"\."), lambda x: x.cast("int") <= 255)
-    d = digits_of(m)
-    luhn = luhn_digit(F.substr(d, F.lit(1), F.length(d) - 1)) == F.substr(d, F.length(d), F.lit(1))
     ssn = ~m.rlike(r"^(?:000|666|9)") & ~m.rlike(r"-00-|-0000$")
     return (
         F.when(whole("email"), "email").when(whole("phone"), "phone").when(whole("ssn"), F.when(ssn, "ssn")).when(whole("date"), F.when(day_of(m).isNotNull(), "date"))
-        .when(whole("ipv4"), F.when(octets, "ipv4")).when(whole("card"), F.when(luhn, "card")).otherwise("secret")
+        .when(whole("ipv4"), F.when(octets, "ipv4")).otherwise("secret")
     )
 
 
+def is_card(m: Column) -> Column:
+    d = digits_of(m)
+    return F.length(d).between(13, 19) & (luhn_digit(F.substr(d, F.lit(1), F.length(d) - 1)) == F.substr(d, F.length(d), F.lit(1)))
+
+
+def card_spans(groups: Column) -> Column:
+    """(first, end) of the cards, in order, among groups of digits, each with the spaces and hyphens after it."""
+    none = F.array().cast("array<struct<first:int,end:int,m:string>>")
+
+    def of(i: Column) -> Column:
+        """The parts from group i on that are cards, the longest first."""
+        part = lambda n: F.struct(i.alias("first"), (i + n).alias("end"), F.regexp_replace(F.array_join(F.slice(groups, i + 1, n), ""), "[ -]+$", "").alias("m"))
+        parts = F.transform(F.sequence(F.least(F.lit(19), F.size(groups) - i), F.lit(1)), part)
+        return F.filter(parts, lambda x: F.length(x["m"]).between(13, 37) & ~x["m"].rlike("[ -]{2}") & is_card(x["m"]))
+
+    def kept(found: Column) -> Column:
+        """The spans that don't overlap an earlier one."""
+        take = lambda a, x: F.when(x["first"] >= a["end"], F.struct(x["end"].alias("end"), F.concat(a["s"], F.array(x)).alias("s"))).otherwise(a)
+        return F.aggregate(found, F.struct(F.lit(0).alias("end"), none.alias("s")), take, lambda a: a["s"])
+
+    def chosen(cards: Column) -> Column:
+        free = lambda f: F.filter(cards, lambda x: ~F.exists(f, lambda y: (x["first"] < y["end"]) & (y["first"] < x["end"])) & ~x["m"].rlike(NUMBERS))
+        return once(kept(F.filter(cards, lambda x: x["m"].rlike(FIXED))), lambda f: F.array_sort(F.concat(f, kept(free(f)))))
+
+    cards = F.flatten(F.transform(F.sequence(F.lit(0), F.size(groups) - 1), of))
+    return once(cards, lambda c: F.when(F.size(c) > 0, chosen(c)).otherwise(none))
+
+
+def once(x: Column, f) -> Column:
+    """f(x), with x computed once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def cut(run: Column) -> Column:
+    """A run as pieces (card, m) in order: its cards and what is between them."""
+    piece = lambda m, card: F.struct(F.lit(card).alias("card"), m.alias("m"))
+
+    def of(groups: Column, spans: Column) -> Column:
+        joined = lambda first, end: F.array_join(F.slice(groups, first + 1, end - first), "")
+        before = lambda i: F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
+        after = lambda x: F.regexp_extract(F.get(groups, x["end"] - 1), "[ -]*$", 0)
+        both = F.transform(spans, lambda x, i: F.array(piece(joined(before(i), x["first"]), False), piece(x["m"], True), piece(after(x), False)))
+        return F.concat(F.flatten(both), F.array(piece(joined(before(F.size(spans)), F.size(groups)), False)))
+
+    return once(F.regexp_extract_all(run, F.lit("[0-9]+[ -]*"), F.lit(0)), lambda g: once(card_spans(g), lambda s: of(g, s)))
+
+
 #: date formats by the shape that tells them
 DATES = ((r"^[0-9]{4}-", "yyyy-MM-dd"), (r"^[0-9]{4}/", "yyyy/MM/dd"), (r"^[0-9]{2}/", "MM/dd/yyyy"), (r"^[0-9]{2}\.", "dd.MM.yyyy"))
 
@@ -178,13 +233,22 @@ def pseudonymise(docs: DataFrame, key: str = "test key", text_col: str = "text",
     """docs with the text (or out_col) pseudonymised and kinds_col: the kinds found, in the order of the text."""
     text = F.col(text_col)
     has = F.coalesce(text.rlike(HINT), F.lit(False))
-    found = F.when(has, F.regexp_extract_all(text, F.lit(FOUND), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    df = docs.withColumn("_pii_found", F.transform(found, lambda m: F.struct(kind_of(m).alias("kind"), m.alias("m"))))
+    runs = F.transform(F.regexp_extract_all(text, F.lit(FOUND), F.lit(0)), lambda m: F.when(m.rlike(f"^(?:{PATTERNS['card']})$"), cut(m)).otherwise(F.array(F.struct(F.lit(False).alias("card"), m.alias("m")))))
+    df = docs.withColumn("_pii_runs", F.when(text.rlike(PATTERNS["card"]), runs).otherwise(F.array().cast("array<array<struct<card:boolean,m:string>>>")))
+    df = df.withColumn("_pii_cards", F.transform(F.filter(F.flatten("_pii_runs"), lambda x: x["card"]), lambda x: x["m"]))
+    # the text with MARK b in the place of each card, cut there; a MARK of its own is followed by a
+    own = lambda t: F.replace(t, F.lit(MARK), F.lit(MARK + "a"))
+    marked = F.zip_with(F.split(text, FOUND, -1), F.col("_pii_runs"), lambda a, r: F.concat(own(a), F.coalesce(F.array_join(F.transform(r, lambda x: F.when(x["card"], MARK + "b").otherwise(own(x["m"]))), ""), F.lit(""))))
+    around = F.transform(F.split(F.array_join(marked, ""), MARK + "b", -1), lambda t: F.replace(t, F.lit(MARK + "a"), F.lit(MARK)))
+    df = df.withColumn("_pii_around", F.when(F.size("_pii_cards") > 0, around).when(has, F.array(text)).otherwise(F.array().cast("array<string>")))
+    found = lambda t: F.transform(F.regexp_extract_all(t, F.lit(REST), F.lit(0)), lambda m: F.struct(kind_of(m).alias("kind"), m.alias("m")))
+    card = lambda i: F.coalesce(F.transform(F.slice("_pii_cards", i + 1, F.lit(1)), lambda m: F.struct(F.lit("card").alias("kind"), m.alias("m"))), F.array().cast("array<struct<kind:string,m:string>>"))
+    df = df.withColumn("_pii_found", F.flatten(F.transform("_pii_around", lambda t, i: F.concat(found(t), card(i)))))
     df = df.withColumn("_pii_new", F.transform("_pii_found", lambda x: pseudonym(x["kind"], x["m"], key)))
-    between = F.split(text, FOUND, -1)
+    between = F.flatten(F.transform("_pii_around", lambda t: F.split(t, REST, -1)))
     joined = F.array_join(F.zip_with(between, F.col("_pii_new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     df = df.withColumn(kinds_col, F.filter(F.transform("_pii_found", lambda x: x["kind"]), lambda k: k.isNotNull()))
-    return df.withColumn(out_col or text_col, F.when(F.size("_pii_new") > 0, joined).otherwise(text)).drop("_pii_found", "_pii_new")
+    return df.withColumn(out_col or text_col, F.when(F.size("_pii_new") > 0, joined).otherwise(text)).drop("_pii_runs", "_pii_cards", "_pii_around", "_pii_found", "_pii_new")
 
 
 def op6_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -289,6 +289,25 @@ def test_what_is_not_valid_stays(spark):
     assert pii.pseudonymise(df, "other").collect()[1].text != b.text
 
 
+def test_cards_beside_other_numbers(spark):
+    alone, grouped, other = "4111111111111111", "4111-1111-1111-1111", "5500 0000 0000 0004"
+    shapes = ["{} 12/26", "{} 123", "12 {}", "1234 {}", "{} 12-26 {}", "{} 10.0.0.1", "{} 12ab@example.org", "{} 12/26/2024 {}", "\x01a{}\x01b 7", "3 {}  77", "{} 555-123-4567"]
+    rows = [(t.replace("{}", c),) for t in shapes for c in (alone, grouped, other)]
+    new = {c: r.text for c, r in zip((alone, grouped, other), pii.pseudonymise(spark.createDataFrame([(alone,), (grouped,), (other,)], "text string"), "k").collect())}
+    got = pii.pseudonymise(spark.createDataFrame(rows, "text string").coalesce(1), "k").collect()
+    more = {"{} 10.0.0.1": "ipv4", "{} 12ab@example.org": "email", "{} 555-123-4567": "phone"}
+    for k, r in enumerate(got):
+        t, c = shapes[k // 3], (alone, grouped, other)[k % 3]
+        if t in more:
+            assert r.pii_kinds == ["card", more[t]] and r.text.startswith(new[c] + " ") and r.text != t.replace("{}", new[c])
+        elif "2024" in t:
+            assert r.pii_kinds == ["card", "date", "card"] and r.text.startswith(new[c]) and r.text.endswith(new[c])
+        else:
+            assert (r.text, r.pii_kinds) == (t.replace("{}", new[c]), ["card"] * t.count("{}"))
+    long = spark.createDataFrame([("1 2 " * 3000,), ("7" * 50_000 + " " + alone,)], "text string")
+    assert pii.pseudonymise(long, "k").collect()[1].text.endswith(" " + new[alone])
+
+
 # ---- 7 -------------------------------------------------------------------------------------------------------------
 
 
