@@ -42,7 +42,7 @@ PATTERNS = {
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9])",
     "ipv4": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9])[0-9][0-9 -]{11,}[0-9]",
-    "secret": r"(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])|(?<=password=)[^\s\"']{4,200}|(?<=token = \")[^\s\"]{4,200}(?=\")",
+    "secret": r"(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])|(?<=password=)[^\s\"']{4,}|(?<=token = \")[^\s\"]{4,}(?=\")",
 }
 FOUND = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: the same but for cards
@@ -52,7 +52,7 @@ NUMBERS = "|".join(f"(?:{PATTERNS[k]})" for k in ("phone", "ssn", "date"))
 #: the groups in which cards are written, and the first digits of payment cards
 FIXED = r"^(?=[2-6])(?:[0-9]{16}|[0-9]{15}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})$"
 #: what every candidate has
-HINT = r"[0-9@]|password=|token = \""
+HINT = r"[0-9@]|AKIA|password=|token = \""
 MARK = "\x01"
 CYCLE = "1800-01-01"
 DAY_RADIX = (27, 5411)
