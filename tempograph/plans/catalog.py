@@ -207,7 +207,15 @@ DIFF_SQL = f"""
 
 @query(DIFF_SQL)
 def time_travel_diff(spark, d):
-    s = A.ordered_states(spark, d).where("part % 20 = 0")
+    return diffs(A.ordered_states(spark, d).where("part % 20 = 0"))
+
+
+@query(DIFF_SQL.removesuffix(" WHERE part % 20 = 0"))
+def time_travel_diff_all(spark, d):
+    return diffs(A.ordered_states(spark, d))
+
+
+def diffs(s: DataFrame) -> DataFrame:
     w = W.partitionBy("part").orderBy("at", "commit")
     s = s.withColumns({"node_id": A.state_key(), "_p": F.lag(A.state_key()).over(w)})
     edges = s.where("_p IS NOT NULL").select(F.col("node_id").alias("from_id"), F.lit(M.PREVIOUS_VERSION).alias("label"), F.col("_p").alias("to_id"))
@@ -297,16 +305,37 @@ def insert_if_absent(spark, d):
 @query("""SELECT l_orderkey AS from_id, l_returnflag AS label, l_partkey AS to_id, min(l_linenumber) AS ord FROM lineitem
     WHERE l_orderkey % 3 = 0 AND l_partkey % 3 = 0 AND (l_orderkey, l_returnflag, l_partkey) NOT IN (SELECT (l_orderkey, l_returnflag, l_partkey) FROM lineitem WHERE l_quantity < 10) GROUP BY 1, 2, 3""")
 def insert_edges(spark, d):
+    return inserted(spark, d, "node_id % 3 = 0")
+
+
+@query("""SELECT l_orderkey AS from_id, l_returnflag AS label, l_partkey AS to_id, min(l_linenumber) AS ord FROM lineitem
+    WHERE (l_orderkey IN (SELECT o_orderkey FROM orders) OR l_orderkey IN (SELECT p_partkey FROM part)) AND (l_partkey IN (SELECT p_partkey FROM part) OR l_partkey IN (SELECT o_orderkey FROM orders))
+    AND (l_orderkey, l_returnflag, l_partkey) NOT IN (SELECT (l_orderkey, l_returnflag, l_partkey) FROM lineitem WHERE l_quantity < 10) GROUP BY 1, 2, 3""")
+def insert_edges_all(spark, d):
+    return inserted(spark, d, "true")
+
+
+def inserted(spark, d, which: str) -> DataFrame:
     li = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("from_id"), F.col("l_returnflag").alias("label"), F.col("l_partkey").alias("to_id"), F.col("l_linenumber").alias("ord"), "l_quantity")
-    nodes = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("node_id")).union(A.table(spark, d, "part").select("p_partkey")).where("node_id % 3 = 0")
+    nodes = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("node_id")).union(A.table(spark, d, "part").select("p_partkey")).where(which)
     return graphstore.new_edges(li.where("l_quantity < 10"), li.drop("l_quantity"), nodes)
 
 
 @query("""WITH w AS (SELECT o_custkey AS k, o_orderkey AS v, o_orderstatus AS s FROM orders WHERE o_orderkey % 2 = 0), n AS (SELECT k, max(v) AS v, arg_max(s, v) AS s FROM w GROUP BY k)
     SELECT c_custkey AS k, coalesce(n.v, -1) AS v, coalesce(n.s, c_mktsegment) AS s FROM customer LEFT JOIN n ON n.k = c_custkey""")
 def keyed_upsert(spark, d):
+    return upserts(spark, d, "o_orderkey % 2 = 0")
+
+
+@query("""WITH n AS (SELECT o_custkey AS k, max(o_orderkey) AS v, arg_max(o_orderstatus, o_orderkey) AS s FROM orders GROUP BY o_custkey)
+    SELECT c_custkey AS k, coalesce(n.v, -1) AS v, coalesce(n.s, c_mktsegment) AS s FROM customer LEFT JOIN n ON n.k = c_custkey""")
+def keyed_upsert_all(spark, d):
+    return upserts(spark, d, "true")
+
+
+def upserts(spark, d, which: str) -> DataFrame:
     c = A.table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.lit(-1).cast("long").alias("v"), F.col("c_mktsegment").alias("s"))
-    w = A.table(spark, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v"), F.col("o_orderstatus").alias("s"))
+    w = A.table(spark, d, "orders").where(which).select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v"), F.col("o_orderstatus").alias("s"))
     return keyed.upserted(c, w, "k", "v")
 
 
@@ -466,7 +495,12 @@ def radius_tier(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, greatest(0.5, coalesce(nullif(l_discount * 20, 0), 1.0)) AS width FROM lineitem WHERE l_orderkey % 10 = 0")
 def stroke_width(spark, d):
-    return A.table(spark, d, "lineitem").where("l_orderkey % 10 = 0").select("l_orderkey", "l_linenumber", "l_partkey", V.stroke_width(F.col("l_discount") * 20).alias("width"))
+    return stroke_width_all(spark, d).where("l_orderkey % 10 = 0")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, greatest(0.5, coalesce(nullif(l_discount * 20, 0), 1.0)) AS width FROM lineitem")
+def stroke_width_all(spark, d):
+    return A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", V.stroke_width(F.col("l_discount") * 20).alias("width"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type || ':' || json_extract_string(props, '$.k') AS shown FROM events")

@@ -25,6 +25,15 @@ def test_every_query_has_sql_or_a_golden_test():
     assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"code_graph_nodes", "code_graph_edges", "analyse_summary", "edit_patch"}
 
 
+def test_whole_tables(spark, sf_dir):
+    n = lambda sql, con=duck(sf_dir): con.sql(sql).fetchall()[0][0]
+    got = {k: catalog.QUERIES[f"{k}_all"](spark, sf_dir) for k in ("time_travel_diff", "stroke_width", "insert_edges", "keyed_upsert")}
+    assert got["time_travel_diff"].count() == n("SELECT count(*) FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)")
+    assert got["stroke_width"].count() == n("SELECT count(*) FROM lineitem")
+    assert got["insert_edges"].where("from_id % 3 <> 0 OR to_id % 3 <> 0").count() > 0
+    assert got["keyed_upsert"].where("v % 2 = 1 AND v > 0").count() > 0
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
