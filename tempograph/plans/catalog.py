@@ -105,6 +105,16 @@ def in_hop(spark, d):
     return traverse.in_(rows, A.calls(spark, d, QUANTITY))
 
 
+@query(f"WITH {LI}, {CALLS} SELECT f AS node_id, t AS next_id FROM calls JOIN part ON p_partkey = f")
+def out_hop_all(spark, d):
+    return traverse.out(A.functions(spark, d).select("node_id"), A.calls(spark, d, QUANTITY))
+
+
+@query(f"WITH {LI}, {CALLS} SELECT t AS node_id, f AS next_id FROM calls JOIN part ON p_partkey = t")
+def in_hop_all(spark, d):
+    return traverse.in_(A.functions(spark, d).select("node_id"), A.calls(spark, d, QUANTITY))
+
+
 def string_graph(spark, d) -> tuple[DataFrame, DataFrame]:
     return A.functions(spark, d).withColumn("node_id", F.col("node_id").cast("string")), A.edges(spark, d, QUANTITY)
 

@@ -34,6 +34,11 @@ def test_whole_tables(spark, sf_dir):
     assert got["keyed_upsert"].where("v % 2 = 1 AND v > 0").count() > 0
 
 
+def test_hops_from_all_functions(spark, sf_dir):
+    for name in ("out_hop_all", "in_hop_all"):
+        assert catalog.QUERIES[name](spark, sf_dir).where("node_id % 50 <> 0").count() > 0
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
