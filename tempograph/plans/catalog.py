@@ -466,6 +466,11 @@ def sorted_distinct_names(spark, d):
     return A.table(spark, d, "documents").select("doc_id", F.slice(X.distinct_sorted(F.split(F.lower(F.left("text", F.lit(200))), " ")), 1, 5).alias("names"))
 
 
+@query("""SELECT doc_id, list_sort(list_distinct(list_filter(string_split(lower(text), ' '), lambda x: x <> '')))[1:5] AS names FROM documents""")
+def sorted_distinct_names_all(spark, d):
+    return A.table(spark, d, "documents").select("doc_id", F.slice(X.distinct_sorted(F.split(F.lower("text"), " ")), 1, 5).alias("names"))
+
+
 @query("SELECT doc_id, contains(text, '8') AS has_eight, starts_with(source, 'src1') AS in_src1, replace(source, 'src', 'source-') AS renamed FROM documents")
 def substring_tests(spark, d):
     return A.table(spark, d, "documents").select("doc_id", F.contains("text", F.lit("8")).alias("has_eight"), F.startswith("source", F.lit("src1")).alias("in_src1"), F.replace("source", F.lit("src"), F.lit("source-")).alias("renamed"))

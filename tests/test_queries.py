@@ -39,6 +39,12 @@ def test_hops_from_all_functions(spark, sf_dir):
         assert catalog.QUERIES[name](spark, sf_dir).where("node_id % 50 <> 0").count() > 0
 
 
+def test_names_of_the_whole_text(spark, sf_dir):
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = {r.doc_id: r.names for r in catalog.QUERIES["sorted_distinct_names_all"](spark, sf_dir).collect()}
+    assert any(n not in text[k][:200].lower().split(" ") for k, names in got.items() for n in names or [])
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
