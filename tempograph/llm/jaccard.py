@@ -231,7 +231,7 @@ def signature_lists(docs: DataFrame, text_col: str, n: int, percent: int, n_part
 def again_from_text(keys: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, column: str, kind: str, make) -> DataFrame:
     """key, size and a column made of the elements, for each of keys: its first document is read again."""
     reps = sets.join(keys, "key", "left_semi").select(F.col("rep").alias("_rep")).distinct()
-    texts = docs.join(reps, docs[id_col] == F.col("_rep"), "left_semi").select(text_col)
+    texts = docs.join(reps, docs[id_col].eqNullSafe(F.col("_rep")), "left_semi").select(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -369,6 +369,14 @@ def test_components_of_documents(spark, sf_dir, docs):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in run(spark, sf_dir, "op8_")} == {k: (len(s), want[k]) for k, s in sets.items()}
 
 
+def test_near_copy_without_id(spark):
+    words = [f"w{i}" for i in range(300)]
+    far = " ".join(["a1", "a2", *words[2:]])
+    df = spark.createDataFrame([(1, " ".join(words)), (None, far), (2, far + " z1")], "doc_id long, text string")
+    got = {r.id: r.component_id for r in jaccard.near_duplicates(df).collect()}
+    assert got[1] == got[None] == got[2] == 1
+
+
 @pytest.mark.parametrize("edits", [1, 4, 9])
 def test_components_of_near_copies(spark, edits, monkeypatch):
     """A large group of near copies, many of them a little too far apart, and texts that share a passage only."""
