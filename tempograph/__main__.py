@@ -38,6 +38,8 @@ def main(args: list[str]) -> int:
         export.write_json_lines(graph, f"{folder}/payload")
         graphstore.save(graph, folder)
         saved = graphstore.load(spark, folder)
+        export.write_document(export.payload_nodes(graph), export.payload_edges(graph), f"{folder}/graph_payload.json")
+        write_viz(saved, f"{folder}/graph_viz.json", rebuilt=False)
         print({k: v.count() for k, v in saved.nodes.items()}, saved.edges.count(), "edges")
         return 0
     graph = graphstore.load(spark, folder)

@@ -11,7 +11,9 @@ from ..model import EXCERPT, LABEL, SUMMARY, col, replaced
 
 #: what ends a line for str.splitlines
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+# Fixed value: what names a function.
 FUNCTION_NAME = r"(?U)^\s*(?:async\s+)?def\s+(\w+)"
+# Fixed value: the types of the public Conventional Commits convention.
 CONVENTIONAL = r"(?i)^(feat|fix|refactor|chore|docs|test|perf|style|ci|build|revert)(\([^)]+\))?(!)?:\s*(.+)"
 
 

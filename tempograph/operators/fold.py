@@ -9,16 +9,16 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import model as M
 from ..functions import text as X
 from ..functions.pycode import extract_definitions
 from ..sources.gitlog import python_files
+from ..storage import stored
 from ..workers import importable
 from . import enrich
-from .ordered import asof_last, first_per_key, following
+from .ordered import asof_last, chained, first_per_key, following, with_ends, with_status
 
 COMMITS_PER_BUCKET = 1000
 
@@ -44,14 +44,15 @@ def replay(commits_raw: DataFrame, embed=None) -> M.Graph:
 
     embed = embed or hashed_embedding
     raw = commits_raw.withColumns({"short": M.short_hash("hexsha"), "safe": M.safe_path("path")})
+    # each file is read and parsed once: what follows goes back to these tables some twenty times
+    events = stored(extracted(python_files(raw).where(F.col("source").isNotNull()).select("commit_seq", "short", "file_seq", "path", "safe", "source")), "events").withColumn("ord", order("file_seq", "seq"))
+    raw = stored(raw.select("commit_seq", "hexsha", "short", "author", "msg", "timestamp", "file_seq", "path", "safe", F.col("source").isNotNull().alias("present")), "log")
     commits = raw.groupBy("commit_seq").agg(*[F.first(c).alias(c) for c in ("hexsha", "short", "author", "msg", "timestamp")])
     commits = commits.withColumn("ord", order(F.lit(-2), F.lit(0)))
-    files = python_files(raw).where(F.col("source").isNotNull()).select("commit_seq", "short", "file_seq", "path", "safe", "source")
-    events = extracted(files).withColumn("ord", order("file_seq", "seq"))
+    files = python_files(raw).where("present").select("commit_seq", "short", "file_seq", "path", "safe").withColumn("ord", order("file_seq", F.lit(0)))
     fid = M.file_id("safe")
     scope_id = F.when(F.col("scope").isNull(), fid).otherwise(M.class_id("safe", "scope"))
     scope_kind = F.when(F.col("scope").isNull(), F.lit(M.FILE)).otherwise(F.lit(M.CLASS))
-    files = files.drop("source").withColumn("ord", order("file_seq", F.lit(0)))
     of = lambda event: events.where(F.col("event") == event)
 
     # nodes: first writer wins
@@ -65,21 +66,21 @@ def replay(commits_raw: DataFrame, embed=None) -> M.Graph:
     states_all = functions.select(
         F.col("state_id").alias("node_id"), "function_id", F.col("short").alias("commit"), X.left("text", M.STORED).alias("code"), M.code_hash("text").alias("code_hash"),
         X.left(summary, M.STORED).alias("ai_summary"), "ord",
-    ).withColumn("ai_summary_vec", embed(F.col("ai_summary")))
-    head = functions.groupBy("function_id").agg(F.max_by("state_id", "ord").alias("head")).withColumnRenamed("function_id", "_f")
-    states_all = states_all.join(head, F.col("function_id") == F.col("_f")).withColumn("status", F.when(F.col("node_id") == F.col("head"), M.ACTIVE).otherwise(M.SUPERSEDED)).drop("_f", "head")
+    )
+    states_all = with_status(states_all, ["function_id"], ["ord"], "node_id", M.ACTIVE, M.SUPERSEDED)
+    with_vector = lambda df: df.withColumn("ai_summary_vec", embed(F.col("ai_summary")))
     nodes = {
         M.COMMIT: commits.select(M.commit_id("short").alias("node_id"), F.col("hexsha").alias("hash"), "author", X.left(X.stripped("msg"), M.STORED).alias("msg"), "timestamp", F.try_to_timestamp("timestamp").alias("commit_ts"), F.lit("").alias("ai_rationale"), "ord"),
         M.FILE: first_per_key(files_all, ["node_id"]),
         M.CLASS: first_per_key(classes, ["node_id"]),
         M.FUNCTION: first_per_key(functions.select(F.col("function_id").alias("node_id"), "name", F.col("path").alias("file"), "ord"), ["node_id"]),
-        M.STATE: first_per_key(states_all, ["node_id"]),
+        M.STATE: with_vector(first_per_key(states_all, ["node_id"])),
     }
     nodes[M.COMMIT] = first_per_key(nodes[M.COMMIT], ["node_id"])
 
     # edges, in the order in which a replay makes them
     step = lambda k: F.struct("ord.commit_seq", "ord.file_seq", "ord.seq", F.lit(k).alias("k"))
-    prior = functions.withColumn("previous", F.lag("state_id").over(W.partitionBy("function_id").orderBy("ord"))).where(F.col("previous").isNotNull())
+    prior = chained(functions, ["function_id"], ["ord"], "state_id").where(F.col("previous").isNotNull())
     bucket = F.floor(F.col("commit_seq") / COMMITS_PER_BUCKET)
     calls = of("call").select(X.callee_name("text").alias("name"), "ord", M.function_id("safe", "owner").alias("caller"), bucket.alias("bucket"))
     defined = functions.select("name", "ord", F.col("function_id").alias("callee"), bucket.alias("bucket"))
@@ -100,14 +101,10 @@ def replay(commits_raw: DataFrame, embed=None) -> M.Graph:
     edges_all = first_per_key(reduce(DataFrame.unionByName, made), ["from_id", "label", "to_id"])
     edges = resolved_edges(edges_all, nodes)
     failed = of("error").select("short", "path", F.col("text").alias("error"))
-    return M.Graph(nodes, edges, edges_all.select(*M.EDGE_COLUMNS), states_all=states_all, diagnostics=failed, files_all=files_all, extra={"functions_all": functions, "classes_all": classes})
+    return M.Graph(nodes, edges, edges_all.select(*M.EDGE_COLUMNS), states_all=with_vector(states_all), diagnostics=failed, files_all=files_all, extra={"functions_all": functions, "classes_all": classes})
 
 
 def resolved_edges(edges: DataFrame, nodes: dict[str, DataFrame]) -> DataFrame:
     """The edges whose ends both exist when the edge is stored: the nodes of a file are stored before its edges, and a skipped edge is never tried again."""
-    known = reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("_kind"), F.col("node_id").alias("_id"), F.struct("ord.commit_seq", "ord.file_seq").alias("_since")) for kind, df in nodes.items()])
-    at = F.struct("ord.commit_seq", "ord.file_seq")
-    for end in ("from", "to"):
-        met = (F.col(f"{end}_id") == F.col("_id")) & (F.col(f"{end}_kind") == F.col("_kind")) & (F.col("_since") <= at)
-        edges = edges.join(known, met, "left_semi")
-    return edges.select(*M.EDGE_COLUMNS)
+    known = reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("kind"), F.col("node_id").alias("id"), F.struct("ord.commit_seq", "ord.file_seq").alias("since")) for kind, df in nodes.items()])
+    return with_ends(edges, known, F.struct("ord.commit_seq", "ord.file_seq")).select(*M.EDGE_COLUMNS)

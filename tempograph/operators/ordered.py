@@ -57,3 +57,36 @@ def asof_last(definitions: DataFrame, uses: DataFrame, key: str, order: str, val
     if carried is not None:
         found = found.join(carried, (F.col("_key") == F.col("_k")) & (F.col("_bucket") == F.col("_b")), "left").withColumn("_found", F.coalesce("_found", "_was"))
     return found.select(F.col("_key").alias(key), F.col("_order").alias(order), "_rest.*", F.col("_found").alias(value))
+
+
+def chained(df: DataFrame, keys: list[str], order: list, value: str) -> DataFrame:
+    """df with previous and next (value of the rows before and after within the key) and version (from 1)."""
+    along = W.partitionBy(*keys).orderBy(*order)
+    return df.withColumns({"previous": F.lag(value).over(along), "next": F.lead(value).over(along), "version": F.row_number().over(along).cast("long")})
+
+
+def with_change(df: DataFrame, keys: list[str], order: list, value: str) -> DataFrame:
+    """df with changed: whether value differs from that of the row before within the key; false for the first."""
+    before = F.lag(value).over(W.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("changed", F.coalesce(F.col(value) != before, F.lit(False)))
+
+
+def with_status(df: DataFrame, keys: list[str], order: list, value: str, active: str, other: str) -> DataFrame:
+    """df with status: active where value is that of the key's last row (a maximum with partial aggregation, joined back)."""
+    names = [f"_key{i}" for i in range(len(keys))]
+    head = last_value(df, keys, order, value).toDF(*names, "_head")
+    on = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
+    return df.join(head, on).withColumn("status", F.when(F.col(value) == F.col("_head"), active).otherwise(other)).drop("_head", *names)
+
+
+def last_value(df: DataFrame, keys: list[str], order: list, value: str) -> DataFrame:
+    """keys and value of each key's last row."""
+    return df.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias(value))
+
+
+def with_ends(edges: DataFrame, known: DataFrame, at: Column) -> DataFrame:
+    """The edges (from_id, from_kind, to_id, to_kind, ...) both of whose ends are known (kind, id, since) at the edge's time: two semi-joins."""
+    k = known.select(F.col("kind").alias("_kind"), F.col("id").alias("_id"), F.col("since").alias("_since"))
+    for end in ("from", "to"):
+        edges = edges.join(k, (F.col(f"{end}_id") == F.col("_id")) & (F.col(f"{end}_kind") == F.col("_kind")) & (F.col("_since") <= at), "left_semi")
+    return edges

@@ -7,9 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: beyond so many hops walks are not enumerated but reached nodes are
-CTE_DEPTH = 3
-
+from ..storage import kept, scratch, stored
 
 def out(rows: DataFrame, edges: DataFrame, label: str | None = None, key: str = "node_id", to: str = "next_id") -> DataFrame:
     """rows joined with the nodes that their key points to (one row per edge: a multiset of paths)."""
@@ -27,16 +25,16 @@ def _hop(rows: DataFrame, edges: DataFrame, label: str | None, key: str, to: str
     return rows.join(e, rows[key] == e["_here"]).drop("_here")
 
 
-def reach(edges: DataFrame, anchors: DataFrame, depth: int, reverse: bool = True, strategy: str = "auto") -> DataFrame:
+def reach(edges: DataFrame, anchors: DataFrame, depth: int, reverse: bool = True, strategy: str = "frontier") -> DataFrame:
     """node_id and hop (the fewest, from 1 to depth) of the nodes reachable from any anchor, without the anchors themselves.
 
-    strategy: `cte` (a recursive query that enumerates walks, for few hops), `frontier` (breadth-first, each node is expanded once,
-    so cycles and dense graphs cost no more than their edges), `unrolled` (depth joins), `auto`.
+    strategy: `frontier` (breadth-first, each node is expanded once, so cycles, hubs and dense graphs cost no more than their
+    edges), or, for small graphs, `cte` (a recursive query, which enumerates walks and stops with an error beyond
+    spark.sql.cteRecursionRowLimit of them) and `unrolled` (depth joins of nodes that are distinct after each).
     """
     here, there = ("to_id", "from_id") if reverse else ("from_id", "to_id")
     steps = edges.select(F.col(here).alias("src"), F.col(there).alias("dst")).distinct()
     start = anchors.select(F.col(anchors.columns[0]).cast(steps.schema["dst"].dataType).alias("node_id")).distinct()
-    strategy = ("cte" if depth <= CTE_DEPTH else "frontier") if strategy == "auto" else strategy
     found = {"cte": _cte, "frontier": _frontier, "unrolled": _unrolled}[strategy](steps, start, depth)
     found = found.groupBy("node_id").agg(F.min("hop").cast("int").alias("hop"))
     return found.join(start, "node_id", "left_anti")
@@ -57,22 +55,24 @@ def _cte(steps: DataFrame, start: DataFrame, depth: int) -> DataFrame:
 
 
 def _frontier(steps: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    visited = start.withColumn("hop", F.lit(0))
-    frontier = start
-    for hop in range(1, depth + 1):
-        new = frontier.join(steps, frontier["node_id"] == steps["src"]).select(F.col("dst").alias("node_id")).distinct()
-        new = new.join(visited.select("node_id"), "node_id", "left_anti")
-        if hop > 2:  # later hops don't recompute earlier ones
-            new = new.persist()
-            if new.limit(1).count() == 0:
+    """Hop by hop: the neighbours of the newest nodes, once each, without those reached before; a stored table for each hop."""
+    with scratch(steps.sparkSession):
+        visited = newest = stored(start.withColumn("hop", F.lit(0)), "reach_0")
+        for hop in range(1, depth + 1):
+            near = newest.join(steps, newest["node_id"] == steps["src"]).select(F.col("dst").alias("node_id")).distinct()
+            newest = stored(near.join(visited.select("node_id"), "node_id", "left_anti").withColumn("hop", F.lit(hop)), f"reach_{hop}")
+            if newest.isEmpty():
                 break
-        visited = visited.unionByName(new.withColumn("hop", F.lit(hop)))
-        frontier = new
-    return visited.where("hop > 0")
+            visited = visited.unionByName(newest)
+        return kept(visited.where("hop > 0"), "reached")
 
 
 def _unrolled(steps: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    return walks(steps, start, depth).select("node_id", "hop")
+    level, levels = start, []
+    for hop in range(1, depth + 1):
+        level = level.join(steps, level["node_id"] == steps["src"]).select(F.col("dst").alias("node_id")).distinct()
+        levels.append(level.withColumn("hop", F.lit(hop)))
+    return reduce(DataFrame.unionByName, levels)
 
 
 def walks(steps: DataFrame, start: DataFrame, depth: int) -> DataFrame:

@@ -5,18 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import model as M
 from ..functions import text as X
 from ..functions import viz as V
+from ..functions.patch import patched
 from ..operators import enrich, export, fold, keyed, traverse, vector
+from ..operators import ordered
 from ..operators.ordered import asof_last, first_per_key, following, latest_per_key
 from ..sources import graphstore
+from ..streaming import ingest
 from ..sources.gitlog import SKIPPED, base_name, python_files
+from ..workers import importable
 from . import adapters as A
-from . import samples
+from . import history
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,7 +63,7 @@ def reached(spark: SparkSession, sf_dir: str, depth: int, strategy: str) -> Data
 
 @query(reach_sql(2))
 def blast_radius(spark, d):
-    return reached(spark, d, 2, "cte")
+    return reached(spark, d, 2, "frontier")
 
 
 @query(reach_sql(4))
@@ -68,6 +71,11 @@ def blast_radius_frontier(spark, d):
     return reached(spark, d, 4, "frontier")
 
 
+@query(reach_sql(2))
+def blast_radius_recursive(spark, d):
+    return reached(spark, d, 2, "cte")
+
+
 @query(reach_sql(3))
 def blast_radius_unrolled(spark, d):
     return reached(spark, d, 3, "unrolled")
@@ -93,25 +101,13 @@ def callers_per_hop(spark, d):
     return walked(spark, d).groupBy(F.col("hop").cast("int").alias("hop")).agg(F.count("*").alias("callers"), F.count_distinct("node_id").alias("distinct_callers"))
 
 
-@query(f"WITH {LI}, {CALLS} SELECT f AS node_id, t AS next_id FROM calls WHERE f % 50 = 0")
-def out_hop(spark, d):
-    rows = A.functions(spark, d).where("node_id % 50 = 0").select("node_id")
-    return traverse.out(rows, A.calls(spark, d, QUANTITY))
-
-
-@query(f"WITH {LI}, {CALLS} SELECT t AS node_id, f AS next_id FROM calls WHERE t % 50 = 0")
-def in_hop(spark, d):
-    rows = A.functions(spark, d).where("node_id % 50 = 0").select("node_id")
-    return traverse.in_(rows, A.calls(spark, d, QUANTITY))
-
-
 @query(f"WITH {LI}, {CALLS} SELECT f AS node_id, t AS next_id FROM calls JOIN part ON p_partkey = f")
-def out_hop_all(spark, d):
+def out_hop(spark, d):
     return traverse.out(A.functions(spark, d).select("node_id"), A.calls(spark, d, QUANTITY))
 
 
 @query(f"WITH {LI}, {CALLS} SELECT t AS node_id, f AS next_id FROM calls JOIN part ON p_partkey = t")
-def in_hop_all(spark, d):
+def in_hop(spark, d):
     return traverse.in_(A.functions(spark, d).select("node_id"), A.calls(spark, d, QUANTITY))
 
 
@@ -178,8 +174,7 @@ def temporal_trace_detailed(spark, d):
 @query(f"""WITH {ORDERED} SELECT part, ord AS commit, lag(ord) OVER w AS previous, lead(ord) OVER w AS next, row_number() OVER w AS version
     FROM os WINDOW w AS (PARTITION BY part ORDER BY dt, ord)""")
 def version_chain(spark, d):
-    w = W.partitionBy("part").orderBy("at", "commit")
-    return A.ordered_states(spark, d).select("part", "commit", F.lag("commit").over(w).alias("previous"), F.lead("commit").over(w).alias("next"), F.row_number().over(w).cast("long").alias("version"))
+    return ordered.chained(A.ordered_states(spark, d), ["part"], ["at", "commit"], "commit").select("part", "commit", "previous", "next", "version")
 
 
 @query("SELECT o_orderkey AS node_id, lead(o_orderkey) OVER (ORDER BY o_orderdate, o_orderkey) AS next_id FROM orders")
@@ -193,42 +188,34 @@ HEADS = f"WITH {ORDERED}, h AS (SELECT part, ord, row_number() OVER (PARTITION B
 
 @query(HEADS + " SELECT part, ord AS commit, CASE WHEN head THEN 'active' ELSE 'superseded' END AS status FROM h")
 def head_status(spark, d):
-    s = A.ordered_states(spark, d)
-    w = W.partitionBy("part").orderBy(F.desc("at"), F.desc("commit"))
-    return s.select("part", "commit", F.when(F.row_number().over(w) == 1, M.ACTIVE).otherwise(M.SUPERSEDED).alias("status"))
+    return ordered.with_status(A.ordered_states(spark, d), ["part"], ["at", "commit"], "commit", M.ACTIVE, M.SUPERSEDED).select("part", "commit", "status")
 
 
 @query(HEADS + " SELECT CASE WHEN head THEN 'active' ELSE 'superseded' END AS status, count(*) AS states FROM h GROUP BY 1")
 def status_counts(spark, d):
-    n = A.touched(spark, d).groupBy("part").agg(F.count("*").alias("n")).agg(F.count("*").alias("active"), F.coalesce(F.sum("n") - F.count("*"), F.lit(0)).alias("superseded"))
+    n = ingest.status_counts(A.touched(spark, d).withColumnRenamed("part", "function_id"))
     return n.select(F.expr("stack(2, 'active', active, 'superseded', superseded) AS (status, states)")).where("states > 0")
 
 
 @query(HEADS + " SELECT part, ord AS commit FROM h WHERE head")
 def latest_state(spark, d):
-    return A.ordered_states(spark, d).groupBy("part").agg(F.max_by("commit", F.struct("at", "commit")).alias("commit"))
+    return ordered.last_value(A.ordered_states(spark, d), ["part"], ["at", "commit"], "commit")
 
 
 DIFF_SQL = f"""
     WITH {ORDERED}, h AS (SELECT part, ord, lag(ord) OVER (PARTITION BY part ORDER BY dt, ord) AS prev FROM os)
     SELECT 'state_' || part || '_' || ord AS node_id, CAST(ord AS VARCHAR) AS current_commit, CAST(prev AS VARCHAR) AS previous_commit,
-        CASE WHEN prev IS NULL THEN NULL ELSE 'state_' || part || '_' || prev END AS previous_node_id FROM h WHERE part % 20 = 0"""
+        CASE WHEN prev IS NULL THEN NULL ELSE 'state_' || part || '_' || prev END AS previous_node_id FROM h"""
 
 
 @query(DIFF_SQL)
 def time_travel_diff(spark, d):
-    return diffs(A.ordered_states(spark, d).where("part % 20 = 0"))
-
-
-@query(DIFF_SQL.removesuffix(" WHERE part % 20 = 0"))
-def time_travel_diff_all(spark, d):
     return diffs(A.ordered_states(spark, d))
 
 
 def diffs(s: DataFrame) -> DataFrame:
-    w = W.partitionBy("part").orderBy("at", "commit")
-    s = s.withColumns({"node_id": A.state_key(), "_p": F.lag(A.state_key()).over(w)})
-    edges = s.where("_p IS NOT NULL").select(F.col("node_id").alias("from_id"), F.lit(M.PREVIOUS_VERSION).alias("label"), F.col("_p").alias("to_id"))
+    s = ordered.chained(s.withColumn("node_id", A.state_key()), ["part"], ["at", "commit"], "node_id")
+    edges = s.where("previous IS NOT NULL").select(F.col("node_id").alias("from_id"), F.lit(M.PREVIOUS_VERSION).alias("label"), F.col("previous").alias("to_id"))
     states = s.select("node_id", F.col("commit").cast("string").alias("commit"))
     out = traverse.version_diff(states, edges, ["node_id", "commit"])
     return out.select("node_id", F.col("current.commit").alias("current_commit"), F.col("previous.commit").alias("previous_commit"), F.col("previous.node_id").alias("previous_node_id"))
@@ -238,8 +225,7 @@ def diffs(s: DataFrame) -> DataFrame:
     coalesce(substring(sha1(text), 1, 12) <> lag(substring(sha1(text), 1, 12)) OVER (PARTITION BY conv_id, role ORDER BY turn), false) AS changed FROM conversations""")
 def code_changed_versions(spark, d):
     c = A.table(spark, d, "conversations").withColumn("code_hash", M.code_hash("text"))
-    before = F.lag("code_hash").over(W.partitionBy("conv_id", "role").orderBy("turn"))
-    return c.select("conv_id", "turn", "role", "code_hash", F.coalesce(F.col("code_hash") != before, F.lit(False)).alias("changed"))
+    return ordered.with_change(c, ["conv_id", "role"], ["turn"], "code_hash").select("conv_id", "turn", "role", "code_hash", "changed")
 
 
 @query("SELECT doc_id, substring(sha1(text), 1, 12) AS code_hash FROM documents")
@@ -269,12 +255,13 @@ def edge_dedup(spark, d):
 
 
 @query("""SELECT l_orderkey AS from_id, l_partkey AS to_id, count(*) AS edges FROM lineitem
-    WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderdate < l_shipdate) AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 25) GROUP BY 1, 2""")
+    WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderdate <= l_shipdate) AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 25) GROUP BY 1, 2""")
 def edge_resolution(spark, d):
     li, o, p = (A.table(spark, d, t) for t in ("lineitem", "orders", "part"))
-    li = li.join(o, (li["l_orderkey"] == o["o_orderkey"]) & (o["o_orderdate"] < li["l_shipdate"]), "left_semi")
-    li = li.join(p.where("p_size < 25"), F.col("l_partkey") == F.col("p_partkey"), "left_semi")
-    return li.groupBy(F.col("l_orderkey").alias("from_id"), F.col("l_partkey").alias("to_id")).agg(F.count("*").alias("edges"))
+    li = li.select(F.col("l_orderkey").alias("from_id"), F.lit("order").alias("from_kind"), F.col("l_partkey").alias("to_id"), F.lit("part").alias("to_kind"), "l_shipdate")
+    known = o.select(F.lit("order").alias("kind"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("since"))
+    known = known.unionByName(p.where("p_size < 25").select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"), F.expr("TIMESTAMP_NTZ '1900-01-01'").alias("since")))
+    return ordered.with_ends(li, known, F.col("l_shipdate")).groupBy("from_id", "to_id").agg(F.count("*").alias("edges"))
 
 
 @query("""
@@ -312,40 +299,20 @@ def insert_if_absent(spark, d):
     return graphstore.new_nodes(p.where("p_size < 2").select("node_id").distinct(), p.drop("p_size"))
 
 
-@query("""SELECT l_orderkey AS from_id, l_returnflag AS label, l_partkey AS to_id, min(l_linenumber) AS ord FROM lineitem
-    WHERE l_orderkey % 3 = 0 AND l_partkey % 3 = 0 AND (l_orderkey, l_returnflag, l_partkey) NOT IN (SELECT (l_orderkey, l_returnflag, l_partkey) FROM lineitem WHERE l_quantity < 10) GROUP BY 1, 2, 3""")
-def insert_edges(spark, d):
-    return inserted(spark, d, "node_id % 3 = 0")
-
-
 @query("""SELECT l_orderkey AS from_id, l_returnflag AS label, l_partkey AS to_id, min(l_linenumber) AS ord FROM lineitem
     WHERE (l_orderkey IN (SELECT o_orderkey FROM orders) OR l_orderkey IN (SELECT p_partkey FROM part)) AND (l_partkey IN (SELECT p_partkey FROM part) OR l_partkey IN (SELECT o_orderkey FROM orders))
     AND (l_orderkey, l_returnflag, l_partkey) NOT IN (SELECT (l_orderkey, l_returnflag, l_partkey) FROM lineitem WHERE l_quantity < 10) GROUP BY 1, 2, 3""")
-def insert_edges_all(spark, d):
-    return inserted(spark, d, "true")
-
-
-def inserted(spark, d, which: str) -> DataFrame:
+def insert_edges(spark, d):
     li = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("from_id"), F.col("l_returnflag").alias("label"), F.col("l_partkey").alias("to_id"), F.col("l_linenumber").alias("ord"), "l_quantity")
-    nodes = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("node_id")).union(A.table(spark, d, "part").select("p_partkey")).where(which)
+    nodes = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("node_id")).union(A.table(spark, d, "part").select("p_partkey"))
     return graphstore.new_edges(li.where("l_quantity < 10"), li.drop("l_quantity"), nodes)
 
 
-@query("""WITH w AS (SELECT o_custkey AS k, o_orderkey AS v, o_orderstatus AS s FROM orders WHERE o_orderkey % 2 = 0), n AS (SELECT k, max(v) AS v, arg_max(s, v) AS s FROM w GROUP BY k)
-    SELECT c_custkey AS k, coalesce(n.v, -1) AS v, coalesce(n.s, c_mktsegment) AS s FROM customer LEFT JOIN n ON n.k = c_custkey""")
-def keyed_upsert(spark, d):
-    return upserts(spark, d, "o_orderkey % 2 = 0")
-
-
 @query("""WITH n AS (SELECT o_custkey AS k, max(o_orderkey) AS v, arg_max(o_orderstatus, o_orderkey) AS s FROM orders GROUP BY o_custkey)
     SELECT c_custkey AS k, coalesce(n.v, -1) AS v, coalesce(n.s, c_mktsegment) AS s FROM customer LEFT JOIN n ON n.k = c_custkey""")
-def keyed_upsert_all(spark, d):
-    return upserts(spark, d, "true")
-
-
-def upserts(spark, d, which: str) -> DataFrame:
+def keyed_upsert(spark, d):
     c = A.table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.lit(-1).cast("long").alias("v"), F.col("c_mktsegment").alias("s"))
-    w = A.table(spark, d, "orders").where(which).select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v"), F.col("o_orderstatus").alias("s"))
+    w = A.table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v"), F.col("o_orderstatus").alias("s"))
     return keyed.upserted(c, w, "k", "v")
 
 
@@ -399,6 +366,14 @@ def vector_distances(spark, d):
     return e.select("vec_id", F.round(vector.dot("embedding", q), 6).alias("dot"), F.round(vector.l2("embedding", q), 6).alias("l2"))
 
 
+@query()
+def vector_index_nearest(spark, d):
+    """The five nearest rows of each query through the index; approximate, so without SQL (tests measure its recall)."""
+    e = A.table(spark, d, "embeddings").select("vec_id", "embedding")
+    found = vector.approximate_knn(e, e.where("vec_id % 50 = 0"), 5, "embedding", "vec_id", 64, tables=48, bits=4)
+    return found.select("query", "vec_id", "rank", "similarity")
+
+
 @query("SELECT vec_id, label FROM embeddings ORDER BY label = 7 DESC, vec_id LIMIT 1")
 def preferred_row(spark, d):
     return vector.preferred(A.table(spark, d, "embeddings").select("vec_id", "label"), F.col("label") == 7, [F.col("vec_id")])
@@ -440,9 +415,9 @@ def falsy_coalesce(spark, d):
     return A.table(spark, d, "part").select("p_partkey", X.first_full(F.when(F.col("p_size") > 25, "").otherwise(F.col("p_name")), F.when(F.col("p_size") <= 40, F.col("p_brand")), "p_type").alias("value"))
 
 
-@query("SELECT conv_id, turn, regexp_replace(text || chr(9) || chr(10), '^\\s+|\\s+$', '', 'g') AS stripped FROM conversations")
+@query("SELECT conv_id, turn, regexp_replace(chr(9) || ' ' || text || chr(9) || chr(10), '^\\s+|\\s+$', '', 'g') AS stripped FROM conversations")
 def strip_text(spark, d):
-    return A.table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace(F.concat("text", F.lit("\t\n")), r"^\s+|\s+$", "").alias("stripped"))
+    return A.table(spark, d, "conversations").select("conv_id", "turn", X.stripped(F.concat(F.lit("\t "), F.col("text"), F.lit("\t\n"))).alias("stripped"))
 
 
 CODE_SQL = "('def ' || replace(p_name, ' ', '_') || '(x):' || chr(10) || '    \"\"\" ' || p_type || chr(10) || '  more \"\"\"' || chr(10))"
@@ -461,13 +436,8 @@ def conventional_commits(spark, d):
     return A.table(spark, d, "orders").withColumn("c", X.conventional_commit(msg)).select("o_orderkey", "c.type", "c.scope", "c.breaking", "c.subject")
 
 
-@query("""SELECT doc_id, list_sort(list_distinct(list_filter(string_split(lower(left(text, 200)), ' '), lambda x: x <> '')))[1:5] AS names FROM documents""")
-def sorted_distinct_names(spark, d):
-    return A.table(spark, d, "documents").select("doc_id", F.slice(X.distinct_sorted(F.split(F.lower(F.left("text", F.lit(200))), " ")), 1, 5).alias("names"))
-
-
 @query("""SELECT doc_id, list_sort(list_distinct(list_filter(string_split(lower(text), ' '), lambda x: x <> '')))[1:5] AS names FROM documents""")
-def sorted_distinct_names_all(spark, d):
+def sorted_distinct_names(spark, d):
     return A.table(spark, d, "documents").select("doc_id", F.slice(X.distinct_sorted(F.split(F.lower("text"), " ")), 1, 5).alias("names"))
 
 
@@ -508,13 +478,8 @@ def radius_tier(spark, d):
     return kinds(spark, d).groupBy("kind", V.radius("kind").alias("radius"), V.link_strength("kind").alias("strength"), V.link_distance("kind").alias("distance")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, greatest(0.5, coalesce(nullif(l_discount * 20, 0), 1.0)) AS width FROM lineitem WHERE l_orderkey % 10 = 0")
-def stroke_width(spark, d):
-    return stroke_width_all(spark, d).where("l_orderkey % 10 = 0")
-
-
 @query("SELECT l_orderkey, l_linenumber, l_partkey, greatest(0.5, coalesce(nullif(l_discount * 20, 0), 1.0)) AS width FROM lineitem")
-def stroke_width_all(spark, d):
+def stroke_width(spark, d):
     return A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", V.stroke_width(F.col("l_discount") * 20).alias("width"))
 
 
@@ -634,28 +599,36 @@ def viz_export(spark, d):
     return export.viz_nodes(n.select(F.col("kind").alias("type"), "id", props.alias("props"))).drop("metadata")
 
 
-# ---- the code graph of a built-in log (no SQL can parse code; tests hold these against golden numbers) --------------
+# ---- the replay of a commit log ----------------------------------------------------------------------------------
 
 
-def replayed(spark) -> M.Graph:
-    return fold.replay(spark.createDataFrame(samples.LOG, M.COMMITS_RAW))
+def replayed(spark, d) -> M.Graph:
+    return fold.replay(history.commit_log(spark, d))
 
 
-@query()
+@query(history.NODES_SQL)
 def code_graph_nodes(spark, d):
-    return replayed(spark).nodes_all().select("kind", "node_id", F.to_json("props").alias("props"))
+    prop = lambda k: F.try_element_at("props", F.lit(k)).alias(k)
+    return replayed(spark, d).nodes_all().select("kind", "node_id", *map(prop, ("name", "file", "status", "code_hash")))
 
 
-@query()
+@query(history.EDGES_SQL)
 def code_graph_edges(spark, d):
-    return replayed(spark).edges_all.select("from_id", "from_kind", "label", "to_id", "to_kind")
+    return replayed(spark, d).edges_all.select("from_id", "from_kind", "label", "to_id", "to_kind")
 
 
-@query()
+@query(history.KEPT_SQL)
+def code_graph_resolved_edges(spark, d):
+    return replayed(spark, d).edges.select("from_id", "from_kind", "label", "to_id", "to_kind")
+
+
+@query(history.SUMMARY_SQL)
 def analyse_summary(spark, d):
-    return enrich.enriched(replayed(spark)).nodes[M.STATE].select("node_id", "ai_summary", "status")
+    return enrich.enriched(replayed(spark, d)).nodes[M.STATE].select("node_id", "ai_summary", "status")
 
 
-@query()
+@query(history.PATCH_SQL)
 def edit_patch(spark, d):
-    return samples.edited(spark)
+    importable(spark)
+    done = history.edits(spark, d).withColumn("p", patched("source", "name", "new_code"))
+    return done.select("file", "turn", "p.lines_replaced", "p.text")

@@ -9,6 +9,10 @@ from .. import model as M
 
 
 def save(graph: M.Graph, folder: str) -> None:
+    """Write the graph; a kind whose ids aren't unique is refused before anything is written."""
+    for kind, df in graph.nodes.items():
+        if not M.unique_ids(df):
+            raise ValueError(f"{kind}: ids are not unique")
     for kind, df in graph.nodes.items():
         df.write.mode("overwrite").parquet(f"{folder}/nodes/{kind}")
     for name, df in (("edges", graph.edges), ("edges_all", graph.edges_all)):

@@ -28,7 +28,7 @@ def _tool(name: str, description: str, required: list[str], **properties: tuple)
 # Tool names, parameters and defaults that clients rely on.
 MANIFEST = {
     "schema_version": "v1",
-    "name": "graphdb",
+    "name": "tempograph",
     "description": "Temporal code-graph tools on Spark",
     "tools": [
         _tool("search_code_semantics", "Active functions by what they do.", ["prompt"], prompt=("string", "What to look for"), k=("integer", "Number of results", 5)),

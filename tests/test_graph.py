@@ -221,6 +221,39 @@ def test_reach_strategies_agree(spark, pairs, depth):
         assert got == want, strategy
 
 
+def test_reach_through_a_hub(spark):
+    """1,200 nodes that call a hub, which calls 1,200 others: 1.4 million walks, 2,401 nodes."""
+    n = 1200
+    edges = [(i, 0) for i in range(1, n + 1)] + [(0, n + i) for i in range(1, n + 1)] + [(n + i, 5000) for i in range(1, n + 1)]
+    df = spark.createDataFrame(edges, "from_id long, to_id long")
+    got = traverse.reach(df, spark.createDataFrame([(5000,)], "node_id long"), 3)
+    assert {r.hop: r["count"] for r in got.groupBy("hop").count().collect()} == {1: n, 2: 1, 3: n}
+
+
+def test_recall_of_the_vector_index(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    asked = e.where("vec_id % 50 = 0")
+    got = {(r.query, r.vec_id) for r in vector.approximate_knn(e, asked, 5, "embedding", "vec_id", 64, tables=48, bits=4).collect()}
+    want = set()
+    for r in asked.collect():
+        want |= {(r.vec_id, x.vec_id) for x in vector.knn(e.where(F.col("vec_id") != r.vec_id), r.embedding, 5, "embedding", "vec_id").collect()}
+    assert len(got & want) >= 0.9 * len(want)
+
+
+def test_ids_are_unique_on_write(spark, one, tmp_path):
+    from tempograph.sources import graphstore
+
+    twice = M.Graph({**one.nodes, M.CLASS: one.nodes[M.CLASS].unionByName(one.nodes[M.CLASS])}, one.edges, one.edges_all)
+    with pytest.raises(ValueError, match="ClassIdentity"):
+        graphstore.save(twice, str(tmp_path / "g"))
+
+
+def test_definitions_beside_a_syntax_error():
+    source = "import a.b\nclass A(B):\n    x = (\n    def f(self):\n        return g(1)\n    def bad(:\n        pass\ndef h():\n    k()\n"
+    got = [(e, scope, owner, name or text) for e, scope, owner, name, text in pycode.events(source)][1:]
+    assert got == [("import", None, None, "a.b"), ("class", None, None, "A"), ("base", None, "A", "B"), ("function", "A", None, "f"), ("call", None, "f", "g"), ("function", None, None, "h"), ("call", None, "h", "k")]
+
+
 def test_empty_graph(spark):
     g = graph(spark, [])
     assert g.edges_all.count() == 0 and all(v.count() == 0 for v in g.nodes.values())
@@ -322,11 +355,11 @@ def test_settings_and_services(spark, tmp_path):
     (tmp_path / ".env").write_text("# note\nKEY='a=b'\nX=2\n")
     assert first_value(str(tmp_path / ".env")) == "a=b" and first_value(str(tmp_path / "none")) == ""
 
-    def call(text):
-        if text == "bad":
+    def call(texts):
+        if "bad" in texts:
             raise OSError
-        return [float(len(text)), 1.0]
+        return [[float(len(t)), 1.0] for t in texts]
 
-    embed = vector.service_embedding(call, 2)
+    embed = vector.service_embedding(call, 2, batch=1, attempts=2)
     df = spark.createDataFrame([("abc",), ("bad",), ("",), (None,)], "t string")
     assert [list(r.v) for r in df.select(embed(F.col("t")).alias("v")).collect()] == [[3.0, 1.0], [0.0, 0.0], [0.0, 0.0], [0.0, 0.0]]

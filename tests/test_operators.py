@@ -33,7 +33,7 @@ def test_expressions(spark):
 
 
 def test_conventional_commit(spark):
-    assert tuple(value(spark, X.conventional_commit(F.lit("Feat(core)!: go")))) == ("feat", "core", True, "go")
+    assert tuple(value(spark, X.conventional_commit(F.lit("Feat(core)!: go")))) == ("feat", "(core)", True, "go")
     assert value(spark, X.conventional_commit(F.lit("hello"))) is None
 
 
