@@ -2,50 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: ASCII white space, the only word separator of these operators.
-SPACES = r"[\x20\x09-\x0D]+"
-
-_own_folder: list[str] = []
-
+from .. import storage
+from ..storage import drop_stored, kept, scratch
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (spark.checkpoint.dir); a temporary one where none is set."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="tempograph-"))
-    return _own_folder[0]
+__all__ = ["SPACES", "attach", "buckets", "drop_stored", "hash_bucket", "hash_order", "kept", "running", "scratch", "stored", "table", "words"]
 
+#: ASCII white space, the only word separator of these operators.
+SPACES = r"[\x20\x09-\x0D]+"
 
 #: rows of a file of a table whose size is known
 ROWS_PER_FILE = 100_000
 
 
 def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-    """df written as Parquet into the shared folder and read again: lineage ends here, and a lost executor costs no recomputation.
-
-    rows: about how many at most, if known, so that a small table isn't written as many files.  The files stay until
-    `drop_stored`, as later plans may still read them.
-    """
-    spark = df.sparkSession
-    df = df if rows is None else df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
-    path = f"{shared_folder(spark)}/tempograph/{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(spark: SparkSession) -> None:
-    """Delete everything that `stored` wrote; call it once no DataFrame made here is needed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tempograph")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """`storage.stored`.  rows: about how many at most, if known, so that a small table isn't written as many files."""
+    return storage.stored(df if rows is None else df.coalesce(max(1, -(-rows // ROWS_PER_FILE))), name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,7 +69,8 @@ def running(df: DataFrame, group: list[str], bucket: str, order: list[str], valu
 BROADCAST_ROWS = 50_000
 
 
-def attach(df: DataFrame, small: DataFrame, on: Column, how: str = "inner") -> DataFrame:
-    """df joined with a stored table of one row per group: broadcast if its counted rows are few, else by an ordinary join,
-    whose large side adaptive execution splits where a group is hot."""
-    return df.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
+def attach(df: DataFrame, small: DataFrame, on: Column, how: str = "inner", rows: int | None = None) -> DataFrame:
+    """df joined with a stored table of one row per group: broadcast if its rows (counted, if not given) are few, else by an
+    ordinary join, whose large side adaptive execution splits where a group is hot."""
+    n = small.count() if rows is None else rows
+    return df.join(F.broadcast(small) if n <= BROADCAST_ROWS else small, on, how)

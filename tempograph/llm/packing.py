@@ -12,11 +12,12 @@ window (or by one very long document), and a lost task is simply done again.  Se
 times 2^33 and a counter.
 
 Tokenising: this tokenizer lower-cases, and never joins across ASCII white space nor between ASCII letters and punctuation.
-So texts are cut there, and the ids of each part come from a bounded cache in each worker, by a 64-bit hash of the part:
+So texts are cut there, and the ids of each part come from a cache in each worker, by the part itself and bounded in bytes:
 each distinct one is encoded about once per worker.  Tests hold this against whole texts.
 
 Nulls: a null or empty text is the end id alone; a null id stays null; equal rows are packed separately.  Empty tables
-give empty results; other columns are ignored.
+give empty results; other columns are ignored.  Ties: equal pieces go in the order of their documents, equal costs to the
+first sequence; a very long text is a window of its own and is cut into full sequences.
 """
 
 from __future__ import annotations
@@ -33,9 +34,11 @@ from pyspark.sql import types as T
 
 from ..workers import importable
 from .common import table
-from .textbytes import LOWER, SPACE, column_bytes, parts, tidy, word_hashes
+from .textbytes import LOWER, SPACE, column_bytes, parts, tidy
 
-SEQUENCE, END_ID, WINDOW_TOKENS, CACHE_WORDS = 2048, 1, 2_000_000, 2_000_000
+SEQUENCE, END_ID, WINDOW_TOKENS = 2048, 1, 2_000_000
+#: a worker forgets its words when they take about so much memory
+CACHE_BYTES, BYTES_PER_WORD = 128_000_000, 200
 LINEAR, QUADRATIC = 1.0, 1 / 1024
 
 _encoders: dict[str, WordEncoder] = {}
@@ -63,7 +66,7 @@ def word_parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 class WordEncoder:
-    """Token ids of texts by a tokenizer file, through a cache of words by their 64-bit hashes."""
+    """Token ids of texts by a tokenizer file, through a cache of words."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -73,17 +76,21 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.hashes, self.begin, self.count, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.place: dict[bytes, int] = {}
+        self.size, self.used = 0, 0
+        self.begin, self.count, self.flat = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64), np.zeros(1 << 12, np.uint32)
 
-    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def learn(self, words: list[bytes]) -> None:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
         count = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(count.sum()))
-        begin = np.cumsum(count) - count + len(self.flat)
-        hashes = np.concatenate([self.hashes, hashes])
-        order = np.argsort(hashes)
-        self.hashes, self.flat = hashes[order], np.concatenate([self.flat, flat])
-        self.begin, self.count = np.concatenate([self.begin, begin])[order], np.concatenate([self.count, count])[order]
+        have, more = len(self.place), int(count.sum())
+        self.begin, self.count, self.flat = grown(self.begin, have + len(ids)), grown(self.count, have + len(ids)), grown(self.flat, self.used + more)
+        self.begin[have : have + len(ids)] = np.cumsum(count) - count + self.used
+        self.count[have : have + len(ids)] = count
+        self.flat[self.used : self.used + more] = np.fromiter(chain.from_iterable(ids), np.uint32, more)
+        self.place.update(zip(words, range(have, have + len(ids))))
+        self.used += more
+        self.size += sum(map(len, words)) + 4 * more + BYTES_PER_WORD * len(words)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the offsets of the texts in them."""
@@ -95,25 +102,31 @@ class WordEncoder:
             return np.fromiter(chain.from_iterable(ids), np.uint32), np.append(0, np.cumsum([len(i) for i in ids]))
         data = LOWER[data]
         starts, ends, before = word_parts(data, offsets)
-        found = pa.array(word_hashes(data, starts, ends)).dictionary_encode()
-        at, hashes = found.indices.to_numpy(), found.dictionary.to_numpy()
-        if len(self.hashes) + len(hashes) > CACHE_WORDS:
+        bounds = np.append(0, np.cumsum(ends - starts)).astype(np.int64)
+        # the words' bytes without what is between them; Arrow numbers the distinct ones
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data[~SPACE[data]])]).dictionary_encode()
+        if self.size > CACHE_BYTES:
             self.clear()
-        place = np.searchsorted(self.hashes, hashes)
-        known = np.append(self.hashes, np.uint64(0))[place] == hashes
-        known[place == len(self.hashes)] = False
-        if not known.all():
-            example = np.zeros(len(hashes), np.int64)
-            example[at[::-1]] = np.arange(len(at))[::-1]
-            raw, new = data.tobytes(), np.flatnonzero(~known)
-            self.learn(hashes[new], [raw[starts[i] : ends[i]].decode() for i in example[new]])
-        place = np.searchsorted(self.hashes, hashes)[at]
+        distinct = words.dictionary.to_pylist()
+        new = [w for w in distinct if w not in self.place]
+        if new:
+            self.learn(new)
+        place = np.fromiter((self.place[w] for w in distinct), np.int64, len(distinct))[words.indices.to_numpy()]
         n = self.count[place]
         last = np.cumsum(n)
         out = self.flat[np.repeat(self.begin[place] - (last - n), n) + np.arange(int(n.sum()))]
         return out, np.append(0, last)[before]
 
 
+def grown(x: np.ndarray, n: int) -> np.ndarray:
+    """x with room for n elements, doubled."""
+    if n <= len(x):
+        return x
+    out = np.zeros(max(n, 2 * len(x)), x.dtype)
+    out[: len(x)] = x
+    return out
+
+
 def encoder(path: str) -> WordEncoder:
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)

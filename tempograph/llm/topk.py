@@ -1,21 +1,28 @@
 """Exact top-k inner-product search by three-phase uniform threshold.
 
-A score is the sum of LISTS partial scores, one for each slice of the vector's components.  Rows are gathered in
-blocks, and each meets each block of queries once per phase (the query set is a stated share of the rows):
-
-1. every row block sends, for each query, the K best entries of each of its LISTS local score lists; the K-th best exact
-   score among all gathered entries is a safe cutoff: the K-th best score of all rows is at least that;
-2. each query's cutoff goes back to the row blocks with the query; if a score is at least the cutoff, one of its partial
-   scores is at least cutoff / LISTS, so entries over this uniform threshold, on any list, are sufficient;
-3. only these entries' remaining partial scores are added up, exactly; those under the cutoff are dropped, each block keeps its
-   K best, and the blocks' results are merged.
+A score is the sum of LISTS partial scores, one for each slice of the vector's components.  Rows are gathered in blocks, and
+each block is dealt, by some rounds of k-means of its own, into tiles of some TILE rows that lie close together.  A tile bounds
+its rows' partial scores with a query: |x - c| <= r on each slice gives  q.c - |q| r <= q.x <= q.c + |q| r.  Each row block meets
+each block of queries once per phase (the query set is a stated share of the rows):
+
+1. gather: of each row block a query looks at the LOOK tiles with the highest bounds only, takes the K best entries of each of
+   their LISTS local score lists, and sends the K best of these; the K-th best of all that is sent is a safe cutoff: the K-th
+   best score of all rows is at least that;
+2. collect: each query's cutoff goes back to the row blocks with the query.  A row with a score of at least the cutoff has a
+   partial score of at least the uniform threshold cutoff / LISTS; a tile whose bounds are all under it, or whose bounds
+   together are under the cutoff, is left out unmultiplied.  In the others, partial scores are computed list by list, and an
+   entry goes as soon as what is known and the bounds of the rest are under the cutoff;
+3. resolve: the lists that are left are added up, exactly, for the entries that are left only; those under the cutoff are
+   dropped, each block keeps its K best, and the blocks' results are merged.
 
 Components are integers, floor(SCALE * x); sums are exact in double precision up to 2^53, beyond which Python's integers
-do the work (saturated to 64 bits in the result).  No vector is collected and none broadcast; a task holds one block of each.
+do the work, without bounds (saturated to 64 bits in the result).  No vector is collected and none broadcast; a task holds one
+block of each.  `search` can count the multiplied components (an accumulator), which tests hold against brute force.
 
 Nulls: rows with a null id or vector, or with a null or non-finite component, take no part.  Shorter vectors are taken as
-filled up with zeros.  Rows with the query's id are its own; a query id that is repeated asks with the smallest of its vectors;
-repeated rows of other ids are candidates each.  Empty tables give empty results; other columns are ignored.
+filled up with zeros.  Each row of queries is a query of its own: `copy` tells those of equal ids apart (0, 1, ... in the order of
+their vectors), and rows with its id are its own.  Repeated rows of other ids are candidates each.  Ties go to smaller ids.
+Empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +40,7 @@ from .common import stored, table
 
 K, LISTS, SCALE, EVERY = 5, 4, 256, 50
 ROW_BLOCK, QUERY_BLOCK = 16_384, 1_024
-ROW_TILE, QUERY_TILE = 2_048, 256
+TILE, ROUNDS, LOOK = 64, 2, 2
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -43,8 +50,25 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
 
 
-def blocked(df: DataFrame, n: int, scale: int, extra: str | None = None) -> DataFrame:
-    """n blocks of df's rows (id, vector, maybe extra): block, ids, width, vectors (integers as double), extra."""
+def tiled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of x's rows and the beginnings of its tiles: k-means from rows at even distances, by inner products."""
+    n = -(-len(x) // TILE)
+    centre = x[np.linspace(0, len(x) - 1, n).astype(int)]
+    near = np.zeros(len(x), np.int64)
+    with np.errstate(all="ignore"):
+        for step in range(ROUNDS + 1):
+            near = (x @ centre.T - 0.5 * (centre * centre).sum(1)).argmax(1)
+            if step < ROUNDS:
+                count = np.bincount(near, minlength=n)
+                sums = np.zeros_like(centre)
+                np.add.at(sums, near, x)
+                centre = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centre)
+    order = np.argsort(near, kind="stable")
+    return order, np.flatnonzero(np.append(True, np.diff(near[order]) > 0))
+
+
+def blocked(df: DataFrame, n: int, scale: int, extra: str | None = None, tiles: bool = False) -> DataFrame:
+    """n blocks of df's rows (key, id, vector, maybe extra): block, keys, ids, width, vectors (integers as double), extra, tiles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -58,118 +82,174 @@ def blocked(df: DataFrame, n: int, scale: int, extra: str | None = None) -> Data
         width = int(n.max())
         x = np.zeros((len(n), width))
         x[np.arange(width) < n[:, None]] = np.floor(scale * v.flatten().to_numpy())
-        more = t.column(extra).to_numpy().astype(float).tobytes() if extra else b""
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([t.column("id").to_numpy().tobytes()], pa.binary()), pa.array([width], pa.int64()), pa.array([x.tobytes()], pa.binary()), pa.array([more], pa.binary())], names=["block", "ids", "width", "vectors", "extra"])
-
-    return df.repartition(n).mapInArrow(run, "block long, ids binary, width long, vectors binary, extra binary")
-
-
-def slices(x: np.ndarray, y: np.ndarray, lists: int) -> Iterator[np.ndarray]:
-    """Partial scores of all rows of x (down) with all of y (across), list by list."""
-    width = max(x.shape[1], y.shape[1])
-    most = max(1.0, np.abs(x).max(initial=0)) * max(1.0, np.abs(y).max(initial=0)) * max(1, width)
-    kind = float if most < 2.0**53 else object
-    cut = lambda a: [(a[:, i * width // lists : (i + 1) * width // lists]) for i in range(lists)]
-    exact = lambda a: a if kind is float else np.array([[int(v) for v in row] for row in a], object).reshape(a.shape)
-    for a, b in zip(cut(x), cut(y)):
-        w = min(a.shape[1], b.shape[1])
-        yield exact(a[:, :w]) @ exact(b[:, :w]).T if w else np.zeros((len(x), len(y)), kind)
-
-
-def best(score: np.ndarray, ids: np.ndarray, ok: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (row, query) of the k highest scores of each query among those that are ok, ties to smaller ids."""
-    order = np.argsort(ids, kind="stable")
-    s = np.where(ok[order], score[order], -np.inf) if score.dtype != object else np.where(ok[order], score[order], float("-inf"))
-    if len(s) > k and s.dtype != object:
-        floor = np.partition(s, len(s) - k, axis=0)[len(s) - k]
-        row, query = np.nonzero((s >= floor) & ok[order])
-    else:
-        row, query = np.nonzero(ok[order])
-    value = s[row, query]
-    by = np.lexsort((row, -value if value.dtype != object else np.array([-v for v in value], object).argsort(kind="stable").argsort(), query))
-    row, query = row[by], query[by]
-    first = np.searchsorted(query, query)
-    keep = np.arange(len(query)) - first < k
-    return order[row[keep]], query[keep]
-
-
-def met(rows: DataFrame, queries: DataFrame, n_rows: int, run, schema: str) -> DataFrame:
-    """run over each pair of a row block and a query block: an equal join, queries repeated for the blocks of rows."""
-    q = queries.select(F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("vectors").alias("q_vectors"), F.col("extra").alias("cutoffs"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_rows - 1).cast("long"))).alias("block"))
-    both = q.join(rows.select("block", "ids", "width", "vectors"), "block")
+        order, begin = tiled(x) if tiles else (np.arange(len(x)), np.zeros(0, np.int64))
+        more = t.column(extra).to_numpy().astype(float)[order].tobytes() if extra else b""
+        data = [*(t.column(c).to_numpy()[order].tobytes() for c in ("key", "id")), x[order].tobytes(), more, begin.astype(np.int64).tobytes()]
+        names = ["block", "width", "keys", "ids", "vectors", "extra", "tiles"]
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([width], pa.int64()), *[pa.array([d], pa.binary()) for d in data]], names=names)
+
+    return df.repartition(n).mapInArrow(run, "block long, width long, keys binary, ids binary, vectors binary, extra binary, tiles binary")
+
+
+class Tiles:
+    """A row block and a query block, cut into lists, with the tiles' bounds."""
+
+    def __init__(self, x: np.ndarray, begin: np.ndarray, y: np.ndarray, lists: int):
+        width = max(x.shape[1], y.shape[1], 1)
+        fill = lambda a: a if a.shape[1] == width else np.hstack([a, np.zeros((len(a), width - a.shape[1]))])
+        x, y = fill(x), fill(y)
+        most = max(1.0, np.abs(x).max(initial=0)) * max(1.0, np.abs(y).max(initial=0)) * width
+        self.exact = bool(most < 2.0**53)
+        cuts = [slice(i * width // lists, (i + 1) * width // lists) for i in range(lists)]
+        self.x, self.y = [x[:, c] for c in cuts], [y[:, c] for c in cuts]
+        self.begin, self.end = begin, np.append(begin[1:], len(x))
+        self.multiplied = 0
+        self.bounds = []  # by list: tiles down, queries across
+        for a, b in zip(self.x, self.y):
+            if not self.exact:
+                self.bounds.append(np.full((len(begin), len(y)), np.inf))
+                continue
+            centre = np.add.reduceat(a, begin) / (self.end - begin)[:, None] if a.shape[1] else np.zeros((len(begin), 0))
+            apart = a - np.repeat(centre, self.end - begin, axis=0)
+            radius = np.sqrt(np.maximum.reduceat((apart * apart).sum(1), begin))
+            self.bounds.append(centre @ b.T + radius[:, None] * np.sqrt((b * b).sum(1)))
+            self.multiplied += centre.size * len(y)
+        self.slack = 1 + 1e-9 * sum(np.abs(b).max(initial=0) for b in self.bounds) if self.exact else 0.0
+
+    def partial(self, k: int, rows: slice, queries: np.ndarray) -> np.ndarray:
+        """Partial scores of list k: rows down, queries across."""
+        a, b = self.x[k][rows], self.y[k][queries]
+        self.multiplied += a.size * len(b)
+        return a @ b.T if self.exact else whole(a) @ whole(b).T
+
+    def partial_of(self, k: int, rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+        """Partial scores of list k of single entries."""
+        a, b = self.x[k][rows], self.y[k][queries]
+        self.multiplied += a.size
+        return (a * b).sum(1) if self.exact else (whole(a) * whole(b)).sum(1)
+
+
+def whole(x: np.ndarray) -> np.ndarray:
+    """x as Python integers."""
+    return np.array([[int(v) for v in row] for row in x], object).reshape(x.shape)
+
+
+def best(query: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k highest scores of each query, ties to smaller ids."""
+    if score.dtype == object:
+        _, score = np.unique(score, return_inverse=True)
+    by = np.lexsort((ids, -score, query))
+    q = query[by]
+    return by[np.arange(len(q)) - np.searchsorted(q, q) < k]
+
+
+def gathered(t: Tiles, ids: np.ndarray, q_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phase 1: rows, queries and exact scores of the k best entries of the local lists, of the tiles with the highest bounds."""
+    bound = sum(t.bounds)
+    look = np.argpartition(-bound, min(LOOK, len(bound)) - 1, axis=0)[:LOOK] if len(bound) > LOOK and t.exact else np.repeat(np.arange(min(LOOK, len(bound)))[:, None], len(q_ids), axis=1)
+    found = [[], [], []]
+    for tile in np.unique(look):
+        rows, queries = slice(t.begin[tile], t.end[tile]), np.flatnonzero((look == tile).any(0))
+        part = [t.partial(l, rows, queries) for l in range(len(t.x))]
+        own = ids[rows][:, None] != q_ids[queries]
+        r, q = np.nonzero(own)
+        hit = np.unique(np.concatenate([best(q, p[r, q], ids[rows][r], k) for p in part])) if len(r) else np.zeros(0, np.int64)
+        r, q = r[hit], q[hit]
+        for out, v in zip(found, (r + t.begin[tile], queries[q], sum(p[r, q] for p in part))):
+            out.append(v)
+    r, q, score = (np.concatenate(v) for v in found)
+    keep = best(q, score, ids[r], k)
+    return r[keep], q[keep], score[keep]
+
+
+def resolved(t: Tiles, ids: np.ndarray, q_ids: np.ndarray, cutoffs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phases 2 and 3: rows, queries and exact scores of the k best entries of at least the cutoff."""
+    lists = len(t.x)
+    open_ = (sum(t.bounds) + t.slack >= cutoffs) & np.logical_or.reduce([b + t.slack >= cutoffs / lists for b in t.bounds])
+    found = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+    for tile in np.flatnonzero(open_.any(1)):
+        queries = np.flatnonzero(open_[tile])
+        rows, least = slice(t.begin[tile], t.end[tile]), cutoffs[queries]
+        own = ids[rows][:, None] != q_ids[queries]
+        rest = [b[tile, queries] for b in t.bounds]
+        total = t.partial(0, rows, queries)
+        enough = (total >= least / lists).astype(bool)  # a partial score over the uniform threshold
+        alive = own & (total + (sum(rest[1:]) + t.slack) >= least).astype(bool)
+        l = 1
+        while l < lists and alive.sum() * 4 > alive.size:  # many entries: all of the tile
+            p = t.partial(l, rows, queries)
+            total, enough = total + p, enough | (p >= least / lists).astype(bool)
+            l += 1
+            alive &= (total + (sum(rest[l:]) + t.slack) >= least).astype(bool)
+        r, q = np.nonzero(alive)
+        total, enough = total[r, q], enough[r, q]
+        while l < lists and len(r):
+            p = t.partial_of(l, r + t.begin[tile], queries[q])
+            total, enough = total + p, enough | (p >= least[q] / lists).astype(bool)
+            l += 1
+            go = (total + (sum(rest[l:])[q] if l < lists else 0) + t.slack >= least[q]).astype(bool)
+            r, q, total, enough = r[go], q[go], total[go], enough[go]
+        go = enough & (total >= least[q]).astype(bool)
+        for out, v in zip(found, (r[go] + t.begin[tile], queries[q[go]], total[go])):
+            out.append(v)
+    r, q, score = (np.concatenate(v) for v in found)
+    keep = best(q, score, ids[r], k)
+    return r[keep], q[keep], score[keep]
+
+
+def met(rows: DataFrame, queries: DataFrame, n_rows: int, run, lists: int, counter=None) -> DataFrame:
+    """run over each pair of a row block and a query block (an equal join, queries repeated for the blocks of rows): key, id, score."""
+    q = queries.select(*[F.col(c).alias(f"q_{c}") for c in ("width", "keys", "ids", "vectors", "extra")], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_rows - 1).cast("long"))).alias("block"))
+    both = q.join(rows.select("block", "ids", "width", "vectors", "tiles"), "block")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                ids, q_ids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_ids"], np.int64)
-                x, y = np.frombuffer(r["vectors"]).reshape(len(ids), -1), np.frombuffer(r["q_vectors"]).reshape(len(q_ids), -1)
-                cutoffs = np.frombuffer(r["cutoffs"])
-                for j in range(0, len(q_ids), QUERY_TILE):
-                    yield from run(x, ids, y[j : j + QUERY_TILE], q_ids[j : j + QUERY_TILE], cutoffs[j : j + QUERY_TILE])
+            for v in batch.to_pylist():
+                ids, keys, q_ids, tiles = (np.frombuffer(v[c], np.int64) for c in ("ids", "q_keys", "q_ids", "tiles"))
+                x, y = np.frombuffer(v["vectors"]).reshape(len(ids), -1), np.frombuffer(v["q_vectors"]).reshape(len(q_ids), -1)
+                t = Tiles(x, tiles, y, lists)
+                r, q, score = run(t, ids, q_ids, np.frombuffer(v["q_extra"]))
+                score = np.array([max(-(2**63), min(2**63 - 1, int(s))) for s in score], np.int64) if score.dtype == object else score.astype(np.int64)
+                if counter is not None:
+                    counter.add(int(t.multiplied))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[q], pa.int64()), pa.array(ids[r], pa.int64()), pa.array(score, pa.int64())], names=["key", "id", "score"])
 
-    return both.mapInArrow(each, schema)
+    return both.mapInArrow(each, "key long, id long, score long")
 
 
-def search(df: DataFrame, queries: DataFrame, k: int = K, lists: int = LISTS, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), id, score: the k best rows of df for each row of queries."""
+def search(df: DataFrame, queries: DataFrame, k: int = K, lists: int = LISTS, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding", counter=None) -> DataFrame:
+    """query_id, copy, rank (from 1), id, score: the k best rows of df for each row of queries."""
     importable(df.sparkSession)
-    schema = "query_id long, id long, score long"
-    rows = usable(df, id_col, vector_col)
-    asked = stored(usable(queries, id_col, vector_col).groupBy("id").agg(F.min("vector").alias("vector")), "topk_queries")
+    asked = usable(queries, id_col, vector_col)
+    copy = F.row_number().over(W.partitionBy("id").orderBy("vector")) - 1
+    asked = stored(asked.withColumn("copy", copy).withColumn("key", F.monotonically_increasing_id()), "topk_queries")
+    rows = usable(df, id_col, vector_col).withColumn("key", F.lit(0).cast("long"))
     n, m = rows.count(), asked.count()
     n, m = max(1, -(-n // ROW_BLOCK)), max(1, -(-m // QUERY_BLOCK))
-    row_blocks = stored(blocked(rows, n, scale), "topk_rows")
-
-    def out(q_ids, ids, score) -> pa.RecordBatch:
-        score = np.array([max(-(2**63), min(2**63 - 1, int(v))) for v in score], np.int64) if score.dtype == object else score.astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(q_ids, pa.int64()), pa.array(ids, pa.int64()), pa.array(score)], names=["query_id", "id", "score"])
-
-    def gather(x, ids, y, q_ids, _) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(ids), ROW_TILE):
-            own = ids[i : i + ROW_TILE]
-            part = list(slices(x[i : i + ROW_TILE], y, lists))
-            total, ok = sum(part), own[:, None] != q_ids
-            found = [best(s, own, ok, k) for s in part]
-            r, q = (np.concatenate(c) for c in zip(*found))
-            yield out(q_ids[q], own[r], total[r, q])
-
-    ranked = lambda d: d.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
-    # a row can be on several lists; entries are told apart by id, so a repeated id counts once and the cutoff is the safer for it
-    gathered = met(row_blocks, blocked(asked, m, scale), n, gather, schema).distinct()
-    cutoff = ranked(gathered).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("cutoff"))
-    told = stored(asked.join(cutoff, "id", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(float("-inf")))), "topk_cutoffs")
-
-    def resolve(x, ids, y, q_ids, cutoffs) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(ids), ROW_TILE):
-            own = ids[i : i + ROW_TILE]
-            part = list(slices(x[i : i + ROW_TILE], y, lists))
-            enough = (own[:, None] != q_ids) & np.logical_or.reduce([(s >= cutoffs / lists).astype(bool) for s in part])
-            r, q = np.nonzero(enough)
-            score = sum(s[r, q] for s in part)
-            keep = (score >= cutoffs[q]).astype(bool)
-            r, q, score = r[keep], q[keep], score[keep]
-            ok, total = np.zeros(enough.shape, bool), np.zeros(enough.shape, score.dtype)
-            ok[r, q], total[r, q] = True, score
-            r, q = best(total, own, ok, k)
-            yield out(q_ids[q], own[r], total[r, q])
-
-    return ranked(met(row_blocks, blocked(told, m, scale, "cutoff"), n, resolve, schema)).select("query_id", "rank", "id", "score")
+    row_blocks = stored(blocked(rows, n, scale, tiles=True), "topk_rows")
+    ranked = lambda d: d.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    # entries are told apart by id, so a repeated id counts once and the cutoff is the safer for it
+    first = met(row_blocks, blocked(asked, m, scale), n, lambda t, ids, q_ids, _: gathered(t, ids, q_ids, k), lists, counter).distinct()
+    cutoff = ranked(first).where(F.col("rank") == k).select("key", F.col("score").cast("double").alias("cutoff"))
+    told = stored(asked.join(cutoff, "key", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(float("-inf")))), "topk_cutoffs")
+    last = met(row_blocks, blocked(told, m, scale, "cutoff"), n, lambda t, ids, q_ids, cutoffs: resolved(t, ids, q_ids, cutoffs, k), lists, counter)
+    names = asked.select("key", F.col("id").alias("query_id"), "copy")
+    return ranked(last).join(names, "key").select("query_id", "copy", "rank", "id", "score")
 
 
 def op4_uniform_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return search(rows, rows.where(F.col("vec_id") % EVERY == 0)).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+    return search(rows, rows.where(F.col("vec_id") % EVERY == 0)).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score", "copy")
 
 
 ORACLE = f"""
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+  SELECT vec_id, embedding, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % {EVERY} = 0 AND c.vec_id <> q.vec_id
+), q AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY embedding) - 1 AS INTEGER) AS copy FROM v WHERE vec_id % {EVERY} = 0), s AS (
+  SELECT q.vec_id AS query_id, q.copy, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM q JOIN v c ON c.vec_id <> q.vec_id
 ), r AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank" FROM s
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id, copy ORDER BY score DESC, vec_id) AS INTEGER) AS "rank" FROM s
 )
-SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= {K}
+SELECT query_id, "rank", vec_id, score, copy FROM r WHERE "rank" <= {K}
 """
