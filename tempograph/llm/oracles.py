@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .jaccard import N, PERCENT
-from .mixing import MAX_EPOCHS, WEIGHTS
+from .mixing import BLOCKS, F44, F45, LEAST_BLOCK, MAX_EPOCHS, MOST_BLOCK, MOST_SLOTS, WEIGHTS
 from .sharding import N_SHARDS
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -32,13 +32,29 @@ WITH d AS (
   FROM s WINDOW before AS (ORDER BY {MAX_EPOCHS} * words / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), t AS (
   SELECT source, words, least(CAST(cap AS DOUBLE), (SELECT max((total - used) / w) FROM c WHERE (total - used) / w * weight <= cap) * weight) AS target FROM c
-), o AS (
-  SELECT d.*, t.words, t.target, CAST(floor(t.target + 1e-6) AS BIGINT) AS quota,
+), g AS (
+  SELECT source, words, target, CAST(floor(target + 1e-6) AS BIGINT) AS quota FROM t
+), n AS (
+  SELECT greatest(total // {MOST_SLOTS}, least({MOST_BLOCK}, greatest({LEAST_BLOCK}, low // {BLOCKS})), 1) AS block, total, greatest(1, ceil(total / greatest(total // {MOST_SLOTS}, least({MOST_BLOCK}, greatest({LEAST_BLOCK}, low // {BLOCKS})), 1))) AS slots
+  FROM (SELECT CAST(sum(quota) AS BIGINT) AS total, min(quota) AS low FROM g WHERE quota > 0)
+), i AS (
+  SELECT g.*, block, slots, CAST(sum(quota) OVER named AS BIGINT) AS hi, total FROM g, n WINDOW named AS (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING)
+), k AS (
+  SELECT slot, slot % {F45} * {F44} % {F45} AS u FROM (SELECT unnest(range(CAST(slots AS BIGINT))) AS slot FROM n)
+), hit AS (
+  SELECT slot, source, words, block, block AS full_ FROM k JOIN i ON quota > 0 AND u >= ceil((hi - quota) / total * {F45}) AND u < ceil(hi / total * {F45})
+), every AS (
+  SELECT * FROM hit UNION ALL SELECT CAST(slots AS BIGINT), source, words, block, least(quota, block) FROM i WHERE quota > 0 AND NOT EXISTS (SELECT 1 FROM hit WHERE hit.source IS NOT DISTINCT FROM i.source)
+), b AS (
+  SELECT *, least(full_, {MAX_EPOCHS} * words - rank * block) AS length FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM every)
+), e AS (SELECT source, max(rank * block + length) AS reach FROM b WHERE length > 0 GROUP BY source), o AS (
+  SELECT d.*, g.words, g.target, coalesce(e.reach, 0) AS reach,
     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('mix:' || doc_id || ':' || d.size), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
-  FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source
+  FROM d JOIN g ON g.source IS NOT DISTINCT FROM d.source LEFT JOIN e ON e.source IS NOT DISTINCT FROM d.source
 )
-SELECT doc_id, CAST(size AS BIGINT) AS size, words AS source_size, target, source,
-  CAST({" + ".join(f"greatest(0, least(place + {e} * words + size, quota) - (place + {e} * words))" for e in range(MAX_EPOCHS))} AS BIGINT) AS taken FROM o
+SELECT doc_id, CAST(size AS BIGINT) AS size, o.words AS source_size, target, o.source, CASE WHEN size > 0 THEN b.slot END AS first_slot,
+  CAST({" + ".join(f"greatest(0, least(place + {e} * o.words + size, reach) - (place + {e} * o.words))" for e in range(MAX_EPOCHS))} AS BIGINT) AS taken
+FROM o LEFT JOIN b ON b.source IS NOT DISTINCT FROM o.source AND b.rank = place // b.block AND b.length > 0 AND place < reach
 """
 
 #: the checksum is a fold of the text's bytes over a table of 256 steps
