@@ -8,24 +8,36 @@ cards are (FIXED) first, then the longest from the left that don't have another
 
 kind     valid if                                   permuted
 card     13 to 19 digits with a right Luhn digit    all digits but the last, which is made right again
+iban     15 to 34 characters with right check       letters and digits after the check digits, which are made right again
 ipv4     four numbers to 255                        the 32-bit address (two 16-bit halves)
-phone    the pattern's shape                        the ten digits after the country code
-ssn      area not 000, 666 or 9xx, no zero part     nine digits
+ipv6     eight groups, or fewer around ::           the groups' hexadecimal digits, as they are written
+phone    the pattern's shape                        the ten digits after the country code, area and exchange codes within the
+                                                    class of those that may or may not begin with 0 or 1; in other
+                                                    groupings all digits after the country code (or trunk 0)
+ssn      area not 000, 666 or 9xx, no zero part     the 898 * 99 * 9999 valid numbers
 date     a calendar day of 1800 to 2199             the day among the 146,097 = 27 * 5411 of a 400-year cycle
-email    the pattern's shape                        letters and digits before the @, each within its class
-secret   access keys, passwords and tokens          letters and digits, each within its class (hexadecimal stays so)
+email    the pattern's shape                        letters and digits before the @, each within its class, alike in upper and lower case
+secret   keys by their issuers' prefixes, JSON web  letters and digits after the prefix or name, each within its class
+         tokens, private key blocks, and what is
+         assigned to password, token, key, ...
 
 A Feistel network of ROUNDS rounds: the value is cut in halves (l, r), and (l, r) becomes (r, l + F(r)) with F from
-SHA-256 of the key, the kind, the round and r.  Addition is modulo each character's class (10 digits, 26 letters,
-6 letters of hexadecimal) or modulo the half's size (65,536; 27 and 5,411), so each round and the whole are one-to-one
-within the format.  Candidates that aren't valid (a 16-digit number with a wrong Luhn digit, a date of month 13) stay.
+SHA-256 of the key, the kind, the round and r.  Addition is modulo each character's class (10 digits, 26 letters, 16 hexadecimal
+digits) or modulo the half's size (65,536; 27 and 5,411; 88,902 and 9,999; ...), so each round and the whole are one-to-one
+within the valid values of the format: a pseudonym is valid wherever its value is.  Candidates that aren't valid (a 16-digit
+number with a wrong Luhn digit, a date of month 13) stay.
 
-Nulls: null text stays null with 0 found; empty and very long texts are ordinary; repeated values and rows get equal
-pseudonyms; all other columns pass unchanged.  The key is a parameter; the default is for tests only.
+The key is a parameter without a default.  Query and pipeline take spark.tempograph.pseudonym.key, and DEMO_KEY, with a
+warning, where it isn't set: pseudonyms by a public key can be undone by anyone.
+
+Nulls: null text stays null with no kinds; empty texts are ordinary, very long ones are read whole within their row; repeated
+values and rows get equal pseudonyms; of overlapping candidates the one that begins first counts (cards go before the others).  All
+other columns pass unchanged, whatever their names; a column named as kinds_col is replaced.  Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,25 +46,36 @@ from pyspark.sql import functions as F
 from .common import table
 
 ROUNDS = 8
+KEY_SETTING, DEMO_KEY = "spark.tempograph.pseudonym.key", "demonstration only"
+#: names to which secrets are assigned
+NAMED = r"(?i:passwords?|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key)"
+#: ten digits in the groups 3, 3, 4, with or without a country code
+TEN = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])"
+#: what of a secret stays: an issuer's prefix, the head of a key block, a name and its sign
+STAYS = r"^(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk-|pk_live_|sk_live_|xox[abeprs]-|AIza|eyJ|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----|" + NAMED + r"[\"']?[ ]{0,2}[=:][ ]{0,2}[\"']?(?:(?i:bearer) )?)"
 #: alternatives in the order in which they are tried; none has a capturing group
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
-    "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "phone": TEN + r"|\+[0-9]{1,3}(?:[ .-]\(?[0-9]{1,5}\)?){2,5}(?![0-9])|\+[0-9]{8,15}(?![0-9])|(?<![0-9+.-])\(?0[0-9]{2,4}\)?[ -][0-9]{3,4}[ -][0-9]{3,4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9])",
     "ipv4": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
+    "ipv6": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
     "card": r"(?<![0-9])[0-9][0-9 -]{11,}[0-9]",
-    "secret": r"(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])|(?<=password=)[^\s\"']{4,}|(?<=token = \")[^\s\"]{4,}(?=\")",
+    "secret": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?:gh[pousr]_|github_pat_|glpat-|sk-|pk_live_|sk_live_)[A-Za-z0-9_-]{20,}|xox[abeprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,}(?:\.[A-Za-z0-9_-]*)?)"
+    r"|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]+(?=-----END)"
+    "|" + NAMED + r"[\"']?[ ]{0,2}(?:=[ ]{0,2}[\"']?(?:(?i:bearer) )?[^\s\"',;&]{4,}|:[ ]{0,2}(?:[\"'](?:(?i:bearer) )?[^\s\"']{4,}(?=[\"'])|(?=[^\s\"',;]*[0-9])[^\s\"',;]{6,}))",
 }
 FOUND = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: the same but for cards
 REST = "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k != "card")
 #: numbers that a card of an unusual grouping can't have in it
-NUMBERS = "|".join(f"(?:{PATTERNS[k]})" for k in ("phone", "ssn", "date"))
+NUMBERS = "|".join(f"(?:{p})" for p in (TEN, PATTERNS["ssn"], PATTERNS["date"]))
 #: the groups in which cards are written, and the first digits of payment cards
 FIXED = r"^(?=[2-6])(?:[0-9]{16}|[0-9]{15}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})$"
 #: what every candidate has
-HINT = r"[0-9@]|AKIA|password=|token = \""
+HINT = r"[0-9@]|AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk-|k_live_|xox|AIza|eyJ|PRIVATE KEY|" + NAMED + r"[\"']?[ ]{0,2}[=:]|[A-Fa-f]:"
 MARK = "\x01"
 CYCLE = "1800-01-01"
 DAY_RADIX = (27, 5411)
@@ -62,25 +85,25 @@ def keyed(key: str, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), *[p.cast("string") for p in parts]), 256)
 
 
-def shifted(s: Column, digest: Column, hexadecimal: Column) -> Column:
-    """s with every letter and digit moved within its class by the digest's bytes; other characters stay."""
+def shifted(s: Column, digest: Column, hexadecimal: bool = False) -> Column:
+    """s with every letter and digit (or hexadecimal digit) moved within its class by the digest's bytes; other characters stay."""
 
     def one(c: Column, i: Column) -> Column:
         by = F.conv(F.substr(digest, i % 32 * 2 + 1, F.lit(2)), 16, 10).cast("int") + i  # 32 bytes serve any length
         move = lambda first, n: F.char((F.ascii(c) - ord(first) + by) % n + ord(first))
-        return (
-            F.when(c.between("0", "9"), move("0", 10)).when(c.between("a", "f") & hexadecimal, move("a", 6)).when(c.between("A", "F") & hexadecimal, move("A", 6))
-            .when(c.between("a", "z"), move("a", 26)).when(c.between("A", "Z"), move("A", 26)).otherwise(c)
-        )
+        if hexadecimal:
+            digit = F.lower(F.conv(((F.conv(c, 16, 10).cast("int") + by) % 16).cast("string"), 10, 16))
+            return F.when(c.rlike("[0-9A-Fa-f]"), digit).otherwise(c)
+        return F.when(c.between("0", "9"), move("0", 10)).when(c.between("a", "z"), move("a", 26)).when(c.between("A", "Z"), move("A", 26)).otherwise(c)
 
     return F.array_join(F.transform(F.filter(F.split(s, ""), lambda c: c != ""), one), "")
 
 
-def feistel_text(s: Column, key: str, kind: str, hexadecimal: Column | None = None) -> Column:
-    hexadecimal = F.lit(False) if hexadecimal is None else hexadecimal
+def feistel_text(s: Column, key: str, kind: str, hexadecimal: bool = False) -> Column:
+    """s permuted; the moves don't depend on letters' case, so values that differ in case only get pseudonyms that do."""
     half = F.floor(F.length(s) / 2).cast("int")
     start = F.struct(F.substr(s, F.lit(1), half).alias("l"), F.substr(s, half + 1, F.length(s)).alias("r"))
-    step = lambda a, i: F.struct(a["r"].alias("l"), shifted(a["l"], keyed(key, F.lit(kind), i, a["r"]), hexadecimal).alias("r"))
+    step = lambda a, i: F.struct(a["r"].alias("l"), shifted(a["l"], keyed(key, F.lit(kind), i, F.lower(a["r"])), hexadecimal).alias("r"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda a: F.concat(a["l"], a["r"]))
 
 
@@ -120,14 +143,25 @@ def digits_of(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
 
+def iban_rest(m: Column) -> Column:
+    """The remainder modulo 97 of a number in the order of its check: first four characters last, letters as 10 to 35."""
+    turned = F.concat(F.substr(m, F.lit(5), F.length(m)), F.substr(m, F.lit(1), F.lit(4)))
+    step = lambda a, c: F.when(c.between("0", "9"), a * 10 + c.cast("int")).otherwise(a * 100 + F.ascii(c) - 55) % 97
+    return F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), step)
+
+
 def kind_of(m: Column) -> Column:
     """The kind of a candidate, null if it isn't valid."""
     whole = lambda kind: m.rlike(f"^(?:{PATTERNS[kind]})$")
     octets = F.forall(F.split(m, r"\."), lambda x: x.cast("int") <= 255)
     ssn = ~m.rlike(r"^(?:000|666|9)") & ~m.rlike(r"-00-|-0000$")
+    close = F.replace(m, F.lit(" "), F.lit(""))
+    iban = F.length(close).between(15, 34) & (iban_rest(close) == 1)
+    phone = m.rlike(f"^(?:{TEN})$") | F.length(digits_of(m)).between(8, 15)
+    ipv6 = F.size(F.filter(F.split(m, ":"), lambda g: g != "")) <= 8
     return (
-        F.when(whole("email"), "email").when(whole("phone"), "phone").when(whole("ssn"), F.when(ssn, "ssn")).when(whole("date"), F.when(day_of(m).isNotNull(), "date"))
-        .when(whole("ipv4"), F.when(octets, "ipv4")).otherwise("secret")
+        F.when(whole("email"), "email").when(whole("iban"), F.when(iban, "iban")).when(whole("phone"), F.when(phone, "phone")).when(whole("ssn"), F.when(ssn, "ssn")).when(whole("date"), F.when(day_of(m).isNotNull(), "date"))
+        .when(whole("ipv4"), F.when(octets, "ipv4")).when(whole("ipv6"), F.when(ipv6, "ipv6")).otherwise("secret")
     )
 
 
@@ -208,49 +242,110 @@ def new_card(m: Column, key: str) -> Column:
     return refill(m, full)
 
 
+def number(pair: Column, back) -> Column:
+    """back(l, r) of a pair from feistel_number, computed once."""
+    return once(pair, lambda p: back(p["l"], p["r"]))
+
+
+def padded(x: Column, n: int) -> Column:
+    return F.lpad(x.cast("string"), n, "0")
+
+
+def new_ssn(m: Column, key: str) -> Column:
+    part = lambda at, n: F.substring(digits_of(m), at, n).cast("int")
+    area = part(1, 3) - F.when(part(1, 3) > 666, 2).otherwise(1)  # 0 to 897
+    pair = feistel_number(area * 99 + part(4, 2) - 1, part(6, 4) - 1, (898 * 99, 9999), key, "ssn")
+
+    def back(l: Column, r: Column) -> Column:
+        low = F.floor(l / 99)
+        return F.concat(padded(low + F.when(low >= 665, 2).otherwise(1), 3), padded(l % 99 + 1, 2), padded(r + 1, 4))
+
+    return refill(m, number(pair, back))
+
+
+def new_ten(d: Column, key: str) -> Column:
+    """Ten digits: area and exchange codes stay in their class (first digit over 1 or not)."""
+    area, exchange, line = (F.substring(d, at, n).cast("int") for at, n in ((1, 3), (4, 3), (7, 4)))
+    of = lambda left, size, kind: feistel_number(left, line, (size, 10_000), key, f"phone {kind}")
+    plain = number(of((area - 200) * 800 + exchange - 200, 640_000, "a"), lambda l, r: F.concat(padded(F.floor(l / 800) + 200, 3), padded(l % 800 + 200, 3), padded(r, 4)))
+    low = number(of((area - 200) * 200 + exchange, 160_000, "b"), lambda l, r: F.concat(padded(F.floor(l / 200) + 200, 3), padded(l % 200, 3), padded(r, 4)))
+    other = number(of(area * 1000 + exchange, 200_000, "c"), lambda l, r: F.concat(padded(F.floor(l / 1000), 3), padded(l % 1000, 3), padded(r, 4)))
+    return F.when(area < 200, other).when(exchange < 200, low).otherwise(plain)
+
+
 def new_phone(m: Column, key: str) -> Column:
-    """The country code stays, the ten digits after it are permuted."""
+    """The country code stays; so does a trunk 0."""
     d = digits_of(m)
-    code = F.substr(d, F.lit(1), F.length(d) - 10)
-    return refill(m, F.concat(code, feistel_text(F.right(d, F.lit(10)), key, "phone")))
+    ten = F.concat(F.substr(d, F.lit(1), F.length(d) - 10), new_ten(F.right(d, F.lit(10)), key))
+    code = digits_of(F.regexp_extract(m, r"^(?:\+[0-9]{1,3}(?=[ .-])|\+[0-9]{2}|\(?0)", 0))
+    free = F.concat(code, feistel_text(F.substr(d, F.length(code) + 1, F.length(d)), key, "phone"))
+    return refill(m, F.when(m.rlike(f"^(?:{TEN})$"), ten).otherwise(free))
+
+
+def new_iban(m: Column, key: str) -> Column:
+    close = F.replace(m, F.lit(" "), F.lit(""))
+    country = F.substring(close, 1, 2)
+
+    def checked(body: Column) -> Column:
+        full = F.concat(country, padded(98 - iban_rest(F.concat(country, F.lit("00"), body)), 2), body)
+        step = lambda a, c: F.when(c == " ", F.struct(F.concat(a["s"], c).alias("s"), a["n"].alias("n"))).otherwise(F.struct(F.concat(a["s"], F.substr(full, a["n"] + 1, F.lit(1))).alias("s"), (a["n"] + 1).alias("n")))
+        return F.aggregate(F.filter(F.split(m, ""), lambda c: c != ""), F.struct(F.lit("").alias("s"), F.lit(0).alias("n")), step, lambda a: a["s"])
+
+    return once(feistel_text(F.substr(close, F.lit(5), F.length(close)), key, "iban"), checked)
 
 
 def new_secret(m: Column, key: str) -> Column:
-    prefix = F.when(m.startswith("AKIA"), "AKIA").otherwise("")
-    return F.concat(prefix, feistel_text(F.substr(m, F.length(prefix) + 1, F.length(m)), key, "secret", m.rlike("^[0-9a-f]+$")))
+    """The issuer's prefix, or the name to which it is assigned, stays; the same secret gets the same pseudonym under any name."""
+    stays = F.regexp_extract(m, STAYS, 0)
+    return F.concat(stays, feistel_text(F.substr(m, F.length(stays) + 1, F.length(m)), key, "secret"))
 
 
 def pseudonym(kind: Column, m: Column, key: str) -> Column:
     at = F.instr(m, "@")
     email = F.concat(feistel_text(F.substr(m, F.lit(1), at - 1), key, "email"), F.substr(m, at, F.length(m)))
     return (
-        F.when(kind == "email", email).when(kind == "phone", new_phone(m, key)).when(kind == "ssn", refill(m, feistel_text(digits_of(m), key, "ssn")))
-        .when(kind == "date", new_date(m, key)).when(kind == "ipv4", new_ipv4(m, key)).when(kind == "card", new_card(m, key)).when(kind == "secret", new_secret(m, key)).otherwise(m)
+        F.when(kind == "email", email).when(kind == "iban", new_iban(m, key)).when(kind == "phone", new_phone(m, key)).when(kind == "ssn", new_ssn(m, key))
+        .when(kind == "date", new_date(m, key)).when(kind == "ipv4", new_ipv4(m, key)).when(kind == "ipv6", feistel_text(m, key, "ipv6", True))
+        .when(kind == "card", new_card(m, key)).when(kind == "secret", new_secret(m, key)).otherwise(m)
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = "test key", text_col: str = "text", out_col: str | None = None, kinds_col: str = "pii_kinds") -> DataFrame:
-    """docs with the text (or out_col) pseudonymised and kinds_col: the kinds found, in the order of the text."""
-    text = F.col(text_col)
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", out_col: str | None = None, kinds_col: str | None = "pii_kinds") -> DataFrame:
+    """docs with the text (or out_col) pseudonymised and kinds_col, if named: the kinds found, in the order of the text."""
+    name = lambda c: F.col(f"`{c}`")
+    out_col = out_col or text_col
+    df = docs.select(F.struct(*map(name, docs.columns)).alias("_row"), name(text_col).alias("_text"))
+    text = F.col("_text")
     has = F.coalesce(text.rlike(HINT), F.lit(False))
     runs = F.transform(F.regexp_extract_all(text, F.lit(FOUND), F.lit(0)), lambda m: F.when(m.rlike(f"^(?:{PATTERNS['card']})$"), cut(m)).otherwise(F.array(F.struct(F.lit(False).alias("card"), m.alias("m")))))
-    df = docs.withColumn("_pii_runs", F.when(text.rlike(PATTERNS["card"]), runs).otherwise(F.array().cast("array<array<struct<card:boolean,m:string>>>")))
-    df = df.withColumn("_pii_cards", F.transform(F.filter(F.flatten("_pii_runs"), lambda x: x["card"]), lambda x: x["m"]))
+    df = df.withColumn("_runs", F.when(text.rlike(PATTERNS["card"]), runs).otherwise(F.array().cast("array<array<struct<card:boolean,m:string>>>")))
+    df = df.withColumn("_cards", F.transform(F.filter(F.flatten("_runs"), lambda x: x["card"]), lambda x: x["m"]))
     # the text with MARK b in the place of each card, cut there; a MARK of its own is followed by a
     own = lambda t: F.replace(t, F.lit(MARK), F.lit(MARK + "a"))
-    marked = F.zip_with(F.split(text, FOUND, -1), F.col("_pii_runs"), lambda a, r: F.concat(own(a), F.coalesce(F.array_join(F.transform(r, lambda x: F.when(x["card"], MARK + "b").otherwise(own(x["m"]))), ""), F.lit(""))))
+    marked = F.zip_with(F.split(text, FOUND, -1), F.col("_runs"), lambda a, r: F.concat(own(a), F.coalesce(F.array_join(F.transform(r, lambda x: F.when(x["card"], MARK + "b").otherwise(own(x["m"]))), ""), F.lit(""))))
     around = F.transform(F.split(F.array_join(marked, ""), MARK + "b", -1), lambda t: F.replace(t, F.lit(MARK + "a"), F.lit(MARK)))
-    df = df.withColumn("_pii_around", F.when(F.size("_pii_cards") > 0, around).when(has, F.array(text)).otherwise(F.array().cast("array<string>")))
+    df = df.withColumn("_around", F.when(F.size("_cards") > 0, around).when(has, F.array(text)).otherwise(F.array().cast("array<string>")))
     found = lambda t: F.transform(F.regexp_extract_all(t, F.lit(REST), F.lit(0)), lambda m: F.struct(kind_of(m).alias("kind"), m.alias("m")))
-    card = lambda i: F.coalesce(F.transform(F.slice("_pii_cards", i + 1, F.lit(1)), lambda m: F.struct(F.lit("card").alias("kind"), m.alias("m"))), F.array().cast("array<struct<kind:string,m:string>>"))
-    df = df.withColumn("_pii_found", F.flatten(F.transform("_pii_around", lambda t, i: F.concat(found(t), card(i)))))
-    df = df.withColumn("_pii_new", F.transform("_pii_found", lambda x: pseudonym(x["kind"], x["m"], key)))
-    between = F.flatten(F.transform("_pii_around", lambda t: F.split(t, REST, -1)))
-    joined = F.array_join(F.zip_with(between, F.col("_pii_new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    df = df.withColumn(kinds_col, F.filter(F.transform("_pii_found", lambda x: x["kind"]), lambda k: k.isNotNull()))
-    return df.withColumn(out_col or text_col, F.when(F.size("_pii_new") > 0, joined).otherwise(text)).drop("_pii_runs", "_pii_cards", "_pii_around", "_pii_found", "_pii_new")
+    card = lambda i: F.coalesce(F.transform(F.slice("_cards", i + 1, F.lit(1)), lambda m: F.struct(F.lit("card").alias("kind"), m.alias("m"))), F.array().cast("array<struct<kind:string,m:string>>"))
+    df = df.withColumn("_found", F.flatten(F.transform("_around", lambda t, i: F.concat(found(t), card(i)))))
+    df = df.withColumn("_new", F.transform("_found", lambda x: pseudonym(x["kind"], x["m"], key)))
+    between = F.flatten(F.transform("_around", lambda t: F.split(t, REST, -1)))
+    joined = F.array_join(F.zip_with(between, F.col("_new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    new = {out_col: F.when(F.size("_new") > 0, joined).otherwise(text)}
+    if kinds_col:
+        new[kinds_col] = F.filter(F.transform("_found", lambda x: x["kind"]), lambda k: k.isNotNull())
+    columns = [new.pop(c).alias(c) if c in new else F.col("_row").getField(c).alias(c) for c in docs.columns]
+    return df.select(*columns, *[v.alias(c) for c, v in new.items()])
+
+
+def key_of(spark: SparkSession) -> str:
+    """The key that the session names."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} isn't set: pseudonyms are made with a public key", stacklevel=2)
+    return key or DEMO_KEY
 
 
 def op6_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key_of(spark))
     return out.select("doc_id", "text", F.size("pii_kinds").cast("long").alias("n_found"), F.array_join("pii_kinds", ",").alias("kinds"))
