@@ -16,18 +16,25 @@ The counts of (DEPTH + 1)-byte grams are all that training needs.  Nothing of th
 the nodes of depths 0 and 1 (256 * 255 at most):
 
 1. One pass cuts the documents into blocks of BLOCK_BYTES and writes to the shared folder the texts, and for each block
-   the sorted distinct grams and word hashes with their training counts, dealt by key into partitions such that
-   grams with the same two nearest context bytes meet.
-2. Each key partition adds up its counts over all blocks and weighs its subtrees; depths 0 and 1 are finished on the driver.
-3. Each key partition sends back to every block the values of just that block's keys, and each block scores its texts.
+   the sorted distinct grams and word hashes with their training counts, dealt by key into partitions, one for each PART_BYTES of
+   text, such that grams with the same three nearest context bytes meet.
+2. Each key partition adds up its counts over all blocks and weighs its subtrees down to depth 3.  The nodes of depth 2, whose
+   children may be in several partitions, are added up by key and finished row by row, those of depths 1 and 0 on the driver.
+3. Each key partition gets its nodes of depth 2 back by a join, and sends to every block the values of just that block's keys;
+   each block scores its texts.
 
 So the work, and what is shuffled, grows with the text and with the distinct keys of blocks; a frequent word or gram is one
-key in each block, whatever its count.
+key in each block, whatever its count.  (Blocks times partitions bounds the number of rows that travel; it stays under the
+number of keys, as empty ones aren't sent.)
 
-The base model (add-one word counts) takes the same way with 64-bit hashes of the words.
+The base model (add-one word counts) takes the same way with 64-bit hashes of the words; two words of one hash, by chance once
+in 2^64 pairs, would be counted together.
+
+The scored text differs from the document's in white space and in the case of A-Z only; n_bytes is its length.
 
 Nulls: a null text is empty (one end token); a null id counts as training (its checksum is that of no bytes).  Empty
-tables, equal rows and very long texts need no special care (a long text is a block of its own); other columns are ignored.
+tables give empty results; equal rows are scored each and count each; there are no ties to break; a very long text is a block of
+its own; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,7 +51,9 @@ from ..workers import importable
 from .common import stored, table
 from .textbytes import LOWER, column_bytes, parts, tidy, word_bounds, word_hashes
 
-DEPTH, BLOCK_BYTES = 5, 16_000_000
+DEPTH, BLOCK_BYTES, PART_BYTES = 5, 16_000_000, 16_000_000
+#: grams that agree in so many nearest context bytes are in one partition
+NEAR = 3
 END = 0x0A
 CHUNK = 1 << 20
 #: the largest counting table of ranks; beyond it they are sorted
@@ -178,8 +187,8 @@ def tree(keys: np.ndarray, n: np.ndarray, bits: int, depth: int, top: int) -> tu
 
 
 def summaries(keys: np.ndarray, n: np.ndarray, depth: int) -> list[tuple]:
-    """(bits, keys, n0, n1, sum of children) of the nodes at depth 1, from the grams below."""
-    return [(b, *tree(keys, n, b, depth, 2)[4][:4]) for b in range(8)] if len(keys) else []
+    """(bits, keys, n0, n1, sum of children) of the nodes at depth NEAR - 1, from the grams below."""
+    return [(b, *tree(keys, n, b, depth, NEAR)[4][:4]) for b in range(8)] if len(keys) else []
 
 
 def crown(rows: list[tuple]) -> list[tuple[Level, Level, np.ndarray]]:
@@ -194,21 +203,23 @@ def crown(rows: list[tuple]) -> list[tuple[Level, Level, np.ndarray]]:
     return out
 
 
-def log_probabilities(keys: np.ndarray, n: np.ndarray, depth: int, above: list) -> np.ndarray:
-    """log10 of each gram's last byte after its context."""
+def log_probabilities(keys: np.ndarray, n: np.ndarray, depth: int, two: list[Level], above: list) -> np.ndarray:
+    """log10 of each gram's last byte after its context.  two: for each prefix length the nodes of depth 2, of these grams at least."""
     out = np.zeros(len(keys))
     if not len(keys):
         return out
     for b in range(8):
-        levels, parents, node, bit, up = tree(keys, n, b, depth, 2)
+        levels, parents, node, bit, up = tree(keys, n, b, depth, NEAR)
         p = levels[0].one
         chain = np.arange(len(p))
         for level, parent in zip(levels[1:], parents):
             chain = parent[chain]
             p = level.weight[chain] * level.one[chain] + (1 - level.weight[chain]) * p
         one, zero, root = above[b]
-        at = np.searchsorted(one.keys, up[0][up[4][chain]])
-        for level, at in ((one, at), (zero, root[at])):
+        own = up[0][up[4][chain]]  # the node of depth 2 of each
+        k = np.uint64(b)
+        at = np.searchsorted(one.keys, (own >> np.uint64(8 + b)) << k | own & np.uint64((1 << b) - 1))
+        for level, at in ((two[b], np.searchsorted(two[b].keys, own)), (one, at), (zero, root[at])):
             p = level.weight[at] * level.one[at] + (1 - level.weight[at]) * p
         p = p[node]
         out += np.log10(np.where(bit == 1, p, 1 - p))
@@ -216,6 +227,7 @@ def log_probabilities(keys: np.ndarray, n: np.ndarray, depth: int, above: list)
 
 
 GRAM, WORD = 0, 1
+VALUES = (("block", pa.int64()), ("part", pa.int64()), ("kind", pa.int32()), ("values", pa.binary()))
 
 
 def squeezed(x: np.ndarray, rising: bool = False) -> bytes:
@@ -233,8 +245,8 @@ def expanded(b: bytes, rising: bool = False) -> np.ndarray:
 
 
 def dealt(keys: np.ndarray, kind: int, depth: int, n: int) -> np.ndarray:
-    """Partition 0 to n-1 of each key; grams by their two nearest context bytes."""
-    x = keys >> np.uint64(8 * (depth - 1)) if kind == GRAM else keys
+    """Partition 0 to n-1 of each key; grams by their NEAR nearest context bytes."""
+    x = keys >> np.uint64(8 * (depth + 1 - NEAR)) if kind == GRAM else keys
     return ((x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
 
 
@@ -266,7 +278,9 @@ def word_hashes_in_parts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray)
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_col: str = "train", depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes of each row of docs (id, text, train)."""
     spark = importable(docs.sparkSession)
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if depth < NEAR:
+        raise ValueError(f"depth must be {NEAR} or more")
+    n_parts = -(-max(1, docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]) // PART_BYTES)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,28 +338,46 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
         return keys, n, t.column("block").to_pylist(), own
 
     def summed(t: pa.Table) -> pa.Table:
+        part = t.column("part")[0].as_py()
         keys, n, _, _ = gathered(t, GRAM)
         words, c, _, _ = gathered(t, WORD)
-        rows = [(b, int(k), float(x), float(y), float(z)) for b, *cols in summaries(keys, n, depth) for k, x, y, z in zip(*cols)]
-        rows.append((-1, 0, float(c.sum()), float((c > 0).sum()), 0.0))
-        return pa.table({name: pa.array(col, kind) for name, col, kind in zip(("bits", "key", "n0", "n1", "below"), zip(*rows), (pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))})
-
-    top = keyed.groupBy("part").applyInArrow(summed, "bits int, key long, n0 double, n1 double, below double").groupBy("bits", "key").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "below")])
-    top = [tuple(r) for r in top.collect()]  # 8 * 256 * 128 rows at most
-    above = crown([r for r in top if r[0] >= 0])
+        cols = [np.concatenate(x) for x in zip(*[(np.full(len(k), b, np.int32), k.astype(np.int64), *(v.astype(float) for v in rest)) for b, k, *rest in summaries(keys, n, depth)], (np.array([-1], np.int32), np.zeros(1, np.int64), np.array([float(c.sum())]), np.array([float((c > 0).sum())]), np.zeros(1)))]
+        return pa.table({"part": pa.array(np.full(len(cols[0]), part, np.int64)), **{k: pa.array(v) for k, v in zip(("bits", "key", "n0", "n1", "below"), cols)}})
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            bits, key, *rest = (t.column(c).to_numpy() for c in ("bits", "key", "n0", "n1", "below"))
+            level = Level(key, *rest)
+            up = (key >> (8 + bits)) << bits | key & ((1 << bits) - 1)
+            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(level.log_pw), pa.array(up)], names=[*t.schema.names, "log_pw", "up"])
+
+    sums = stored(keyed.groupBy("part").applyInArrow(summed, "part long, bits int, key long, n0 double, n1 double, below double"), "ctw_sums")
+    nodes = sums.where("bits >= 0").groupBy("bits", "key").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "below")])
+    nodes = stored(nodes.mapInArrow(tidy(weighed), "bits int, key long, n0 double, n1 double, below double, log_pw double, up long"), "ctw_nodes")
+    top = nodes.groupBy("bits", "up").agg(*[F.sum(c) for c in ("n0", "n1", "log_pw")]).collect()  # 256 * 255 rows at most
+    above = crown([tuple(r) for r in top])
     n_ends = texts.where("train").count()
-    tokens, distinct = (int(sum(r[i] for r in top if r[0] < 0)) for i in (2, 3))
+    tokens, distinct = (int(x or 0) for x in sums.where("bits < 0").agg(F.sum("n0"), F.sum("n1")).first())
     tokens, distinct = tokens + n_ends, distinct + (n_ends > 0)
 
-    def answered(t: pa.Table) -> pa.Table:
+    def answered(t: pa.Table, own_nodes: pa.Table) -> pa.Table:
         out = []
+        if not len(t):
+            return pa.table({name: pa.array([], kind) for name, kind in VALUES})
+        bits, key, *rest = (own_nodes.column(c).to_numpy() for c in ("bits", "key", "n0", "n1", "below"))
+        two = []
+        for b in range(8):
+            at = np.flatnonzero(bits == b)
+            at = at[np.argsort(key[at])]
+            two.append(Level(key[at].astype(np.uint64), *(v[at] for v in rest)))
         for kind in (GRAM, WORD):
             keys, n, blocks, own = gathered(t, kind)
-            value = log_probabilities(keys, n, depth, above) if kind == GRAM else n
+            value = log_probabilities(keys, n, depth, two, above) if kind == GRAM else n
             out += [(b, t.column("part")[0].as_py(), kind, (value[np.searchsorted(keys, k)].astype(np.float32).tobytes() if kind == GRAM else squeezed(value[np.searchsorted(keys, k)]))) for b, k in zip(blocks, own)]
-        return pa.table({name: pa.array(col, kind) for name, col, kind in zip(("block", "part", "kind", "values"), zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))})
+        return pa.table({name: pa.array(col, kind) for (name, kind), col in zip(VALUES, zip(*out))})
 
-    values = keyed.groupBy("part").applyInArrow(answered, "block long, part long, kind int, values binary")
+    needed = sums.where("bits >= 0").select("part", "bits", "key").join(nodes.drop("log_pw", "up"), ["bits", "key"]).select("part", "bits", "key", "n0", "n1", "below")
+    values = keyed.groupBy("part").cogroup(needed.groupBy("part")).applyInArrow(answered, "block long, part long, kind int, values binary")
 
     def scored(rows: pa.Table, found: pa.Table) -> pa.Table:
         b = block_keys(rows.column("text").combine_chunks(), depth)
