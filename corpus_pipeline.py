@@ -2,54 +2,81 @@
 
     quality rules -> one document of each near-duplicate group -> pseudonyms -> mixture of sources -> packed sequences
 
-Each stage takes (spark, docs, sf_dir) and works on all of docs.  All but the last return the columns of `documents`.
-Rows with equal id, text and source are copies: the near-duplicate stage keeps one of them.
+Each stage takes (spark, docs, sf_dir) and works on all of docs.  All but the last return the columns of `documents`, and any others
+that docs has, whatever their names: a row travels as one struct beside what a stage computes.
+
+Rows are told apart by id, text, source and language; rows that agree in these are copies, of which the near-duplicate stage keeps
+one, and of which the mixture takes all shares from one.  Rows of equal (or null) id and other text are documents of their own.  Null and empty
+texts fail the quality rules; in the other stages they are documents of no words (linked with nothing, unchanged, never mixed, packed as
+an end token).  Very long texts are read whole.  Of a group of near duplicates the smallest id stays, a null id only if all are null.
+Empty tables pass through all stages.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from tempograph.llm import jaccard, mixing, packing, pii, quality
 from tempograph.llm.common import stored, table, words
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """row (all columns of docs), key (what tells rows apart, in the order of ids, null ids last), text, source."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    of = lambda c: F.col("row").getField(c)
+    key = F.struct(of("doc_id").isNull().alias("none"), F.coalesce(of("doc_id"), F.lit(0)).alias("id"), F.xxhash64(of("text"), of("source"), of("lang")).alias("content"))
+    return docs.select(row.alias("row")).select("row", key.alias("key"), of("text").alias("text"), of("source").alias("source"), of("lang").alias("lang"))
+
+
+def first_of_copies(rows: DataFrame) -> DataFrame:
+    """One row of each key; after a join by key no further shuffle."""
+    return rows.withColumn("copy", F.row_number().over(W.partitionBy("key").orderBy(F.lit(0)))).where("copy = 1")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules fail, or that are outliers of their language and source, go."""
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text", "lang", "source")
-    return quality.quality_rules(rows, keep=("_row",)).where("kept").select("_row.*")
+    rows = keyed(docs)
+    return quality.quality_rules(rows, keep=("row",)).where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays."""
-    found = jaccard.near_duplicates(docs.select("doc_id", "text"))
-    keep = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_id")).distinct()
-    left = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    copy = F.row_number().over(W.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang"))
-    return left.withColumn("_copy", copy).where("_copy = 1").select(*docs.columns)
+    rows = keyed(docs)
+    found = jaccard.near_duplicates(rows.select("key", "text"), id_col="key")
+    stays = found.where("id = component_id").select("id").distinct()
+    return first_of_copies(rows.join(stays, rows["key"] == stays["id"])).select("row.*")
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return with_length(pii.pseudonymise(docs, kinds_col="_pii_kinds")).select(*docs.columns)
+    return with_length(pii.pseudonymise(docs, pii.key_of(spark), kinds_col=None))
+
+
+#: a word and the white space after it
+WORD = r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"
+
+
+def words_from(text: Column, first: Column, n: Column) -> Column:
+    """n words of text from the first (from 0), with the white space between them."""
+    part = F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(1)), (first + 1).cast("int"), n.cast("int"))
+    return F.regexp_replace(F.array_join(part, ""), r"[\x20\x09-\x0D]+$", "")
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time that the mix takes a document or, where a block ends inside it, a run of its words."""
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    sizes = docs.select(F.col("doc_id").alias("id"), "source", F.size(words(F.col("text"))).cast("long").alias("size"), key.alias("text_key"))
-    documents, parts = mixing.pieces(stored(sizes, "mix_sizes"), others=("text_key",))
+    rows = keyed(docs)
+    sizes = rows.select(F.col("key").alias("id"), "source", F.size(words(F.col("text"))).cast("long").alias("size"))
+    documents, parts = mixing.pieces(stored(sizes, "mix_sizes"))
     runs = parts.groupBy("source", "at", "size", "epoch").agg(F.min("from_word").alias("from_word"), F.max("to_word").alias("to_word"))
-    runs = runs.select(F.col("source").alias("_s"), F.col("at").alias("_a"), F.col("size").alias("_z"), F.struct("from_word", "to_word").alias("run"))
-    on = documents["source"].eqNullSafe(F.col("_s")) & (documents["at"] == F.col("_a")) & (documents["size"] == F.col("_z"))
-    taken = documents.join(runs, on).groupBy(F.col("id").alias("_id"), F.col("source").alias("_src"), F.col("text_key").alias("_text_key")).agg(F.collect_list("run").alias("_runs"), F.first("size").alias("_size"))
-    rows = docs.withColumn("_key", key).dropDuplicates(["doc_id", "source", "_key"])
-    rows = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("_key") == F.col("_text_key")))
-    rows = rows.withColumn("_run", F.explode("_runs"))
-    part = F.array_join(F.slice(words(F.col("text")), (F.col("_run.from_word") + 1).cast("int"), (F.col("_run.to_word") - F.col("_run.from_word")).cast("int")), " ")
-    whole = F.col("_run.to_word") - F.col("_run.from_word") == F.col("_size")
-    return with_length(rows.withColumn("text", F.when(whole, F.col("text")).otherwise(part))).select(*docs.columns)
+    runs = runs.select(F.col("source").alias("s"), F.col("at").alias("a"), F.col("size").alias("z"), F.struct("from_word", "to_word").alias("run"))
+    on = documents["source"].eqNullSafe(F.col("s")) & (documents["at"] == F.col("a")) & (documents["size"] == F.col("z"))
+    taken = documents.join(runs, on).groupBy("id").agg(F.collect_list("run").alias("runs"), F.first("size").alias("size"))
+    once = first_of_copies(rows.select("row", "key").join(taken, F.col("key") == F.col("id"))).select("row", "size", F.explode("runs").alias("run"))
+    n = F.col("run.to_word") - F.col("run.from_word")
+    text = F.when(n == F.col("size"), F.col("row.text")).otherwise(words_from(F.col("row.text"), F.col("run.from_word"), n))
+    columns = [text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return with_length(once.select(*columns))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
