@@ -20,9 +20,9 @@ the lists send the pairs of their smallest key; after verification and connected
 components are looked through again with finer sketches, first for pairs that connect what all allowed pairs of different
 components connect (a forest), then, with the components that these give, for all allowed pairs that are left.
 Every candidate is verified on the sets themselves, so no link between components is missed, and none is wrong.
-(Two different sets or n-grams of equal 64-bit hash would be taken for equal.)
+(Two different words, n-grams or sets of equal 64-bit hash, by chance once in 2^64 pairs, would be taken for equal.)
 
-Nulls: null, empty and blank texts have empty sets, linked with nothing; their component is their own id (a null id stays
+Ids may be of any type that has an order.  Nulls: null, empty and blank texts have empty sets, linked with nothing; their component is their own id (a null id stays
 null).  Repeated rows are copies.  Empty tables give empty results, very long texts are read whole, other columns are ignored.
 """
 
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..workers import importable
-from .common import stored, table
+from .common import kept, scratch, stored, table
 from .ctw import expanded, squeezed
 from .textbytes import LOWER, column_bytes, mixed, parts, tidy, word_bounds, word_hashes
 
@@ -452,12 +452,21 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """id, size of its set, component (smallest id reachable by links) of each row of docs."""
     spark = importable(docs.sparkSession)
+    with scratch(spark):
+        return kept(_near_duplicates(spark, docs, id_col, text_col, n, percent), "jaccard")
+
+
+def _near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     base = stored(set_table(docs, id_col, text_col, n, percent), "jaccard_sets")
     sets = stored(base.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.max("short").alias("short")), "jaccard_keys")
     total = sets.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // SIGNATURES_PER_PART)
     lists = stored(signature_lists(docs, text_col, n, percent, n_parts), "jaccard_lists")
-    check = lambda pairs, name: stored(similar(pairs, sets, docs, id_col, text_col, n, percent, name), f"{name}_links", pairs.count() * WIDE)
+
+    def check(pairs: DataFrame, name: str) -> DataFrame:
+        with scratch(spark):
+            return kept(similar(pairs, sets, docs, id_col, text_col, n, percent, name), f"{name}_links")
+
     pairs = lambda found, name: stored(found.where("a IS NOT NULL").select("a", "b").distinct(), name, found.count())
 
     members = lists.select("list", F.size("members").cast("long").alias("n"), F.explode("members").alias("key"))

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACES, attach, stored, table, words
+from .common import SPACES, attach, kept, scratch, stored, table, words
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 MIN_ROWS, SUBSET, REJECT = 60, 0.6, 1 - 1e-6
@@ -253,9 +253,10 @@ def outliers(df: DataFrame, subset: float = SUBSET, reject: float = REJECT) -> D
     """df (group, base_failed, x0 to x4 in units) with d2 and kept."""
     core = df.where("NOT base_failed AND group IS NOT NULL").select("group", *VECTOR)
     groups = core.select("group").distinct().count()
-    g = estimates(core, groups, subset)
-    near = distance(core, g, groups).where(F.col("d2") <= chi2_point(0.975, len(VECTOR)))
-    g = stored(moments(near, "max(0.975D)"), "mcd_final", groups)
+    with scratch(df.sparkSession):
+        g = estimates(core, groups, subset)
+        near = distance(core, g, groups).where(F.col("d2") <= chi2_point(0.975, len(VECTOR)))
+        g = kept(moments(near, "max(0.975D)").coalesce(1), "mcd_final")
     out = distance(df, g.drop("start"), groups, "left")
     inside = F.coalesce(F.col("d2") <= chi2_point(reject, len(VECTOR)), F.lit(True))
     return out.withColumn("kept", ~F.col("base_failed") & inside)
