@@ -16,8 +16,9 @@ those confirmed for a family of which no line of the run has a notice, the short
 words, and the lines between its first and last have fewer words than the longest notice; of the first and last line
 as many words count, those next to the line end.
 
-Nulls: null and empty texts have no paragraphs.  A null id is a value like others: rows are told apart by a key
-made of id and text, so equal rows give equal results once each.  Empty tables give empty results.  Very long
+Nulls: null and empty texts have no paragraphs.  Rows are told apart by a number that each gets before its candidates are written,
+so equal rows and null ids give their own results each.  Ties between families go to the earlier of NOTICES, between runs to
+the earlier and shorter.  Empty tables give empty results; other columns are ignored, whatever their names.  Very long
 paragraphs are read whole.
 """
 
@@ -37,19 +38,47 @@ from .common import stored, table
 
 MIN_PROBABILITY, MIN_TEMPLATE, MAX_N = 0.6, 0.7, 3
 UNKNOWN = "unknown"
-#: Short notices of each family.
+#: Notices of each family, longer paragraphs of full licence texts by the sentence.
 NOTICES = {
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT"],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the License. You may obtain a copy of the License at", "SPDX-License-Identifier: Apache-2.0"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "SPDX-License-Identifier: GPL-3.0-or-later"],
-    "LGPL": ["This library is licensed under the GNU Lesser General Public License.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "SPDX-License-Identifier: LGPL-3.0-only"],
+    "MIT": [
+        "Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT", "The MIT License (MIT)",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ],
+    "ISC": ["Released under the ISC License.", "SPDX-License-Identifier: ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the License. You may obtain a copy of the License at", "SPDX-License-Identifier: Apache-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS",
+    ],
+    "GPL": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
+        "You should have received a copy of the GNU General Public License along with this program.", "Licensed under the GNU General Public License.",
+    ],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.", "Licensed under the GNU General Public License, version 2.", "GNU General Public License v2", "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-or-later",
+        "either version 2 of the License, or (at your option) any later version",
+    ],
+    "GPL-3.0": [
+        "This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 3.", "GNU General Public License v3", "SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-or-later",
+        "either version 3 of the License, or (at your option) any later version",
+    ],
+    "LGPL": ["This library is licensed under the GNU Lesser General Public License.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "SPDX-License-Identifier: LGPL-3.0-only", "SPDX-License-Identifier: LGPL-2.1-or-later"],
     "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License", "SPDX-License-Identifier: AGPL-3.0-only"],
-    "BSD": ["Released under the BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "SPDX-License-Identifier: BSD-3-Clause"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "BSD": [
+        "Released under the BSD License.", "SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer",
+        "may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "If a copy of the MPL was not distributed with this file, You can obtain one at", "SPDX-License-Identifier: MPL-2.0"],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License", "Licensed under the Eclipse Public License, Version 2.0.", "SPDX-License-Identifier: EPL-2.0"],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"],
     "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"],
-    "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC0": ["Released under CC0 1.0.", "To the extent possible under law, the author has dedicated all copyright to the public domain.", "This work is in the public domain."],
+    "CC0": ["Released under CC0 1.0.", "To the extent possible under law, the author has dedicated all copyright to the public domain.", "This work is in the public domain.", "SPDX-License-Identifier: CC0-1.0"],
     "proprietary": ["All rights reserved.", "Copyright the authors. All rights reserved.", "No part of this publication may be reproduced without prior written permission."],
 }
 #: Paragraphs that mention licences or rights without granting any.
@@ -64,10 +93,12 @@ COMMON = frozenset("a all any are as at be by can file for free has in is it law
 TOKEN = r"[\p{L}\p{N}]+(?:\.[0-9]+)*"
 
 
-#: names in statements without more, such as "Distributed under the GPL v3"
+#: Names in statements without more, such as "Distributed under the GPL v3"
 NAMES = {
-    "MIT": ["MIT License"], "Apache-2.0": ["Apache License 2.0", "Apache 2.0"], "GPL-3.0": ["GPL v3", "GPLv3", "GPL 3.0", "GNU GPL v3", "GNU GPLv3", "GPL version 3"], "LGPL": ["LGPL", "GNU LGPL"],
+    "MIT": ["MIT License"], "ISC": ["ISC License"], "Apache-2.0": ["Apache License 2.0", "Apache 2.0"], "GPL-2.0": ["GPL v2", "GPLv2", "GPL 2.0", "GNU GPL v2", "GNU GPLv2", "GPL version 2"],
+    "GPL-3.0": ["GPL v3", "GPLv3", "GPL 3.0", "GNU GPL v3", "GNU GPLv3", "GPL version 3"], "LGPL": ["LGPL", "GNU LGPL"],
     "AGPL-3.0": ["AGPL v3", "AGPLv3", "AGPL 3.0", "GNU AGPL v3", "GNU AGPLv3"], "BSD": ["BSD License", "BSD 3 Clause", "BSD 2 Clause"], "MPL-2.0": ["MPL 2.0", "Mozilla Public License 2.0"],
+    "EPL-2.0": ["EPL 2.0", "Eclipse Public License 2.0"], "BSL-1.0": ["Boost Software License 1.0"],
 }
 NOTICES = {k: [*v, *(f"under {the}{n}" for n in NAMES.get(k, []) for the in ("", "the "))] for k, v in NOTICES.items()}
 
@@ -129,6 +160,29 @@ def model(rounds: int = 400, copies: int = 6, seed: int = 7) -> tuple[list[str],
     return classes, {g: [float(v) for v in row] for g, row in keep}, [float(v / t) for v in b]
 
 
+def judged_by_model(words: list[str]) -> tuple[str, float]:
+    """Best class and its probability of a paragraph's words, as the DataFrame does it."""
+    classes, weights, constants = model()
+    z = np.array(constants) + sum((np.array(weights[g]) for g in grams(words) if g in weights), np.zeros(len(classes)))
+    p = np.exp(z - z.max())
+    return classes[int(z.argmax())], float(p.max() / p.sum())
+
+
+def confusion(seed: int = 99, copies: int = 20) -> dict[tuple[str, str], int]:
+    """(family, what is found, `unknown` under MIN_PROBABILITY) and how often, for new variants of the notices: words left out, others put in."""
+    rng, found = random.Random(seed), {}
+    for family, texts in [*NOTICES.items(), (UNKNOWN, OTHERS)]:
+        for text in texts:
+            for _ in range(copies):
+                words = [w for w in tokens(text) if rng.random() > 0.1] or tokens(text)
+                for _ in range(rng.randrange(4)):
+                    words.insert(rng.choice((0, len(words))), f"other{rng.randrange(99)}")
+                best, p = judged_by_model(words)
+                got = best if p >= MIN_PROBABILITY else UNKNOWN
+                found[family, got] = found.get((family, got), 0) + 1
+    return found
+
+
 def templates() -> list[tuple[str, int, str, int]]:
     """(family, notice, word pair, word pairs of the notice) of every notice."""
     out = []
@@ -196,15 +250,15 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pattern = telling(min_template)
     text, cut = F.col(text_col), lambda t: F.regexp_extract_all(F.lower(t), F.lit(f"({TOKEN})"))
     tells = F.lower(text).rlike(pattern)
-    df = docs.where(text.rlike(ANCHORS) | tells).select(F.col(id_col).alias("id"), text.alias("_t"), F.xxhash64(text_col).alias("text_key"), tells.alias("_tells")).dropDuplicates(["id", "text_key"])
+    df = docs.where(text.rlike(ANCHORS) | tells).select(F.col(id_col).alias("id"), text.alias("_t"), F.monotonically_increasing_id().alias("row_key"), tells.alias("_tells"))
     lines = F.split("_t", "\n")
     single = F.filter(F.transform(lines, lambda t, k: F.struct(k.alias("paragraph"), k.alias("last"), F.when(t.rlike(ANCHORS) | F.lower(t).rlike(pattern), cut(t)).alias("_w"))), lambda r: r["_w"].isNotNull())
     several = F.when(F.col("_tells"), runs(F.col("_words"), pattern)).otherwise(F.filter(single, lambda r: F.lit(False)))
     df = df.withColumn("_words", F.when(F.col("_tells"), F.transform(lines, cut)))
-    df = df.select("id", "text_key", "_t", F.inline(F.concat(single, several)))
+    df = df.select("id", "row_key", "_t", F.inline(F.concat(single, several)))
     own = F.slice(lines, F.col("paragraph") + 1, F.col("last") - F.col("paragraph") + 1)
     ahead = F.aggregate(F.slice(lines, F.lit(1), F.col("paragraph")), F.lit(0).cast("long"), lambda a, x: a + F.length(x) + 1)
-    return df.select("id", "text_key", "paragraph", "last", ahead.alias("start"), F.array_join(own, "\n").alias("text"), "_w")
+    return df.select("id", "row_key", "paragraph", "last", ahead.alias("start"), F.array_join(own, "\n").alias("text"), "_w")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_probability: float = MIN_PROBABILITY, min_template: float = MIN_TEMPLATE) -> DataFrame:
@@ -214,7 +268,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_pr
     table_ = F.broadcast(spark.createDataFrame([(g, *row) for g, row in weights.items()], "gram string, " + ", ".join(f"w{i} double" for i in range(len(classes)))))
     notice = F.broadcast(spark.createDataFrame(templates(), "t_family string, notice int, gram string, pairs int"))
     paragraphs = stored(candidates(docs, id_col, text_col, min_template), "licence_paragraphs")
-    key = ["id", "text_key", "paragraph", "last"]
+    key = ["id", "row_key", "paragraph", "last"]
     cut = paragraphs.select(*key, "start", "text", F.explode_outer(n_grams(F.col("_w"))).alias("gram"))
     sums = cut.join(table_, "gram", "left").groupBy(*key).agg(F.first("start").alias("start"), F.first("text").alias("text"), *[F.round(F.coalesce(F.sum(f"w{i}"), F.lit(0.0)) + F.lit(c), 9).alias(f"z{i}") for i, c in enumerate(constants)])
     top = F.greatest(*[F.col(f"z{i}") for i in range(len(classes))])
@@ -222,7 +276,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_pr
     best = F.coalesce(*[F.when(F.col(f"z{i}") == top, F.lit(c)) for i, c in enumerate(classes)])
     judged = sums.select(*key, "start", "text", best.alias("best"), F.round(1 / total, 6).alias("probability"))
     shares = cut.join(notice, "gram").groupBy(*key, "t_family", "notice").agg((F.count("*") / F.first("pairs")).alias("_s")).groupBy(*key, "t_family").agg(F.round(F.max("_s"), 6).alias("template_share"))
-    before = W.partitionBy("id", "text_key", "t_family").orderBy("last", F.desc("paragraph")).rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("id", "row_key", "t_family").orderBy("last", F.desc("paragraph")).rowsBetween(W.unboundedPreceding, -1)
     alone = (F.col("paragraph") == F.col("last")) & (F.col("template_share") >= min_template)
     shares = shares.withColumn("_line", F.coalesce(F.max(F.when(alone, F.col("paragraph"))).over(before) >= F.col("paragraph"), F.lit(False)))
     shares = shares.toDF(*[f"_{k}" for k in key], "t_family", "template_share", "_line")
@@ -239,7 +293,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_pr
 
 def best_runs(found: DataFrame) -> DataFrame:
     """found without the runs that have a part of no lower share, and then without those that are part of one with a higher."""
-    near = W.partitionBy("id", "text_key", "family", "_run").orderBy("paragraph").rangeBetween(-reach(), reach())  # a run has reach() + 1 lines at most
+    near = W.partitionBy("id", "row_key", "family", "_run").orderBy("paragraph").rangeBetween(-reach(), reach())  # a run has reach() + 1 lines at most
     own = F.struct("paragraph", "last", "template_share")
     for drops in (
         lambda o, r: (o["paragraph"] >= r["paragraph"]) & (o["last"] <= r["last"]) & (o["last"] - o["paragraph"] < r["last"] - r["paragraph"]) & (o["template_share"] >= r["template_share"]),
