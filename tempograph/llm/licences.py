@@ -89,7 +89,7 @@ OTHERS = [
 ]
 ANCHORS = r"(?i)licen[cs]|copyright|rights reserved|public domain|permission|redistribution|\bcc0\b|\bcc by|creative commons"
 #: words that telling pairs avoid, as they are in most texts; the choice changes the work, not the result
-COMMON = frozenset("a all any are as at be by can file for free has in is it law may modify no not obtain of only or part person provided software source subject terms that the this to under use version with without work you".split())
+COMMON = frozenset("a all any are as at be by can file for free has in is it law may modify no not obtain of only or part person provided software source subject terms that the this to under use version with without work you an on at have had was were been but which who will would should your he she we our their there these those one two more most other such than then into over after before up out made also when where what how so if do does did been being am me my him her us them some each every same own very just only".split())
 TOKEN = r"[\p{L}\p{N}]+(?:\.[0-9]+)*"
 
 
