@@ -27,7 +27,7 @@ from __future__ import annotations
 import math
 import random
 import re
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,6 +87,8 @@ OTHERS = [
     "The city reserved all seats.", "Apache helicopters flew over the valley.", "The MIT campus is in Cambridge.", "Copyright law protects authors.", "The public domain is a matter of debate.", "She has a licence to teach.",
     "The general public was not admitted.", "Creative work is common here.", "The version of the story was licensed to a studio.", "Released under a new title.", "Licensed under the Foo License.", "This work is licensed under terms to be agreed.", "Attribution of the painting is not certain.",
 ]
+#: one of these is in every lower-case text with an anchor
+ANCHORED = ("licen", "copyright", "rights reserved", "public domain", "permission", "redistribution", "cc0", "cc by", "creative commons")
 ANCHORS = r"(?i)licen[cs]|copyright|rights reserved|public domain|permission|redistribution|\bcc0\b|\bcc by|creative commons"
 #: words that telling pairs avoid, as they are in most texts; the choice changes the work, not the result
 COMMON = frozenset("a all any are as at be by can file for free has in is it law may modify no not obtain of only or part person provided software source subject terms that the this to under use version with without work you an on at have had was were been but which who will would should your he she we our their there these those one two more most other such than then into over after before up out made also when where what how so if do does did been being am me my him her us them some each every same own very just only".split())
@@ -208,13 +210,33 @@ def telling_pairs(min_template: float) -> list[str]:
     return sorted(out)
 
 
+def any_of(strings: list[str]) -> str:
+    """A pattern of all strings, letter by letter as a tree, so that few alternatives are tried at each place; one that begins with another is left out."""
+    tree: dict = {}
+    for x in sorted(strings):
+        node = tree
+        for c in x:
+            if None in node:
+                break
+            node = node.setdefault(c, {})
+        node.clear()
+        node[None] = None
+
+    def pattern(node: dict) -> str:
+        if None in node:
+            return ""
+        parts = [(GAP if c == " " else re.escape(c)) + pattern(child) for c, child in node.items()]
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+    return pattern(tree)
+
+
+GAP = r"[^\p{L}\p{N}]+"
+
+
 def telling(min_template: float) -> str:
     """A pattern for lower-case texts that have a telling pair (and some others, as words may go on)."""
-    first: dict[str, list[str]] = {}
-    for a, b in (g.split() for g in telling_pairs(min_template)):
-        first.setdefault(a, []).append(b)
-    gap = r"[^\p{L}\p{N}]+"
-    return r"(?<![\p{L}\p{N}])(?:" + "|".join(f"{re.escape(a)}{gap}(?:{'|'.join(map(re.escape, b))})" for a, b in sorted(first.items())) + ")"
+    return r"(?<![a-z0-9])" + any_of(telling_pairs(min_template))
 
 
 def reach() -> int:
@@ -250,7 +272,9 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pattern = telling(min_template)
     text, cut = F.col(text_col), lambda t: F.regexp_extract_all(F.lower(t), F.lit(f"({TOKEN})"))
     tells = F.lower(text).rlike(pattern)
-    df = docs.where(text.rlike(ANCHORS) | tells).select(F.col(id_col).alias("id"), text.alias("_t"), F.monotonically_increasing_id().alias("row_key"), tells.alias("_tells"))
+    low = F.lower(text)
+    anchored = reduce(Column.__or__, [F.contains(low, F.lit(x)) for x in ANCHORED])  # a plain search is ten times as fast as a pattern
+    df = docs.where(anchored | tells).select(F.col(id_col).alias("id"), text.alias("_t"), F.monotonically_increasing_id().alias("row_key"), tells.alias("_tells"))
     lines = F.split("_t", "\n")
     single = F.filter(F.transform(lines, lambda t, k: F.struct(k.alias("paragraph"), k.alias("last"), F.when(t.rlike(ANCHORS) | F.lower(t).rlike(pattern), cut(t)).alias("_w"))), lambda r: r["_w"].isNotNull())
     several = F.when(F.col("_tells"), runs(F.col("_words"), pattern)).otherwise(F.filter(single, lambda r: F.lit(False)))

@@ -48,7 +48,7 @@ from .common import table
 ROUNDS = 8
 KEY_SETTING, DEMO_KEY = "spark.tempograph.pseudonym.key", "demonstration only"
 #: names to which secrets are assigned
-NAMED = r"(?i:passwords?|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key)"
+NAMED = r"(?=[AaPpSsTt])(?i:passwords?|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key)"
 #: ten digits in the groups 3, 3, 4, with or without a country code
 TEN = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])"
 #: what of a secret stays: an issuer's prefix, the head of a key block, a name and its sign
@@ -74,8 +74,9 @@ REST = "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k != "card")
 NUMBERS = "|".join(f"(?:{p})" for p in (TEN, PATTERNS["ssn"], PATTERNS["date"]))
 #: the groups in which cards are written, and the first digits of payment cards
 FIXED = r"^(?=[2-6])(?:[0-9]{16}|[0-9]{15}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})$"
-#: what every candidate has
-HINT = r"[0-9@]|AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk-|k_live_|xox|AIza|eyJ|PRIVATE KEY|" + NAMED + r"[\"']?[ ]{0,2}[=:]|[A-Fa-f]:"
+#: what every candidate has: a digit or @, or an issuer's prefix, or what is assigned, or letters between colons
+DIGITS, PREFIXES = "[0-9@]", ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "sk-", "k_live_", "xox", "AIza", "eyJ", "PRIVATE KEY")
+ASSIGNED = NAMED + r"[\"']?[ ]{0,2}[=:]|[A-Fa-f]:"
 MARK = "\x01"
 CYCLE = "1800-01-01"
 DAY_RADIX = (27, 5411)
@@ -316,7 +317,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", out_col: str
     out_col = out_col or text_col
     df = docs.select(F.struct(*map(name, docs.columns)).alias("_row"), name(text_col).alias("_text"))
     text = F.col("_text")
-    has = F.coalesce(text.rlike(HINT), F.lit(False))
+    assigned = (F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))) & text.rlike(ASSIGNED)
+    has = F.coalesce(text.rlike(DIGITS) | reduce(Column.__or__, [F.contains(text, F.lit(x)) for x in PREFIXES]) | assigned, F.lit(False))
     runs = F.transform(F.regexp_extract_all(text, F.lit(FOUND), F.lit(0)), lambda m: F.when(m.rlike(f"^(?:{PATTERNS['card']})$"), cut(m)).otherwise(F.array(F.struct(F.lit(False).alias("card"), m.alias("m")))))
     df = df.withColumn("_runs", F.when(text.rlike(PATTERNS["card"]), runs).otherwise(F.array().cast("array<array<struct<card:boolean,m:string>>>")))
     df = df.withColumn("_cards", F.transform(F.filter(F.flatten("_runs"), lambda x: x["card"]), lambda x: x["m"]))
