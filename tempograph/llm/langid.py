@@ -5,7 +5,7 @@
 Text: a naive Bayes model over hashed byte trigrams (BUCKETS of them, add-one smoothing), counted over all labelled
 documents; TEMPER discounts trigrams that overlap.  The model has LANGUAGES * BUCKETS numbers, whatever the data.
 Declared markup language (the lang attribute of <html>) and address suffix (the last label of the host): their likelihoods
-are counted over all pages, each page weighing by its posterior from the text alone.
+are counted over all other pages, each page weighing by its posterior from the text alone.
 Host prior: the same soft counts of the host's other pages, smoothed towards its domain's (last two labels), these towards
 those of all pages:  p_host = (n_host + STRENGTH * p_domain) / (N_host + STRENGTH), without the page itself.
 
@@ -15,7 +15,7 @@ its side of the join.
 
 Nulls: a page without markup language, address or text simply lacks that evidence (a page without any gets the overall
 prior); documents without a language of LANGUAGES are not used for training; null ids stay null; repeated rows are pages each.
-Empty tables give empty results; ties go to the earlier of LANGUAGES; other columns are ignored.
+Very long pages are scored in pieces.  Empty tables give empty results; ties go to the earlier of LANGUAGES; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -60,8 +60,10 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", langu
         for whole in batches:
             for batch in parts(whole, text_col):
                 keys, offsets = trigrams(batch.column(text_col))
-                for row, lang in enumerate(batch.column(lang_col).to_pylist()):
-                    n[languages.index(lang)] += np.bincount(keys[inside(offsets, row, len(keys))], minlength=BUCKETS)
+                row = np.searchsorted(offsets, np.arange(len(keys)), "right") - 1  # trigrams over a row's end are no row's
+                own = np.array([languages.index(lang) for lang in batch.column(lang_col).to_pylist()], np.int64)
+                whole_ = np.arange(len(keys)) + 2 < offsets[row + 1]
+                n += np.bincount(own[row[whole_]] * BUCKETS + keys[whole_], minlength=n.size).reshape(n.shape)
         lang, bucket = np.nonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(bucket, pa.int32()), pa.array(n[lang, bucket])], names=["lang", "bucket", "n"])
 
@@ -86,6 +88,14 @@ def evidence(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Data
     return df.withColumns({"suffix": F.element_at(labels, -1), "domain": F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), F.lit(2)), ".")})
 
 
+def likelihood(model: np.ndarray, keys: np.ndarray, piece: int = 1 << 16) -> np.ndarray:
+    """Sums of the model's rows over keys, piece by piece, so that a very long page takes no more memory than its bytes."""
+    out = np.zeros(len(model))
+    for i in range(0, len(keys), piece):
+        out += model[:, keys[i : i + piece]].sum(1)
+    return out
+
+
 def text_scores(df: DataFrame, model: np.ndarray, temper: float) -> DataFrame:
     """df, text replaced by loglik: tempered log-likelihoods, the highest being 0."""
     keep = [f for f in df.schema.fields if f.name != "text"]
@@ -94,7 +104,7 @@ def text_scores(df: DataFrame, model: np.ndarray, temper: float) -> DataFrame:
         for whole in batches:
             for batch in parts(whole, "text"):
                 keys, offsets = trigrams(batch.column("text"))
-                out = np.array([model[:, keys[inside(offsets, row, len(keys))]].sum(1) for row in range(len(batch))]) * temper
+                out = np.array([likelihood(model, keys[inside(offsets, row, len(keys))]) for row in range(len(batch))]) * temper
                 out = np.round(out - out.max(1, keepdims=True), 6)
                 yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in keep], pa.FixedSizeListArray.from_arrays(pa.array(out.reshape(-1)), out.shape[1]).cast(pa.list_(pa.float64()))], names=[*[f.name for f in keep], "loglik"])
 
@@ -119,11 +129,11 @@ def identify(pages: DataFrame, model: np.ndarray, id_col: str = "page_id", url_c
     prior = [(x + strength / len(languages)) / (sum(n) + strength) for x in n]
     for col in ("declared", "suffix", "host", "domain"):
         df = df.join(counts(col, f"{col}_n"), F.col(col) == F.col(f"_{col}_n"), "left").drop(f"_{col}_n")
-    # what a page says of itself doesn't count as evidence about its host
+    # what a page says of itself doesn't count as evidence about its host, its declared language or its suffix
     other = lambda col, i: (F.coalesce(F.col(f"{col}_n{i}"), F.col(f"r{i}")) - F.col(f"r{i}")) / UNIT
     logs = []
     for i in k:
-        likely = lambda col, i=i: F.when(F.col(col).isNull(), 0.0).otherwise(F.log((F.col(f"{col}_n{i}") / UNIT + SMOOTH) / (n[i] + SMOOTH * (kinds[col] + 1))))
+        likely = lambda col, i=i: F.when(F.col(col).isNull(), 0.0).otherwise(F.log(((F.col(f"{col}_n{i}") - F.col(f"r{i}")) / UNIT + SMOOTH) / (n[i] - F.col(f"r{i}") / UNIT + SMOOTH * (kinds[col] + 1))))
         domain = (other("domain", i) + strength * prior[i]) / (sum((other("domain", j) for j in k), F.lit(0.0)) + strength)
         host = (other("host", i) + strength * domain) / (sum((other("host", j) for j in k), F.lit(0.0)) + strength)
         logs.append(F.round(F.col("loglik")[i] + likely("declared") + likely("suffix") + F.log(host), 6))

@@ -8,8 +8,8 @@ Law `rows`.  Ranks come from sums over hash buckets (`common.running`), so a sou
 is ordered by many tasks.  Texts are not moved: only the id, source, size and checksum are.
 
 Nulls: a null source is a source of its own, a null id one more value, a null text has no bytes.  Rows that
-agree in id, source, size and checksum are interchangeable.  Empty tables give empty results; other columns
-are ignored.
+agree in id, source, size and checksum are interchangeable, other ties go by these.  Very long texts are only measured.  Empty tables
+give empty results; other columns are ignored.  Windows run over one row per bucket of ROWS_PER_BUCKET rows (of a source, and of all).
 """
 
 from __future__ import annotations
@@ -48,10 +48,11 @@ def interleave(keys: DataFrame, n_shards: int = N_SHARDS, seed: str = "shards",
     return df.withColumn("slot", (F.col("_at") - begin).cast("long")).drop("_h", "_b", "_f", "_at", "_all", "_one")
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write docs (unique ids) as one folder per shard, in the order of slots; only here do texts move."""
+def write_shards(docs: DataFrame, assigned: DataFrame, path: str, id_col: str = "doc_id", rows_per_file: int = 1_000_000) -> None:
+    """Write docs (unique ids) as one folder per shard, in files of about rows_per_file rows of consecutive slots; only here do texts move."""
     placed = docs.join(assigned.select(F.col("id").alias("_id"), "shard", "slot"), docs[id_col].eqNullSafe(F.col("_id"))).drop("_id")
-    placed.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    placed = placed.withColumn("part", F.expr(f"slot div {rows_per_file}L"))
+    placed.repartition("shard", "part").sortWithinPartitions("shard", "part", "slot").write.partitionBy("shard", "part").parquet(path)
 
 
 def op5_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,3 +126,53 @@ def water_levels(sizes: list[int], weights: list[int], epochs: int = 3) -> list[
                 target[i] = float(epochs * sizes[i])
                 free.discard(i)
     return target
+
+
+def minimum_determinant(x, q) -> list[tuple[bool, float]]:
+    """(kept, squared distance) of each row of x, as quality.outliers defines it, with NumPy."""
+    import numpy as np
+
+    added = np.diag([(f * q.UNIT) ** 2 for f in q.FLOOR])
+
+    def low(values, share):
+        values = np.sort(values)
+        return values[math.ceil(len(values) * share) - 1]
+
+    def moments(rows, share):
+        c = np.cov(rows.T, bias=True) * q.consistency(round(share, 9), 5)
+        return rows.mean(0), c + added
+
+    def distances(m, c):
+        d = x - m
+        return np.maximum(np.round((d @ np.linalg.inv(c) * d).sum(1), 6), 0)
+
+    middle = np.array([low(np.floor(v / 8) * 8 + 4, 0.5) for v in x.T])
+    spread = np.array([low(np.floor(np.abs(v - m) / 8) * 8, 0.5) for v, m in zip(x.T, middle)]) * 1.4826
+    width = np.sqrt(spread**2 + np.diag(added))
+    drawn = np.round(np.tanh((x - middle) / width) * q.UNIT) / q.UNIT
+    starts = [(middle, np.diag(spread**2) + added), moments(x, 1.0), (middle + drawn.mean(0) * width, np.cov(drawn.T, bias=True) * np.outer(width, width) + added)]
+
+    def step(m, c, det):
+        bins = np.floor(np.log1p(distances(m, c)) * q.BINS)
+        inside = bins <= low(bins, q.SUBSET)
+        share = inside.mean()
+        at = min(max(share, 0.5), 1.0) * 100 - 50
+        k = min(math.floor(at), 49)
+        factor = q.consistency((50 + k) / 100, 5) * (1 - (at - k)) + q.consistency((51 + k) / 100, 5) * (at - k)
+        m2, c2 = x[inside].mean(0), np.cov(x[inside].T, bias=True) * factor + added
+        new = np.linalg.slogdet(c2)[1]
+        return (m2, c2, new, True) if new < det - 1e-9 else (m, c, det, False)
+
+    found = []
+    for m, c in starts:
+        det, moved = 1e300, True
+        for _ in range(q.SCREENING):
+            if moved:
+                m, c, det, moved = step(m, c, det)
+        found.append((det, len(found), m, c, moved))
+    det, _, m, c, moved = min(found, key=lambda f: f[:2])
+    while moved:
+        m, c, det, moved = step(m, c, det)
+    near = x[distances(m, c) <= q.chi2_point(0.975, 5)]
+    d2 = distances(*moments(near, 0.975))
+    return [(bool(d <= q.chi2_point(q.REJECT, 5)), float(d)) for d in d2]

@@ -40,7 +40,7 @@ def mixture(docs):
 
 OPERATORS = {
     "quality": lambda d: quality.quality_rules(d), "packing": lambda d: packing.pack(d, P.path("word_bpe_49k.json")),
-    "sharding": lambda d: sharding.interleave(sharding.keys_of(d), 3), "pii": lambda d: pii.pseudonymise(d), "licences": lambda d: licences.scan(d),
+    "sharding": lambda d: sharding.interleave(sharding.keys_of(d), 3), "pii": lambda d: pii.pseudonymise(d, "k"), "licences": lambda d: licences.scan(d),
     "jaccard": lambda d: jaccard.near_duplicates(d), "ctw": score, "mixing": mixture,
 }
 ROWS = {"quality": 9, "sharding": 9, "pii": 9, "jaccard": 9, "ctw": 9, "mixing": 9}
@@ -92,11 +92,13 @@ def test_packing_of_odd_rows(odd):
 
 def test_stages(spark, odd, none, sf_dir):
     pipeline = pytest.importorskip("corpus_pipeline")
-    for docs in (spark.createDataFrame(ODD, SCHEMA), odd.withColumns({c: F.lit(1) for c in ("n_words", "pii_kinds", "text_key", "runs", "_copy", "rep")}), none):
+    for docs in (spark.createDataFrame(ODD, SCHEMA), odd.withColumns({c: F.lit(1) for c in ("n_words", "pii_kinds", "text_key", "runs", "_copy", "rep", "key", "row", "_row", "copy", "kept")}), none):
         for name, stage in pipeline.STAGES:
             out = stored(stage(spark, docs, sf_dir), f"test_{name}")
             assert name == "packing" or out.columns == docs.columns
-            out.count()
+            rows = out.collect()
+            if name != "packing" and "_copy" in docs.columns:
+                assert {tuple(r[c] for c in ("_copy", "key", "row", "kept", "pii_kinds")) for r in rows} <= {(1,) * 5}, "callers' columns stay"
 
 
 def test_stored_files_can_be_dropped(spark):

@@ -69,6 +69,25 @@ def test_word_bounds(texts):
     assert len(set(h.tolist())) == len(set(found))
 
 
+def test_words_that_differ_by_structure_only_keep_apart(spark):
+    """A Thue-Morse word and its complement collide under every polynomial modulo a power of two."""
+    import pyarrow as pa
+
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    other = word.translate({97: 98, 98: 97})
+    data, offsets = textbytes.column_bytes(pa.array([word, other, word[:300], other[:300]]))
+    assert len(set(textbytes.word_hashes(data, *textbytes.word_bounds(data, offsets)[:2]).tolist())) == 4
+    e = packing.WordEncoder(P.path("word_bpe_49k.json"))
+    ids, at = e.encode(pa.array([word, other]))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [e.tokenizer.encode(w, add_special_tokens=False).ids for w in (word, other)]
+    rest = " c d e f g h"
+    df = spark.createDataFrame([(1, word + rest), (2, other + rest)], "doc_id long, text string")
+    sets = list(jaccard.shingles(pa.array([word + rest, other + rest])))
+    assert len(set(sets[0]) & set(sets[1])) == 2
+    rows = ctw.score(df.withColumn("train", F.col("doc_id") == 1)).collect()
+    assert {r.id: r.n_known for r in rows} == {1: 8, 2: 7}
+
+
 # ---- 1 -------------------------------------------------------------------------------------------------------------
 
 
@@ -90,6 +109,41 @@ def test_evidence_beyond_the_text(spark, sf_dir):
     assert got[20].probability > got[22].probability and got[0].host == "www.host.de" and got[21].declared is None
 
 
+def test_fusion_equals_a_plain_posterior(spark):
+    import math
+
+    model = np.log(np.random.default_rng(4).dirichlet(np.ones(langid.BUCKETS), 4))
+    pages = [(1, "https://a.x.de/1", "<html lang=de>abcd"), (2, "https://a.x.de/2", "<html lang=de>bcde fg"), (3, "https://b.x.de/1", "zz zz"), (4, "http://q.fr", "<html lang='fr'>hello"), (5, None, "abc"), (5, None, "abc"), (6, "https://a.x.de/9", None)]
+    got = sorted((r.id, r.language, r.probability) for r in langid.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), model).collect())
+    rows = []
+    for key, url, html in pages:
+        text = re.sub("<[^>]*>", " ", html or "").encode()
+        b = bytes(c + 32 if 65 <= c <= 90 else c for c in text)
+        b = bytes(0x20 if c < 0x21 else 0x30 if 48 <= c <= 57 else c for c in b)
+        grams = [((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 0x9E3779B1 % (1 << 32)) >> 16 for i in range(len(b) - 2)]
+        z = [langid.TEMPER * sum(model[i, g] for g in grams) for i in range(4)]
+        z = [round(v - max(z), 6) for v in z]
+        r = [round(math.exp(v) / sum(map(math.exp, z)) * 1e6) for v in z]
+        host = re.match("[a-z]+://([^/]+)", url)[1] if url else None
+        lang = re.search("lang='?([a-z]+)", html or "")
+        rows.append((key, z, r, lang and lang[1], host and host.split(".")[-1], host, host and ".".join(host.split(".")[-2:])))
+    total = [sum(r[2][i] for r in rows) / 1e6 for i in range(4)]
+    prior = [(x + langid.STRENGTH / 4) / (sum(total) + langid.STRENGTH) for x in total]
+    want = []
+    for row in rows:
+        others = lambda at, row=row: [sum(r[2][i] for r in rows if r[at] == row[at]) / 1e6 - row[2][i] / 1e6 if row[at] else 0.0 for i in range(4)]
+        domain = [(x + langid.STRENGTH * prior[i]) / (sum(others(6)) + langid.STRENGTH) for i, x in enumerate(others(6))]
+        z = list(row[1])
+        for i in range(4):
+            z[i] += math.log((others(5)[i] + langid.STRENGTH * domain[i]) / (sum(others(5)) + langid.STRENGTH))
+            for at in (3, 4):
+                kinds = len({r[at] for r in rows if r[at]})
+                z[i] += math.log((others(at)[i] + langid.SMOOTH) / (total[i] - row[2][i] / 1e6 + langid.SMOOTH * (kinds + 1))) if row[at] else 0
+        want.append((row[0], langid.LANGUAGES[int(np.argmax(np.round(z, 6)))], 1 / sum(math.exp(v - max(z)) for v in z)))
+    assert [(k, lang) for k, lang, _ in got] == [(k, lang) for k, lang, _ in sorted(want)]
+    assert [p for _, _, p in got] == pytest.approx([p for _, _, p in sorted(want)], abs=1e-4)
+
+
 # ---- 2 -------------------------------------------------------------------------------------------------------------
 
 
@@ -102,21 +156,32 @@ def test_quality_counts_and_labels(spark, sf_dir, docs):
             assert r.kept == bool(labels[r.doc_id]), r
 
 
+def vectors_frame(spark, groups: dict):
+    rows = [(g, False, *map(int, np.round(v * quality.UNIT))) for g, x in groups.items() for v in x]
+    return spark.createDataFrame(rows, "group string, base_failed boolean, x0 long, x1 long, x2 long, x3 long, x4 long")
+
+
+def sample(seed: int, n: int, bad: int) -> np.ndarray:
+    x = np.random.default_rng(seed).normal(0, 1, (n, 5)) * [0.3, 0.1, 0.2, 0.2, 0.1]
+    x[:bad] += [3, 2, 2, 0, 0]
+    return x
+
+
 def test_covariance_determinant_ignores_outliers(spark):
-    rng = np.random.default_rng(3)
-    x = rng.normal(0, 1, (400, 5)) * [0.3, 0.1, 0.2, 0.2, 0.1]
-    x[:80] += [3, 2, 2, 0, 0]  # a fifth of them
-    rows = [("g", False, *map(float, v)) for v in x]
-    df = spark.createDataFrame(rows, "group string, base_failed boolean, x0 double, x1 double, x2 double, x3 double, x4 double")
-    out = quality.outliers(df).orderBy("x0").collect()
-    far = {tuple(np.round(v, 9)) for v in x[:80]}
-    assert {tuple(round(r[c], 9) for c in quality.VECTOR) for r in out if not r.kept} == far
-    # distances against the estimate from the clean rows alone
-    clean = x[80:]
-    s = np.linalg.inv(np.cov(clean.T) + np.diag(np.square(quality.FLOOR)))
-    want = {tuple(np.round(v, 9)): (v - clean.mean(0)) @ s @ (v - clean.mean(0)) for v in clean}
-    ratio = [r.d2 / want[k] for r in out if (k := tuple(round(r[c], 9) for c in quality.VECTOR)) in want and want[k] > 1]
-    assert 0.7 < np.median(ratio) < 1.4
+    x = sample(3, 400, 130)  # a third of them
+    out = quality.outliers(vectors_frame(spark, {"g": x})).collect()
+    far = {tuple(np.round(v * quality.UNIT)) for v in x[:130]}
+    assert {tuple(r[c] for c in quality.VECTOR) for r in out if not r.kept} == far
+
+
+def test_outliers_equal_a_plain_determinant_search(spark):
+    groups = {"a": sample(1, 300, 60), "b": sample(2, 150, 0), "c": np.repeat(sample(5, 40, 3), 3, axis=0)}
+    got = {(r.group, *(r[c] for c in quality.VECTOR)): (r.kept, r.d2) for r in quality.outliers(vectors_frame(spark, groups).repartition(5)).collect()}
+    for g, x in groups.items():
+        x = np.round(x * quality.UNIT)
+        for v, (kept, d2) in zip(x, plain.minimum_determinant(x, quality)):
+            row = got[(g, *map(int, v))]
+            assert row[0] == kept and row[1] == pytest.approx(d2, rel=1e-3, abs=1e-3)
 
 
 def test_sweep_inverts(spark):
@@ -124,6 +189,7 @@ def test_sweep_inverts(spark):
     g = spark.createDataFrame([tuple(float(a[p]) for p in quality.PAIRS)], ", ".join("a%d%d double" % p for p in quality.PAIRS))
     r = quality.swept(g).first()
     assert np.allclose([r["a%d%d" % p] for p in quality.PAIRS], [np.linalg.inv(a)[p] for p in quality.PAIRS])
+    assert r.logdet == pytest.approx(np.linalg.slogdet(a)[1])
 
 
 def test_chi_square():
@@ -192,6 +258,16 @@ def test_pieces_go_to_the_lowest_cost():
     assert home[0] != home[1] and home[2] == home[1], "the third goes where the cost is lower"
 
 
+def test_costs_of_documents_are_balanced(spark, sf_dir):
+    cost = defaultdict(float)
+    size = Counter()
+    for r in run(spark, sf_dir, "op3_"):
+        cost[r.sequence_id] += packing.LINEAR * r.length + packing.QUADRATIC * r.length**2
+        size[r.sequence_id] += r.length
+    mixed = [c for k, c in cost.items() if size[k] == 2048 and c < packing.LINEAR * 2048 + packing.QUADRATIC * 2048**2]
+    assert np.std(mixed) < 0.35 * np.mean(mixed)
+
+
 # ---- 4 -------------------------------------------------------------------------------------------------------------
 
 
@@ -211,11 +287,33 @@ def test_top_k(spark, rows):
 def test_top_k_over_many_blocks(spark, sf_dir, monkeypatch):
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     want = {tuple(r) for r in topk.search(df, df.where("vec_id % 50 = 0")).collect()}
-    for name, n in (("ROW_BLOCK", 60), ("QUERY_BLOCK", 3), ("ROW_TILE", 17), ("QUERY_TILE", 2)):
+    for name, n in (("ROW_BLOCK", 60), ("QUERY_BLOCK", 3), ("TILE", 7), ("LOOK", 1)):
         monkeypatch.setattr(topk, name, n)
     assert {tuple(r) for r in topk.search(df, df.where("vec_id % 50 = 0")).collect()} == want
 
 
+def test_top_k_multiplies_little_on_clustered_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=(40, 32)) * 4
+    x = centre[np.arange(4000) % 40] + rng.normal(size=(4000, 32)) * 0.05
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").coalesce(2)
+    counter = spark.sparkContext.accumulator(0)
+    got = {(r.query_id, r["rank"], r.id) for r in topk.search(df, df.where("vec_id % 50 = 0"), counter=counter).collect()}
+    whole = np.floor(256 * x)
+    for q in range(0, 4000, 50):
+        s = whole @ whole[q]
+        s[q] = -np.inf
+        assert {(q, k, int(i)) for k, i in enumerate(np.lexsort((np.arange(4000), -s))[:5], 1)} <= got
+    assert counter.value < 0.35 * 4000 * 80 * 32, "both phases together"
+
+
+def test_top_k_of_repeated_queries_and_odd_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0]), (4, None), (5, [None, 1.0]), (6, [float("nan"), 1.0]), (7, [float("inf"), 0.0]), (None, [9.0, 9.0]), (8, [3.0]), (9, [1e30, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.copy, r["rank"], r.id) for r in topk.search(df, df.where("vec_id = 0"), k=3).orderBy("copy", "rank").collect()]
+    assert got == [(0, 0, 1, 2), (0, 0, 2, 3), (0, 0, 3, 9), (0, 1, 1, 9), (0, 1, 2, 8), (0, 1, 3, 1)]
+
+
 # ---- 5 -------------------------------------------------------------------------------------------------------------
 
 
@@ -245,11 +343,21 @@ def test_shards_equal_a_plain_sort(spark):
     assert got == {k: (p * 7 // 500, p - begin[p * 7 // 500]) for k, p in at.items()}
 
 
+def test_written_shards(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assigned = sharding.interleave(sharding.keys_of(docs), 4)
+    sharding.write_shards(docs, assigned, str(tmp_path / "s"), rows_per_file=20)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.count() == docs.count() and {(r.doc_id, r.shard, r.slot) for r in back.collect()} == {(r.id, r.shard, r.slot) for r in assigned.collect()}
+    for r in back.groupBy("shard", "part").agg(F.min("slot").alias("a"), F.max("slot").alias("b"), F.count("*").alias("n")).collect():
+        assert r.b - r.a + 1 == r.n <= 20
+
+
 # ---- 6 -------------------------------------------------------------------------------------------------------------
 
 
 def test_pseudonyms_of_documents(spark, sf_dir, docs):
-    pattern = re.compile(pii.FOUND)
+    pattern = re.compile(pii.FOUND)  # has no group
     linked = {}
     for r in run(spark, sf_dir, "op6_"):
         old = docs[r.doc_id].text
@@ -318,13 +426,57 @@ def test_long_secrets_and_keys_without_digits(spark):
         assert r.text[:at] == t[:at] and all(old[i : i + 10] not in r.text for i in range(0, len(old) - 9, 10))
 
 
+def test_pseudonyms_stay_valid(spark):
+    n = 5000
+    ssn = spark.range(n).select(F.format_string("%03d-%02d-%04d", F.when(F.col("id") % 898 < 665, F.col("id") % 898 + 1).otherwise(F.col("id") % 898 + 2), F.col("id") % 99 + 1, F.col("id") * 7 % 9999 + 1).alias("text"))
+    phone = spark.range(n).select(F.format_string("+1 %03d-%03d-%04d", F.col("id") * 7 % 1000, F.col("id") * 13 % 1000, F.col("id") * 3 % 10000).alias("text"))
+    for df, right in ((ssn, lambda a, b: not re.match("000|666|9", b) and "-00-" not in b and not b.endswith("-0000")), (phone, lambda a, b: (a[3] > "1") == (b[3] > "1") and (a[3] <= "1" or (a[7] > "1") == (b[7] > "1")))):
+        old = [r.text for r in df.collect()]
+        new = [r.text for r in pii.pseudonymise(df, "k").collect()]
+        assert len(set(new)) == len(set(old)) and all(right(a, b) for a, b in zip(old, new))
+
+
+def test_more_kinds(spark):
+    texts = {
+        "DE89 3704 0044 0532 0130 00": "iban", "GB82WEST12345698765432": "iban", "2001:db8:85a3:0:0:8a2e:370:7334": "ipv6", "fe80::1ff:fe23:4567:890a": "ipv6", "+44 20 7946 0958": "phone", "020 7946 0958": "phone",
+        "ghp_abcdefghijklmnopqrstuvwxyz0123456789": "secret", "sk-abcdefghijklmnopqrstuvwx": "secret", "eyJhbGciOi.eyJzdWIiOi.SflKxwRJSM-x": "secret", "api_key: abcd1234": "secret", 'token="abcdef"': "secret", "PASSWORD=hunter2": "secret",
+        "-----BEGIN RSA PRIVATE KEY-----\nMIIabc\n-----END RSA PRIVATE KEY-----": "secret", "a@B.org": "email",
+    }
+    stay = ["DE89 3704 0044 0532 0130 01", "12:30:45", "password: please", "the token is here", "a::b c", "key: value"]
+    df = spark.createDataFrame([(f"x {t} y",) for t in [*texts, *stay]], "text string").coalesce(1)
+    got = pii.pseudonymise(df, "k").collect()
+    for (t, kind), r in zip(texts.items(), got):
+        assert r.pii_kinds == [kind] and r.text != f"x {t} y" and len(r.text) == len(t) + 4, t
+    assert [r.text for r in got[len(texts) :]] == [f"x {t} y" for t in stay]
+    same = spark.createDataFrame([("John.Doe@x.org john.doe@x.org",), ("password=abcd token = 'abcd'",)], "text string").coalesce(1)
+    a, b = (r.text for r in pii.pseudonymise(same, "k").collect())
+    assert a.split()[0].lower() == a.split()[1] and b.split("=")[1][:4] == b[-5:-1]
+
+
+def test_a_plain_feistel_network(spark):
+    import hashlib
+
+    def plain_text(s: str, kind: str) -> str:
+        half = len(s) // 2
+        l, r = s[:half], s[half:]
+        for i in range(1, pii.ROUNDS + 1):
+            d = hashlib.sha256(f"k|{kind}|{i}|{r}".encode()).digest()
+            move = lambda c, by: chr((ord(c) - 48 + by) % 10 + 48) if c.isdigit() else chr((ord(c) - 97 + by) % 26 + 97)
+            l, r = r, "".join(move(c, d[j % 32] + j) for j, c in enumerate(l))
+        return l + r
+
+    words = ["a1", "hunter2", "x", "abc123def456", "z" * 80]
+    df = spark.createDataFrame([(w,) for w in words], "w string").coalesce(1)
+    assert [r[0] for r in df.select(pii.feistel_text(F.col("w"), "k", "x")).collect()] == [plain_text(w, "x") for w in words]
+
+
 # ---- 7 -------------------------------------------------------------------------------------------------------------
 
 
 def test_licences(spark):
     lines = {
         "Released under the MIT license": "MIT", "this file is Licensed under the Apache License, Version 2.0 (see below)": "Apache-2.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC", "All Rights Reserved": "proprietary",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published": "GPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published": "GPL", "Licensed under the GNU General Public License, version 2.": "GPL-2.0", "either version 3 of the License, or (at your option) any later version": "GPL-3.0",
     }
     others = ["My driving licence expired.", "The copyright debate goes on.", "Licensed under the Zebra License.", "Nothing to see."]
     df = spark.createDataFrame([(1, "\n".join(["x", *lines, *others]))], "doc_id long, text string")
@@ -349,7 +501,7 @@ def test_wrapped_and_short_licences(spark):
     notices = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal": "MIT",
         " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:": "BSD",
-        "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by": "GPL-3.0",
+        "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by": "GPL",
         "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation": "LGPL",
         "\n".join("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files".split()): "MIT",
         "Distributed under the GPL v3.": "GPL-3.0", "Released under GPLv3": "GPL-3.0", "Available under CC-BY-SA 4.0": "CC-BY-SA", "Distributed under the Apache 2.0 license": "Apache-2.0",
@@ -360,6 +512,21 @@ def test_wrapped_and_short_licences(spark):
     assert got == {(k, 0, 0, "All rights reserved."): "proprietary" for k in range(len(texts))} | {(k, 3, 33, t): f for k, (t, f) in enumerate(notices.items())}
 
 
+def test_confusion_of_held_out_variants():
+    found = licences.confusion()
+    right, wrong, n = Counter(), Counter(), Counter()
+    for (family, got), k in found.items():
+        n[family] += k
+        right[family] += k * (family == got)
+        wrong[family] += k * (got not in (family, licences.UNKNOWN))
+    assert all(right[f] >= 0.8 * n[f] and wrong[f] <= 0.12 * n[f] for f in n) and right.total() >= 0.9 * n.total() and wrong.total() <= 0.03 * n.total()
+
+
+def test_licences_of_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "Released under the MIT License.")] * 2 + [(None, "Released under the MIT License.")], "doc_id long, text string")
+    assert [r.family for r in licences.scan(df).collect()] == ["MIT"] * 3
+
+
 # ---- 8 -------------------------------------------------------------------------------------------------------------
 
 
@@ -436,14 +603,15 @@ def test_sets_that_fall_short_are_joined_by_elements(spark, monkeypatch):
 # ---- 9 -------------------------------------------------------------------------------------------------------------
 
 
-def test_context_tree_weighting_equals_a_plain_one(spark):
+def test_context_tree_weighting_equals_a_plain_one(spark, monkeypatch):
     rng = random.Random(5)
     texts = {k: " ".join("".join(rng.choices("abcé", k=rng.randint(1, 4))) for _ in range(rng.randint(0, 12))) for k in range(30)}
     train = {k for k in texts if k % 4}
     df = spark.createDataFrame([(k, t, k in train) for k, t in texts.items()], "doc_id long, text string, train boolean")
     tree = plain.ContextTree([texts[k] for k in sorted(train)], 3)
     base, tokens = plain.base_scores(texts, train)
-    for size in (1, 10_000):  # many blocks, one block
+    for size, part in ((1, 7), (10_000, 50), (10_000, 10**7)):  # many blocks, one block; many partitions, one partition
+        monkeypatch.setattr(ctw, "PART_BYTES", part)
         for r in ctw.score(df, depth=3, block_bytes=size).collect():
             assert r.score == pytest.approx(tree.log10(texts[r.id]), rel=1e-5) and r.base_score == pytest.approx(base[r.id]) and r.train_tokens == tokens
             assert r.held_out == (r.id not in train)
@@ -458,17 +626,10 @@ def test_ranks_by_sorting_are_the_same(monkeypatch):
     assert all((x == y).all() for x, y in zip(a, b))
 
 
-def test_next_byte_probabilities_sum_to_one():
-    rng = np.random.default_rng(2)
-    keys = np.unique(rng.integers(0, 1 << 24, 4000).astype(np.uint64) & np.uint64(0x0303FF))
-    n = rng.integers(0, 5, len(keys))
-    context = keys >> np.uint64(8)
-    whole = np.unique((np.unique(context)[:, None] << np.uint64(8) | np.arange(256, dtype=np.uint64)).reshape(-1))
-    count = np.zeros(len(whole), np.int64)
-    count[np.searchsorted(whole, keys)] = n
-    rows = [(b, int(k), float(x), float(y), float(z)) for b, *cols in ctw.summaries(whole, count, 2) for k, x, y, z in zip(*cols)]
-    p = 10 ** ctw.log_probabilities(whole, count, 2, ctw.crown(rows))
-    assert np.allclose(np.add.reduceat(p, np.arange(0, len(whole), 256)), 1)
+def test_hot_contexts_are_dealt_to_many_partitions():
+    keys = np.unique(np.frombuffer(np.random.default_rng(2).bytes(8 * 20_000), np.uint64) >> np.uint64(16) & np.uint64(0x0000FFFFFFFF) | np.uint64(0x2074 << 32))
+    part = ctw.dealt(keys, ctw.GRAM, 5, 50)
+    assert np.bincount(part, minlength=50).max() < len(keys) / 10
 
 
 def test_held_out_text_is_shorter_than_by_words(spark, sf_dir):
@@ -493,7 +654,7 @@ def test_mixture_of_documents(spark, sf_dir, docs):
     sizes = [sum(r.size for r in own[s]) for s in names]
     want = plain.water_levels(sizes, [(5, 2, 1)[i % 3] for i in range(len(names))])
     for s, n, t in zip(names, sizes, want):
-        assert own[s][0].source_size == n and own[s][0].target == pytest.approx(t) and abs(sum(r.taken for r in own[s]) - t) <= 1
+        assert own[s][0].source_size == n and own[s][0].target == pytest.approx(t) and abs(sum(r.taken for r in own[s]) - t) <= max(0.02 * t, 8)
 
 
 @FEW
@@ -517,16 +678,25 @@ def test_pieces_cover_what_is_taken(spark):
     docs = spark.range(60).select("id", F.when(F.col("id") % 5 == 0, "x").otherwise("y").alias("source"), (F.col("id") % 13).alias("size"))
     documents, parts = mixing.pieces(docs, block_words=7)
     rows = parts.orderBy("source", "rank", "epoch", "at", "from_word").collect()
-    line = defaultdict(int)
+    line, end = defaultdict(int), {}
     for r in rows:
         line[r.source, r.rank] += r.to_word - r.from_word
-    quota = {r.source: int(r.target + 1e-6) for r in documents.collect()}
-    for s, q in quota.items():
-        blocks = [n for (source, _), n in line.items() if source == s]
-        assert sum(blocks) == q and max(blocks) - min(blocks) <= 1, "equal blocks"
+    for r in documents.collect():
+        end[r.source] = 3 * r.words
+    for s in end:
+        blocks = {rank: n for (source, rank), n in line.items() if source == s}
+        assert sorted(blocks) == list(range(len(blocks))) and all(n == 7 or (k + 1) * 7 > end[s] for k, n in blocks.items()), "equal blocks"
     assert len({r.slot for r in rows}) == len(line), "a slot holds one source's block"
 
 
+def test_the_mix_follows_the_points(spark, sf_dir, monkeypatch):
+    mix = lambda: {r.doc_id: r.taken for r in run(spark, sf_dir, "op10_")}
+    first = mix()
+    assert mix() == first
+    monkeypatch.setattr(mixing, "F44", 1)
+    assert mix() != first
+
+
 # ---- pipeline ------------------------------------------------------------------------------------------------------
 
 
@@ -551,10 +721,11 @@ def test_pipeline(spark, sf_dir, docs):
     names = sorted(set(source.values()))
     want = plain.water_levels([sum(n[k] for k in text if source[k] == s) for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))])
     for s, t in zip(names, want):
-        assert abs(sum(len(plain.words(r.text)) for r in kept["mixture"] if r.source == s) - t) <= 1
+        assert abs(sum(len(plain.words(r.text)) for r in kept["mixture"] if r.source == s) - t) <= max(0.03 * t, 8)
     for r in kept["mixture"]:
         w, whole = plain.words(r.text), plain.words(text[r.doc_id])
         assert w == whole or any(whole[i : i + len(w)] == w for i in range(len(whole)))
+        assert r.text in text[r.doc_id], "white space stays"
         assert r.n_chars == len(r.text)
     from tokenizers import Tokenizer
 
