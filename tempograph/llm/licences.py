@@ -52,7 +52,7 @@ NOTICES = {
     ],
     "GPL": [
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
-        "You should have received a copy of the GNU General Public License along with this program.", "Licensed under the GNU General Public License.",
+        "You should have received a copy of the GNU General Public License along with this program.",
     ],
     "GPL-2.0": [
         "This work is licensed under the GNU General Public License, version 2.", "Licensed under the GNU General Public License, version 2.", "GNU General Public License v2", "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-or-later",

@@ -10,7 +10,7 @@ kind     valid if                                   permuted
 card     13 to 19 digits with a right Luhn digit    all digits but the last, which is made right again
 iban     15 to 34 characters with right check       letters and digits after the check digits, which are made right again
 ipv4     four numbers to 255                        the 32-bit address (two 16-bit halves)
-ipv6     eight groups, or fewer around ::           the groups' hexadecimal digits, as they are written
+ipv6     eight groups, or fewer around ::, a digit         the groups' hexadecimal digits, as they are written
 phone    the pattern's shape                        the ten digits after the country code, area and exchange codes within the
                                                     class of those that may or may not begin with 0 or 1; in other
                                                     groupings all digits after the country code (or trunk 0)
@@ -61,7 +61,7 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9])",
     "ipv4": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
-    "ipv6": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
+    "ipv6": r"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]{0,34}[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
     "card": r"(?<![0-9])[0-9][0-9 -]{11,}[0-9]",
     "secret": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?:gh[pousr]_|github_pat_|glpat-|sk-|pk_live_|sk_live_)[A-Za-z0-9_-]{20,}|xox[abeprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,}(?:\.[A-Za-z0-9_-]*)?)"
     r"|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]+(?=-----END)"
@@ -74,9 +74,9 @@ REST = "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k != "card")
 NUMBERS = "|".join(f"(?:{p})" for p in (TEN, PATTERNS["ssn"], PATTERNS["date"]))
 #: the groups in which cards are written, and the first digits of payment cards
 FIXED = r"^(?=[2-6])(?:[0-9]{16}|[0-9]{15}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})$"
-#: what every candidate has: a digit or @, or an issuer's prefix, or what is assigned, or letters between colons
+#: what every candidate has: a digit or @, or an issuer's prefix, or what is assigned
 DIGITS, PREFIXES = "[0-9@]", ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "sk-", "k_live_", "xox", "AIza", "eyJ", "PRIVATE KEY")
-ASSIGNED = NAMED + r"[\"']?[ ]{0,2}[=:]|[A-Fa-f]:"
+ASSIGNED = NAMED + r"[\"']?[ ]{0,2}[=:]"
 MARK = "\x01"
 CYCLE = "1800-01-01"
 DAY_RADIX = (27, 5411)
