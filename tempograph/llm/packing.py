@@ -38,7 +38,7 @@ from .textbytes import LOWER, SPACE, column_bytes, parts, tidy
 
 SEQUENCE, END_ID, WINDOW_TOKENS = 2048, 1, 2_000_000
 #: a worker forgets its words when they take about so much memory
-CACHE_BYTES, BYTES_PER_WORD = 128_000_000, 200
+CACHE_BYTES, BYTES_PER_WORD = 256_000_000, 200
 LINEAR, QUADRATIC = 1.0, 1 / 1024
 
 _encoders: dict[str, WordEncoder] = {}
@@ -108,10 +108,12 @@ class WordEncoder:
         if self.size > CACHE_BYTES:
             self.clear()
         distinct = words.dictionary.to_pylist()
-        new = [w for w in distinct if w not in self.place]
+        known = list(map(self.place.get, distinct))
+        new = [w for w, k in zip(distinct, known) if k is None]
         if new:
             self.learn(new)
-        place = np.fromiter((self.place[w] for w in distinct), np.int64, len(distinct))[words.indices.to_numpy()]
+            known = list(map(self.place.get, distinct))
+        place = np.array(known, np.int64)[words.indices.to_numpy()]
         n = self.count[place]
         last = np.cumsum(n)
         out = self.flat[np.repeat(self.begin[place] - (last - n), n) + np.arange(int(n.sum()))]
@@ -190,7 +192,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             return out
 
         for whole in batches:
-            for batch in parts(whole, text_col):
+            for batch in parts(whole, text_col, 8_000_000):
                 ids, offsets = own.encode(batch.column(text_col))
                 names.append(batch.column(id_col))
                 for a, b in zip(offsets[:-1], offsets[1:]):
